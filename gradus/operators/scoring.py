@@ -236,4 +236,5 @@ def vector_values(vector: Column) -> Column:
     """Elements of a Spark ML vector as an array; empty for NULL."""
     from pyspark.ml.functions import vector_to_array
 
-    return F.coalesce(vector_to_array(vector), F.array().cast(T.ArrayType(T.DoubleType())))
+    empty = F.array().cast(T.ArrayType(T.DoubleType()))
+    return F.when(vector.isNotNull(), vector_to_array(vector)).otherwise(empty)
