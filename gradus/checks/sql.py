@@ -100,9 +100,9 @@ def _synthetic(rows: str, by: str = "") -> str:
                floor({_uniform(f"'42:pick:' || {salt}origin || ':' || copy")} * 5)::BIGINT + 1 AS pick
         FROM (
           SELECT {g}o_orderkey AS origin, l_quantity, l_extendedprice, order_year, order_day,
-                 unnest(range(1, each + CASE WHEN place <= extra THEN 2 ELSE 1 END)) AS copy
+                 unnest(range(1, each + CASE WHEN nth <= extra THEN 2 ELSE 1 END)) AS copy
           FROM (
-            SELECT r.*, row_number() OVER ({part} ORDER BY md5('42:' || o_orderkey), o_orderkey) AS place,
+            SELECT r.*, row_number() OVER ({part} ORDER BY md5('42:' || o_orderkey), o_orderkey) AS nth,
                    c.each, c.extra
             FROM (SELECT * FROM {rows} WHERE label = 'On time') r
             JOIN (SELECT {g}(late - few) // few AS each, (late - few) % few AS extra
