@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, features, gnb, history, registry, resample, scoring
 from ..operators.metrics import melt
-from ..operators.model_selection import cross_validate, fit_variant, holdout
+from ..operators.model_selection import cross_validate, fit_variant, holdout, split_for
 from ..operators.quality import validate_labelled
 from ..operators.registry import ModelId
 from ..operators.split import stratified_split
@@ -25,8 +25,8 @@ def rounded(df, *names, digits=6):
     return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-def split_of(rows):
-    return stratified_split(rows, KEY, LABEL)
+def split_of(rows, oversample=False):
+    return split_for(rows, KEY, LABEL) if oversample else stratified_split(rows, KEY, LABEL)
 
 
 @check("m1_validated_training_set", using("train", """
@@ -123,7 +123,7 @@ def smote_class_counts(spark, d):
          round(sum(gap), 4) AS gaps, round(avg(order_day), 4) AS order_day FROM synthetic_rounds GROUP BY 1"""))
 def smote_per_fold(spark, d):
     rows = training(spark, d)
-    split = split_of(rows)
+    split = split_of(rows, True)
     folded = stage(split.with_fold(rows).filter("fold IS NOT NULL"), "folded")
     return resample.smote_folds(folded, split, FEATURES).groupBy("held_out").agg(
         F.count(F.lit(1)).alias("n"), F.sum("neighbor").alias("neighbors"), F.round(F.sum("gap"), 4).alias("gaps"),
@@ -140,12 +140,12 @@ def cross_validation(spark, d):
     "smote_fold_metrics", f"SELECT fold::INTEGER AS fold, {METRIC_COLUMNS} FROM smote_fold_metrics"))
 def cross_validation_smote(spark, d):
     rows = training(spark, d)
-    return rounded(cross_validate(rows, split_of(rows), FEATURES, ON_TIME, True), *evaluate.METRICS)
+    return rounded(cross_validate(rows, split_of(rows, True), FEATURES, ON_TIME, True), *evaluate.METRICS)
 
 
 def holdout_cells(spark, d, oversample=False):
     rows = training(spark, d)
-    model, scored = holdout(rows, split_of(rows), FEATURES, oversample)
+    model, scored = holdout(rows, split_of(rows, oversample), FEATURES, oversample)
     return evaluate.confusion_cells(scored, LABEL, "prediction", model.labels)
 
 
@@ -263,7 +263,7 @@ def smoke_prediction(spark, d):
     f"FROM holdout_metrics a, smote_metrics b" for m in evaluate.METRICS)))
 def variant_comparison(spark, d):
     rows = training(spark, d)
-    split = split_of(rows)
+    split = split_of(rows, True)
     frames = []
     for oversample in (False, True):
         model, scored = holdout(rows, split, FEATURES, oversample)

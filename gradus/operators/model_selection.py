@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,17 +10,32 @@ from pyspark.sql import functions as F
 
 from . import evaluate, gnb
 from .gnb import GaussianNB
-from .resample import balanced, smote, smote_folds
+from .resample import balanced, copy_ranks, shortfalls, smote, smote_folds
 from .split import StratifiedSplit, stratified_split
 
 
 def fit_variant(
-    df: DataFrame, key: str, features: Sequence[str], label: str, oversample: bool, k: int = 5, seed: int = 42
+    df: DataFrame, key: str, features: Sequence[str], label: str, oversample: bool, k: int = 5, seed: int = 42,
+    counts: Mapping | None = None, cuts: Mapping | None = None,
 ) -> GaussianNB:
     """Fit on all rows of a stored table, after oversampling if asked."""
     if not oversample:
         return gnb.fit(df, features, label)
-    return gnb.fit(balanced(df, smote(df, key, label, features, k, seed), features, label), features, label)
+    synthetic = smote(df, key, label, features, k, seed, counts, cuts)
+    return gnb.fit(balanced(df, synthetic, features, label), features, label)
+
+
+def split_for(
+    df: DataFrame, key: str, label: str, test_share: float = 0.2, folds: int = 10, seed: int = 42, k: int = 5
+) -> StratifiedSplit:
+    """A split that also knows where the extra copies of oversampling end, found on the same passes."""
+    return stratified_split(df, key, label, test_share, folds, seed, lambda *sizes: copy_ranks(*sizes, k))
+
+
+def _cuts_for(split: StratifiedSplit, sizes: Mapping, k: int) -> Mapping | None:
+    """The split's cuts if they cover oversampling to these class sizes."""
+    known = all(n % sizes[c] == 0 or (c, n % sizes[c]) in split.cuts for c, n in shortfalls(sizes, k).items())
+    return split.cuts if known else None
 
 
 def holdout(
@@ -29,8 +44,10 @@ def holdout(
     """Model of the training part, and the scored test part."""
     order = split.order
     parts = split.with_part(df)
+    cuts = _cuts_for(split, split.train, k) if oversample else None
     model = fit_variant(
-        parts.filter("part = 'train'").drop("part"), order.key, features, order.label, oversample, k, order.seed)
+        parts.filter("part = 'train'").drop("part"), order.key, features, order.label, oversample, k, order.seed,
+        split.train, cuts)
     return model, gnb.with_scores(parts.filter("part = 'test'").drop("part"), model)
 
 
@@ -83,7 +100,9 @@ def train_variant(
     split: StratifiedSplit | None = None,
 ) -> TrainedVariant:
     """Split, cross-validate inside the training part, evaluate on the holdout, refit on all rows."""
-    split = split or stratified_split(df, key, label, test_share, folds, seed)
+    if split is None:
+        split = split_for(df, key, label, test_share, folds, seed, k) if oversample else stratified_split(
+            df, key, label, test_share, folds, seed)
     cv = cross_validate(df, split, features, positive, oversample, k)
     dev_model, scored = holdout(df, split, features, oversample, k)
     cells = evaluate.confusion_cells(scored, label, "prediction", dev_model.labels)
@@ -93,5 +112,7 @@ def train_variant(
         scored_test=scored, holdout=evaluate.binary_metrics(cells, dev_model.labels, positive),
         report=evaluate.classification_report(cells, dev_model.labels),
         confusion=evaluate.confusion_matrix(scored, label, "prediction", dev_model.labels),
-        model=fit_variant(df, key, features, label, oversample, k, seed),
+        model=fit_variant(
+            df, key, features, label, oversample, k, seed, split.counts,
+            _cuts_for(split, split.counts, k) if oversample else None),
     )

@@ -29,10 +29,11 @@ from ..sources.staging import stage
 # the functions below run inside tasks: send them along, executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CELL_ROWS = 2048
+CELL_ROWS = 4096
 MAX_CELLS = 1 << 18
 _SAMPLE_PER_CELL = 16
 _VISITORS = 16384
+_HOT_SPOT_ROWS = 10_000
 _CHUNK_VALUES = 1 << 20
 _NO_FOLD = -1
 
@@ -132,13 +133,13 @@ def _pairs(queries, points, keys, folds, limit, need):
 
 def nearest_neighbors(
     points: DataFrame, key: str, features: Sequence[str], k: int,
-    fold: str | None = None, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS,
+    fold: str | None = None, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, total: int | None = None,
 ) -> DataFrame:
     """``(key, [fold,] features..., neighbors)``, neighbours nearest first as structs (d2, key, fold, x).
 
     Without ``fold`` the array has the k nearest other points. With it, the array has enough of the
     nearest ones that k remain whichever fold's points are left out (see :func:`outside_fold`).
-    ``points`` is read several times: hand in a stored table.
+    ``points`` is read several times: hand in a stored table. ``total`` is its row count, if known.
     """
     d = len(features)
     q_names, x_names = _columns(d)
@@ -152,7 +153,7 @@ def nearest_neighbors(
     rank = F.row_number().over(Window.partitionBy(*x_names, "fold").orderBy("key"))
     candidates = base.withColumn("__rank", rank).filter(F.col("__rank") <= need).drop("__rank")
 
-    total = points.count()
+    total = points.count() if total is None else total
     depth = max(0, min(ceil(log2(max(1, total / cell_rows))), int(log2(max_cells))))
     sample = np.empty((0, d))
     if depth:
@@ -210,8 +211,7 @@ def nearest_neighbors(
 
     entry = F.struct("d2", "key", "fold", F.array(*x_names).alias("x"))
     lists = pairs.groupBy(*q_names).agg(F.array_sort(F.collect_list(entry)).alias("__all"))
-    mine = [base[x] == lists[q] for x, q in zip(x_names, q_names)]
-    joined = base.join(lists, mine)
+    joined = _join_spots(base, lists, x_names, q_names, total)
     others = F.filter("__all", lambda e: e["key"] != F.col("key"))
     if fold is None:
         others = F.slice(others, 1, k)
@@ -221,6 +221,30 @@ def nearest_neighbors(
     )
 
 
+def _join_spots(base: DataFrame, lists: DataFrame, x_names, q_names, total: int) -> DataFrame:
+    """Every point with the list of its spot.
+
+    Spots with more than a thousandth of all points -- a thousand at most, hence safe to broadcast --
+    are joined apart, so no task receives all copies of one spot.
+    """
+    def on(left, right):
+        return [left[x] == right[q] for x, q in zip(x_names, q_names)]
+
+    if total <= _HOT_SPOT_ROWS:
+        return base.join(lists, on(base, lists))
+    counts = base.groupBy(*[F.col(x).alias(q) for x, q in zip(x_names, q_names)]).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.filter(F.col("__n") > max(_HOT_SPOT_ROWS, total // 1000)).select(*q_names).collect()
+    if not hot:
+        return base.join(lists, on(base, lists))
+    spark = base.sparkSession
+    hot_spots = F.broadcast(spark.createDataFrame(hot, T.StructType([T.StructField(q, T.DoubleType()) for q in q_names])))
+    stored = stage(lists, "knn-lists")
+    hot_lists = F.broadcast(stored.join(hot_spots, q_names, "left_semi"))
+    apart = base.join(hot_lists, on(base, hot_lists))
+    cold = base.join(hot_spots, on(base, hot_spots), "left_anti")
+    return apart.unionByName(cold.join(stored, on(cold, stored)))
+
+
 def _visiting_pairs(placed, visits, arrays, q_names, schema):
     """Candidates that points find in foreign cells.
 

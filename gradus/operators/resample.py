@@ -63,17 +63,22 @@ def _copies(order: HashOrder, label, total: int, rows: int, cut_rank: int, cuts:
 
 def smote(
     df: DataFrame, key: str, label: str, features: Sequence[str], k: int = 5, seed: int = 42,
-    counts: Mapping[object, int] | None = None,
+    counts: Mapping[object, int] | None = None, cuts: Mapping | None = None,
 ) -> DataFrame:
-    """The synthetic rows ``(origin, neighbor, copy, gap, features..., label)`` for a stored table."""
+    """The synthetic rows ``(origin, neighbor, copy, gap, features..., label)`` for a stored table.
+
+    ``counts`` and ``cuts`` may be handed in where a split of the same rows has them already.
+    """
     order = HashOrder(key, label, seed)
     counts = counts or class_counts(df, label)
     missing = shortfalls(counts, k)
-    cuts = rank_cuts(df, order, {c: [n % counts[c]] for c, n in missing.items()})
+    ranks = {c: [n % counts[c]] for c, n in missing.items()}
+    if cuts is None:
+        cuts = rank_cuts(df, order, ranks)
     parts = []
     for c, n in missing.items():
-        near = nearest_neighbors(df.filter(F.col(label) == F.lit(c)), key, features, k)
-        copies = _copies(order, c, n, counts[c], n % counts[c], cuts)
+        near = nearest_neighbors(df.filter(F.col(label) == F.lit(c)), key, features, k, total=counts[c])
+        copies = _copies(order, c, n, counts[c], ranks[c][0], cuts)
         parts.append(_synthesize(
             near.withColumn(label, F.lit(c)).withColumn("copies", copies), order, features, k))
     if not parts:  # balanced already: nothing to add, same columns
@@ -90,9 +95,28 @@ def balanced(df: DataFrame, synthetic: DataFrame, features: Sequence[str], label
     return df.select(*columns).unionByName(synthetic.select(*columns))
 
 
-def fold_counts(split: StratifiedSplit, held_out: int) -> dict:
+def round_counts(train: Mapping[object, int], folds: Mapping[object, Sequence[int]], held_out: int) -> dict:
     """Class sizes of the training part without one fold."""
-    return {c: split.train[c] - split.folds[c][held_out] for c in split.train}
+    return {c: train[c] - folds[c][held_out] for c in train}
+
+
+def _round_rank(c, train: Mapping, folds: Mapping, held_out: int, missing: int) -> int:
+    """Rank in the class of the last row with an extra copy, stepping over the held-out fold."""
+    extra = missing % round_counts(train, folds, held_out)[c]
+    before = sum(folds[c][:held_out])
+    return extra if extra <= before else extra + folds[c][held_out]
+
+
+def copy_ranks(counts: Mapping, train: Mapping, folds: Mapping, k: int = 5) -> dict:
+    """All ranks at which extra copies end: for the whole table, the training part and every round."""
+    ranks: dict = {}
+    for sizes in (counts, train):
+        for c, n in shortfalls(sizes, k).items():
+            ranks.setdefault(c, []).append(n % sizes[c])
+    for f in range(len(next(iter(folds.values())))):
+        for c, n in shortfalls(round_counts(train, folds, f), k).items():
+            ranks.setdefault(c, []).append(_round_rank(c, train, folds, f, n))
+    return ranks
 
 
 def smote_folds(
@@ -105,23 +129,21 @@ def smote_folds(
     """
     order = split.order
     rounds = range(len(next(iter(split.folds.values()))))
-    missing = {f: shortfalls(fold_counts(split, f), k) for f in rounds}
-
-    def cut_rank(c, f) -> int:
-        """Rank in the class of the last row with an extra copy, stepping over the held-out fold."""
-        extra = missing[f][c] % fold_counts(split, f)[c]
-        before = sum(split.folds[c][:f])
-        return extra if extra <= before else extra + split.folds[c][f]
-
+    sizes = {f: round_counts(split.train, split.folds, f) for f in rounds}
+    missing = {f: shortfalls(sizes[f], k) for f in rounds}
     classes = sorted({c for m in missing.values() for c in m})
-    cuts = rank_cuts(folded, order, {c: [cut_rank(c, f) for f in rounds if c in missing[f]] for c in classes})
+    ranks = {(c, f): _round_rank(c, split.train, split.folds, f, n) for f in rounds for c, n in missing[f].items()}
+    cuts = dict(split.cuts)
+    unknown = {c: [r for (d, _), r in ranks.items() if d == c and r and (c, r) not in cuts] for c in classes}
+    cuts.update(rank_cuts(folded, order, {c: rs for c, rs in unknown.items() if rs}))
     parts = []
     for c in classes:
-        near = nearest_neighbors(folded.filter(F.col(order.label) == F.lit(c)), order.key, features, k, fold=fold)
+        near = nearest_neighbors(
+            folded.filter(F.col(order.label) == F.lit(c)), order.key, features, k, fold=fold, total=split.train[c])
         plan = F.array(*[
             F.struct(
                 F.lit(f).alias("held_out"),
-                _copies(order, c, missing[f][c], fold_counts(split, f)[c], cut_rank(c, f), cuts).alias("copies"),
+                _copies(order, c, missing[f][c], sizes[f][c], ranks[(c, f)], cuts).alias("copies"),
             )
             for f in rounds if c in missing[f]
         ])

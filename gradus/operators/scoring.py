@@ -61,11 +61,9 @@ def probability_stats(predictions: DataFrame, probability: str = "probability")
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    """``(value, n, percent)``, percent of all rows, from one count per value."""
-    counts = group_counts(df, column).withColumn("__one", F.lit(1))
-    total = counts.groupBy("__one").agg(F.sum("n").alias("__total"))  # single row
-    return counts.join(total, "__one").select(
-        column, "n", (F.col("n") * 100.0 / F.col("__total")).alias("percent"))
+    """``(value, n, percent)``, percent of all rows."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return group_counts(df, column).select(column, "n", (F.col("n") * 100.0 / total).alias("percent"))
 
 
 # -------------------------------------------------------------------------------- comparing two sets

@@ -9,7 +9,7 @@ class, same result on any partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from math import ceil, floor
 
@@ -168,11 +168,14 @@ class StratifiedSplit:
 
 
 def stratified_split(
-    df: DataFrame, key: str, label: str, test_share: float = 0.2, folds: int = 10, seed: int = 42
+    df: DataFrame, key: str, label: str, test_share: float = 0.2, folds: int = 10, seed: int = 42,
+    more_ranks: Callable[[Mapping, Mapping, Mapping], Mapping] | None = None,
 ) -> StratifiedSplit:
     """Exact stratified holdout plus stratified folds inside the training part.
 
-    ``df`` is read twice (counts, then the few boundary prefixes), so hand in a stored table.
+    ``df`` is read three times (class counts, prefix counts, the few boundary prefixes), so hand in a
+    stored table. ``more_ranks(counts, train, folds)`` names further ranks per class to look up on the
+    same passes.
     """
     counts = class_counts(df, label)
     if len(counts) == 0 or min(counts.values()) < 2:
@@ -181,6 +184,8 @@ def stratified_split(
     train = train_sizes(counts, test_share)
     sizes = fold_sizes(train, folds)
     ranks = {c: sorted({sum(sizes[c][: i + 1]) for i in range(folds)} | {train[c]}) for c in counts}
+    more = more_ranks(counts, train, sizes) if more_ranks else {}
+    ranks = {c: [*r, *more.get(c, ())] for c, r in ranks.items()}
     return StratifiedSplit(order, counts, train, sizes, rank_cuts(df, order, ranks))
 
 

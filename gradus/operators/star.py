@@ -26,21 +26,27 @@ def rows_without_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame
     return left.select(key).join(right.select(key), key, "left_anti")
 
 
-def key_census(left: DataFrame, right: DataFrame, key: str, measure: str | None = None) -> DataFrame:
-    """Per key (NULL included): rows on the left, on the right, and right rows with the measure.
+def key_census(left: DataFrame, right: DataFrame, key: str, measures: Sequence[str] = ()) -> DataFrame:
+    """Per key (NULL included): rows on the left, on the right, and right rows with each measure.
 
     Every question about how two tables meet on a key -- overlap, orphans, coverage, row
     multiplication -- is a sum over this one aggregate, so they cost a single shuffle of partial
     counts together and a hot key weighs no more than any other.
     """
-    has_measure = F.col(measure).isNotNull() if measure else F.lit(True)
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    sides = left.select(F.col(key).alias("key"), one.alias("l"), zero.alias("r"), zero.alias("m")).unionAll(
-        right.select(F.col(key).alias("key"), zero.alias("l"), one.alias("r"),
-                     F.when(has_measure, one).otherwise(zero).alias("m"))
-    )
+    def flag(condition) -> F.Column:
+        return F.when(condition, 1).otherwise(0).cast("bigint")
+
+    yes, no = F.lit(True), F.lit(False)
+    sides = left.select(
+        F.col(key).alias("key"), flag(yes).alias("l"), flag(no).alias("r"),
+        *[flag(no).alias(f"m{i}") for i, _ in enumerate(measures)],
+    ).unionAll(right.select(
+        F.col(key).alias("key"), flag(no).alias("l"), flag(yes).alias("r"),
+        *[flag(F.col(m).isNotNull()).alias(f"m{i}") for i, m in enumerate(measures)],
+    ))
     return sides.groupBy("key").agg(
-        F.sum("l").alias("n_left"), F.sum("r").alias("n_right"), F.sum("m").alias("n_measured")
+        F.sum("l").alias("n_left"), F.sum("r").alias("n_right"),
+        *[F.sum(f"m{i}").alias(f"n_{m}") for i, m in enumerate(measures)],
     )
 
 
@@ -70,30 +76,27 @@ def keys_in_both(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def star_metrics(dim: DataFrame, fact: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
-    """The sixteen figures of a star check in one row.
+    """The figures of a star check in one row, all from one census of the keys.
 
-    ``matched`` counts joined rows whose first measure has a value. Null measures come from a second,
-    map-combined aggregate over the fact table.
+    ``matched`` counts joined rows whose first measure has a value.
     """
-    n_dim, n_fact, n_measured = F.col("n_left"), F.col("n_right"), F.col("n_measured")
+    n_dim, n_fact, n_measured = F.col("n_left"), F.col("n_right"), F.col(f"n_{measures[0]}")
     is_null = F.col("key").isNull()
     joinable = F.when(is_null, F.lit(0)).otherwise(n_fact)
-    census = key_census(dim, fact, key, measures[0]).agg(
+    totals = key_census(dim, fact, key, measures).agg(
         _sum(n_dim).alias("dim_total"),
         count_where(n_dim > 0).alias("dim_distinct"),
         _sum(F.when(is_null, n_dim)).alias("dim_null_key"),
         _sum(n_fact).alias("fact_total"),
         count_where(n_fact > 0).alias("fact_distinct"),
         _sum(F.when(is_null, n_fact)).alias("fact_null_key"),
+        *[_sum(n_fact - F.col(f"n_{m}")).alias(f"fact_null_{m}") for m in measures],
         _sum(F.when(is_null | (n_dim == 0), n_fact)).alias("orphan_fact"),
         _sum(F.when(joinable == 0, n_dim)).alias("dim_without_fact"),
         _sum(n_dim * F.greatest(joinable, F.lit(1))).alias("join_total"),
         _sum(F.when(~is_null, n_dim * n_measured)).alias("matched"),
     )
-    nulls = fact.agg(*[count_where(F.col(m).isNull()).alias(f"fact_null_{m}") for m in measures])
-    # both sides are single-row aggregates; the join key is a constant
-    both = census.withColumn("__one", F.lit(1)).join(nulls.withColumn("__one", F.lit(1)), "__one")
-    return both.select(
+    return totals.select(
         "dim_total", "dim_distinct",
         (F.col("dim_total") - F.col("dim_distinct")).alias("dim_duplicate"),
         "dim_null_key", "fact_total", "fact_distinct",

@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 
 from ..operators import evaluate, features as feature_ops, gnb, quality, registry, scoring
 from ..operators.metrics import gate_status, union_all
-from ..operators.model_selection import TrainedVariant, train_variant
+from ..operators.model_selection import TrainedVariant, split_for, train_variant
 from ..operators.registry import ModelId
-from ..operators.split import StratifiedSplit, stratified_split
+from ..operators.split import StratifiedSplit
 from ..sources import publish
 
 VARIANTS = (("without_smote", False), ("with_smote", True))
@@ -108,7 +108,7 @@ def _one_variant(spark: SparkSession, df: DataFrame, spec: ModelSpec, split: Str
 def train_variants(spark: SparkSession, df: DataFrame, spec: ModelSpec, root: str) -> dict:
     """Both variants on one split of a stored training table, saved, reloaded, gated and compared."""
     df = load_training(df, spec)
-    split = stratified_split(df, spec.key, spec.label, spec.test_share, spec.folds, spec.seed)
+    split = split_for(df, spec.key, spec.label, spec.test_share, spec.folds, spec.seed, spec.neighbors)
     results = [_one_variant(spark, df, spec, split, root, name, flag) for name, flag in VARIANTS]
     names = tuple(r.variant for r in results)
     a, b = (spark.createDataFrame([r.holdout]) for r in results)

@@ -70,9 +70,8 @@ def promote(spark: SparkSession, promotions: Sequence[Promotion], key: str) -> D
         source = spark.read.parquet(p.path)
         create_if_missing(source, p.table)
         replace_table(source, p.table)
-        expected = row_count(source).select(F.col("rows").alias("__expected"), F.lit(1).alias("__one"))
-        facts = table_facts(spark.table(p.table), key, p.required, 0).drop("expected_rows").withColumn(
-            "__one", F.lit(1)).join(expected, "__one").withColumnRenamed("__expected", "expected_rows")
+        expected = row_count(source).scalar()
+        facts = table_facts(spark.table(p.table), key, p.required, expected)
         checks.append(table_gates(facts).select(F.lit(p.table).alias("table"), "gate", "passed"))
     return union_all(checks)
 
