@@ -29,12 +29,13 @@ from ..sources.staging import stage
 # the functions below run inside tasks: send them along, executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CELL_ROWS = 4096
+CELL_ROWS = 2048
+ONE_CELL_ROWS = 8192  # up to here a single cell is faster than laying out several
 MAX_CELLS = 1 << 18
 _SAMPLE_PER_CELL = 16
 _VISITORS = 16384
 _HOT_SPOT_ROWS = 10_000
-_CHUNK_VALUES = 1 << 20
+_CHUNK_VALUES = 1 << 17  # distances held at once: stays in the processor cache
 _NO_FOLD = -1
 
 
@@ -100,12 +101,29 @@ def _distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 def _search_limit(d2: np.ndarray, folds: np.ndarray, need: int) -> np.ndarray:
     """Squared radius holding ``need`` points whichever single fold is left out."""
-    limit = np.zeros(len(d2))
-    for held_out in np.unique(folds):
-        kept = d2 if held_out == _NO_FOLD else d2[:, folds != held_out]
-        if kept.shape[1] < need:
-            return np.full(len(d2), np.inf)
-        limit = np.maximum(limit, np.partition(kept, need - 1, axis=1)[:, need - 1])
+    n = d2.shape[1]
+    if n < need:
+        return np.full(len(d2), np.inf)
+    if folds[0] == _NO_FOLD:
+        return np.partition(d2, need - 1, axis=1)[:, need - 1]
+    # a few spare neighbours nearly always outlast the loss of a fold; rows where they do not are
+    # decided on all points
+    few = min(n, 4 * need)
+    index = np.argpartition(d2, few - 1, axis=1)[:, :few]
+    near = np.take_along_axis(d2, index, axis=1)
+    order = np.argsort(near, axis=1)
+    near, near_folds = np.take_along_axis(near, order, axis=1), folds[np.take_along_axis(index, order, axis=1)]
+    limit = near[:, need - 1].copy()
+    undecided = np.zeros(len(d2), dtype=bool)
+    for held_out in np.unique(near_folds):
+        kept = np.cumsum(near_folds != held_out, axis=1)
+        undecided |= kept[:, -1] < need
+        limit = np.maximum(limit, near[np.arange(len(near)), np.minimum((kept < need).sum(axis=1), few - 1)])
+    for held_out in np.unique(folds) if undecided.any() else ():
+        kept = d2[np.ix_(undecided, folds != held_out)]
+        limit[undecided] = np.maximum(
+            limit[undecided],
+            np.partition(kept, need - 1, axis=1)[:, need - 1] if kept.shape[1] >= need else np.inf)
     return limit
 
 
@@ -114,21 +132,24 @@ def _columns(features: int) -> tuple[list[str], list[str]]:
 
 
 def _pairs(queries, points, keys, folds, limit, need):
-    """Frames of (query, neighbour) rows within the limit (or the limit found here), in chunks."""
-    q_names, x_names = _columns(points.shape[1])
-    limits = np.empty(len(queries))
+    """Frame of (query, neighbour) rows within the limit (found here if not given), and the limits."""
+    limits = np.empty(len(queries)) if limit is None else limit
     step = max(1, _CHUNK_VALUES // max(1, len(points)))
-    frames = []
+    rows, cols, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
     for start in range(0, len(queries), step):
         part = slice(start, start + step)
         d2 = _distances(queries[part], points)
-        limits[part] = _search_limit(d2, folds, need) if limit is None else limit[part]
+        if limit is None:
+            limits[part] = _search_limit(d2, folds, need)
         row, col = np.nonzero(d2 <= limits[part][:, None])
-        frame = pd.DataFrame(queries[part][row], columns=q_names)
-        frame[x_names] = points[col]
-        frame["d2"], frame["key"], frame["fold"] = d2[row, col], keys[col], folds[col]
-        frames.append(frame)
-    return frames, limits
+        rows.append(row + start)
+        cols.append(col)
+        found.append(d2[row, col])
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    q_names, x_names = _columns(points.shape[1])
+    frame = pd.DataFrame(np.hstack([queries[row], points[col]]), columns=[*q_names, *x_names])
+    frame["d2"], frame["key"], frame["fold"] = np.concatenate(found), keys[col], folds[col]
+    return frame, limits
 
 
 def nearest_neighbors(
@@ -154,7 +175,8 @@ def nearest_neighbors(
     candidates = base.withColumn("__rank", rank).filter(F.col("__rank") <= need).drop("__rank")
 
     total = points.count() if total is None else total
-    depth = max(0, min(ceil(log2(max(1, total / cell_rows))), int(log2(max_cells))))
+    single = total <= max(cell_rows, ONE_CELL_ROWS if cell_rows == CELL_ROWS else 0)
+    depth = 0 if single else min(ceil(log2(total / cell_rows)), int(log2(max_cells)))
     sample = np.empty((0, d))
     if depth:
         share = min(1.0, _SAMPLE_PER_CELL * (1 << depth) / total)
@@ -176,8 +198,7 @@ def nearest_neighbors(
     def within_cell(pdf: pd.DataFrame) -> pd.DataFrame:
         xs, keys, folds = arrays(pdf)
         queries = np.unique(xs, axis=0)
-        frames, limits = _pairs(queries, xs, keys, folds, None, need)
-        found = pd.concat(frames, ignore_index=True)
+        found, limits = _pairs(queries, xs, keys, folds, None, need)
         found["dest"], found["limit2"] = -1, np.nan
         own = int(pdf["cell"].iloc[0])
         row, cell = get_tree().reached(queries, np.sqrt(limits) * (1 + 1e-9))
@@ -263,8 +284,8 @@ def _visiting_pairs(placed, visits, arrays, q_names, schema):
         if host.empty or visiting.empty:
             return pd.DataFrame(columns=schema.names)
         xs, keys, folds = arrays(host)
-        frames, _ = _pairs(visiting[q_names].to_numpy(float), xs, keys, folds, visiting["limit2"].to_numpy(), 0)
-        return pd.concat(frames, ignore_index=True)[schema.names]
+        limit = visiting["limit2"].to_numpy()
+        return _pairs(visiting[q_names].to_numpy(float), xs, keys, folds, limit, 0)[0][schema.names]
 
     return hosts.groupBy("cell", "chunk").cogroup(
         visitors.groupBy("dest", "chunk")

@@ -70,7 +70,8 @@ def rank_cuts(df: DataFrame, order: HashOrder, ranks: Mapping[object, Sequence[i
     ).withColumn("__prefix", F.substring("__digest", 1, _PREFIX_DIGITS))
     counts = rows.groupBy(label, "__prefix").agg(F.count(F.lit(1)).alias("__n"))
     running = Window.partitionBy(label).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
-    targets = F.create_map(*[x for c in ranks for x in (F.lit(c), F.array(*[F.lit(int(r)) for l, r in wanted if l == c]).cast("array<bigint>"))])
+    targets = F.create_map(*[
+        x for c in ranks for x in (F.lit(c), F.lit([int(r) for l, r in wanted if l == c]).cast("array<bigint>"))])
     ends = (
         counts.withColumn("__upto", F.sum("__n").over(running))
         .withColumn("__before", F.col("__upto") - F.col("__n"))
@@ -90,9 +91,10 @@ def rank_cuts(df: DataFrame, order: HashOrder, ranks: Mapping[object, Sequence[i
     ranked = rows.filter(in_end_prefix).withColumn("__at", F.row_number().over(at))
     hit = F.lit(False)
     for c in ranks:
-        pairs = [F.struct(F.lit(e["__prefix"]), F.lit(e["__at"]).cast("int")) for e in ends if e[label] == c]
-        if pairs:
-            hit = hit | ((F.col(label) == F.lit(c)) & F.struct("__prefix", "__at").isin(pairs))
+        places = [f"{e['__prefix']}:{e['__at']}" for e in ends if e[label] == c]
+        if places:
+            place = F.concat_ws(":", "__prefix", F.col("__at").cast("string"))
+            hit = hit | ((F.col(label) == F.lit(c)) & place.isin(places))
     found = {
         (r[label], r["__prefix"], r["__at"]): Cut(r["__digest"], r[order.key])
         for r in ranked.filter(hit).collect()
