@@ -61,5 +61,13 @@ def training(spark: SparkSession, folder: str, stored: bool = True) -> DataFrame
     return stage(rows, "training") if stored else rows
 
 
+def populations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Training and inference rows from one stored pass over the tables."""
+    wanted = star(spark, folder).filter(F.col("o_orderstatus").isin("F", "O")).select(
+        KEY, "o_orderstatus", "o_orderdate", *MEASURES, "l_shipdate")
+    rows = stage(wanted, "star")
+    return training_set(rows, SPEC, unique=True), inference_set(rows, SPEC, unique=True)
+
+
 def inference(spark: SparkSession, folder: str) -> DataFrame:
     return inference_set(star(spark, folder), SPEC, unique=True)

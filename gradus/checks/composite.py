@@ -16,7 +16,7 @@ from ..plans.modelling import ModelSpec
 from ..sources.catalog import replace_table
 from ..sources.staging import new_path, stage
 from .aggregates import AGREEMENT_SQL, SUMMARY_SQL, quality_summaries
-from .bindings import FEATURES, KEY, LABEL, LATE, LINE_ORDER, ON_TIME, SPEC, fact, inference, star, table, training
+from .bindings import FEATURES, KEY, LABEL, LATE, LINE_ORDER, ON_TIME, SPEC, fact, inference, populations, star, table, training
 from .joins import keyed_lines, open_orders
 from .models import rounded
 from .registry import check
@@ -196,9 +196,8 @@ _PREDICTION_GATES = "['row_count', 'unique_key', 'no_nulls', 'coverage', 'no_den
   FROM (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, count(prediction) AS filled FROM predicted) p,
        (SELECT count(*) AS n FROM infer) i"""))
 def prediction_gates(spark, d):
-    model = gnb.fit(training(spark, d), FEATURES, LABEL)
-    inputs = stage(inference(spark, d), "inference")
-    rows = scoring.batch_predictions(inputs, model, KEY, "v2", "plain")
+    rows, inputs = populations(spark, d)
+    rows = scoring.batch_predictions(inputs, gnb.fit(rows, FEATURES, LABEL), KEY, "v2", "plain")
     facts = scoring.prediction_facts(rows, inputs, KEY, [KEY, *FEATURES, "prediction", "model_variant"], SPEC.denied)
     return scoring.prediction_gates(facts)
 
@@ -304,10 +303,9 @@ def two_variants(spark, d):
 @check("x5_inference_run", using("compared", AGREEMENT_SQL.replace(
     "SELECT count(*)", "SELECT 'SUCCESS' AS status, count(*)", 1) + "compared"))
 def inference_run(spark, d):
-    root, rows = new_path(spark, "registry"), training(spark, d)
+    root, (rows, inputs) = new_path(spark, "registry"), populations(spark, d)
     for variant, oversample in modelling.VARIANTS:
         registry.save_model(spark, root, MODEL.model_id(variant), fit_variant(rows, KEY, FEATURES, LABEL, oversample))
-    inputs = stage(inference(spark, d), "inference")
     result = modelling.run_inference(spark, inputs, MODEL, root, new_path(spark, "predictions"), SPEC.denied)
     return result["agreement"].select(F.lit(result["status"]).alias("status"), "*")
 

@@ -8,7 +8,7 @@ from ..operators import scoring, star as star_ops
 from ..operators.gnb import fit
 from ..operators.split import stratified_split
 from ..sources import publish
-from .bindings import FEATURES, KEY, LABEL, fact, inference, table, training
+from .bindings import FEATURES, KEY, LABEL, fact, populations, table
 from .registry import check
 from .sql import using
 
@@ -73,9 +73,8 @@ def match_coverage(spark, d):
 
 def two_predictions(spark, d):
     """The open orders scored by the model of all rows and by the model of the training part."""
-    rows = training(spark, d)
+    rows, open_rows = populations(spark, d)
     parts = stratified_split(rows, KEY, LABEL).with_part(rows)
-    open_rows = inference(spark, d)
     full, dev = fit(rows, FEATURES, LABEL), fit(parts.filter("part = 'train'"), FEATURES, LABEL)
     return [scoring.batch_predictions(open_rows, m, KEY, "v1", v) for m, v in ((full, "full"), (dev, "dev"))]
 

@@ -13,7 +13,7 @@ from ..operators.quality import validate_labelled
 from ..operators.registry import ModelId
 from ..operators.split import stratified_split
 from ..sources.staging import new_path, stage
-from .bindings import FEATURES, KEY, LABEL, LATE, ON_TIME, SPEC, inference, table, training
+from .bindings import FEATURES, KEY, LABEL, LATE, ON_TIME, SPEC, inference, populations, table, training
 from .registry import check
 from .sql import using
 
@@ -50,8 +50,9 @@ def target_encoding(spark, d):
 
 @check("m3_index_to_label", using("predicted", "SELECT o_orderkey, prediction FROM predicted"))
 def index_to_label(spark, d):
-    model = gnb.fit(training(spark, d), FEATURES, LABEL)
-    scored = gnb.with_scores(inference(spark, d), model).drop("prediction")
+    rows, open_rows = populations(spark, d)
+    model = gnb.fit(rows, FEATURES, LABEL)
+    scored = gnb.with_scores(open_rows, model).drop("prediction")
     return gnb.decode(scored, "prediction_index", model.class_mapping()).select(KEY, "prediction")
 
 
@@ -97,8 +98,8 @@ def predicted_class(spark, d):
 @check("m8_predicted_probability", using("predicted", """
   SELECT o_orderkey, prediction, round(probability, 6) AS probability FROM predicted"""))
 def predicted_probability(spark, d):
-    model = gnb.fit(training(spark, d), FEATURES, LABEL)
-    return gnb.with_scores(inference(spark, d), model).select(
+    rows, open_rows = populations(spark, d)
+    return gnb.with_scores(open_rows, gnb.fit(rows, FEATURES, LABEL)).select(
         KEY, "prediction", F.round(gnb.predicted_probability(), 6).alias("probability"))
 
 
@@ -277,15 +278,15 @@ def variant_comparison(spark, d):
          round(probability, 6) AS probability, 'v2' AS model_version, 'plain' AS model_variant, true AS timed
   FROM predicted p JOIN infer i ON p.o_orderkey = i.o_orderkey"""))
 def batch_predictions(spark, d):
-    model = gnb.fit(training(spark, d), FEATURES, LABEL)
-    rows = scoring.batch_predictions(inference(spark, d), model, KEY, "v2", "plain")
+    rows, open_rows = populations(spark, d)
+    rows = scoring.batch_predictions(open_rows, gnb.fit(rows, FEATURES, LABEL), KEY, "v2", "plain")
     timed = F.col("prediction_timestamp").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$")
     return rounded(rows.withColumn("timed", timed).drop("prediction_timestamp"), "probability")
 
 
 @check("m24_comparison_table", using("compared", "SELECT * FROM compared"))
 def comparison_table(spark, d):
-    rows, open_rows = training(spark, d), inference(spark, d)
+    rows, open_rows = populations(spark, d)
     a, b = (scoring.batch_predictions(open_rows, fit_variant(rows, KEY, FEATURES, LABEL, s), KEY, "v2", str(s))
             for s in (False, True))
     return scoring.comparison_table(a, b, KEY)
@@ -294,13 +295,14 @@ def comparison_table(spark, d):
 @check("m25_smoke_mode", using("predicted", """
   SELECT o_orderkey, prediction, round(probability, 6) AS probability FROM predicted ORDER BY o_orderkey LIMIT 5"""))
 def smoke_mode(spark, d):
-    model = gnb.fit(training(spark, d), FEATURES, LABEL)
-    return rounded(scoring.smoke_predictions(inference(spark, d), model, KEY, 0), "probability")
+    rows, open_rows = populations(spark, d)
+    model = gnb.fit(rows, FEATURES, LABEL)
+    return rounded(scoring.smoke_predictions(open_rows, model, KEY, 0), "probability")
 
 
 def spark_ml_scored(spark, d):
     """The same model through Spark ML: assembled vectors and its Gaussian classifier."""
-    rows, open_rows = training(spark, d), inference(spark, d)
+    rows, open_rows = populations(spark, d)
     stages = history.feature_stages([], FEATURES).fit(rows)
     encoded = stages.transform(gnb.encode(rows, LABEL, {LATE: 0, ON_TIME: 1}))
     model = NaiveBayes(modelType="gaussian", labelCol="label_index").fit(encoded)

@@ -11,7 +11,7 @@ from ..operators import quality, scoring
 from ..operators.gnb import fit
 from ..sources import catalog, ingest, publish
 from ..sources.staging import new_path, shared_dir
-from .bindings import FEATURES, KEY, LABEL, TABLES, inference, table, training
+from .bindings import FEATURES, KEY, LABEL, TABLES, populations, table
 from .registry import check
 from .sql import using
 
@@ -166,8 +166,8 @@ def table_comment(spark, d):
 @check("s12_prediction_files", using("predicted", """
   SELECT prediction, count(*)::BIGINT AS n, round(avg(probability), 6) AS probability FROM predicted GROUP BY 1"""))
 def prediction_files(spark, d):
-    model = fit(training(spark, d), FEATURES, LABEL)
-    rows = scoring.batch_predictions(inference(spark, d), model, KEY, "v1", "plain")
+    rows, open_rows = populations(spark, d)
+    rows = scoring.batch_predictions(open_rows, fit(rows, FEATURES, LABEL), KEY, "v1", "plain")
     stored = publish.write_files(rows, new_path(spark, "predictions"))
     return stored.groupBy("prediction").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 6).alias("probability"))
@@ -179,9 +179,9 @@ def prediction_files(spark, d):
        (SELECT unnest(['row_count', 'unique_key', 'no_nulls', 'schema']) AS gate),
        (SELECT count(*) = count(DISTINCT o_orderkey) AND count(*) = count(prediction) AS ok FROM predicted)"""))
 def promoted_tables(spark, d):
-    model = fit(training(spark, d), FEATURES, LABEL)
-    rows = publish.write_files(
-        scoring.batch_predictions(inference(spark, d), model, KEY, "v1", "plain"), new_path(spark, "predictions"))
+    rows, open_rows = populations(spark, d)
+    rows = publish.write_files(scoring.batch_predictions(
+        open_rows, fit(rows, FEATURES, LABEL), KEY, "v1", "plain"), new_path(spark, "predictions"))
     keys_path, store = new_path(spark, "keys"), scratch_layers(spark)[3]
     publish.write_files(rows.select(KEY, "prediction"), keys_path)
     checks = publish.promote(spark, [

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import stage
 from .metrics import count_where, melt
 from .quality import group_counts
 
+_BROADCAST_GROUPS = 100_000
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Counts per value, most frequent first, ties by value."""
@@ -38,6 +41,13 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ])))
 
 
+def _same_group(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Inner join on equal groups, NULL being a group like any other."""
+    renamed = right.withColumnsRenamed({g: f"__{g}" for g in groups})
+    condition = [left[g].eqNullSafe(renamed[f"__{g}"]) for g in groups]
+    return left.join(renamed, condition).drop(*[f"__{g}" for g in groups])
+
+
 def group_stats(df: DataFrame, groups: Sequence[str], value: str, digits: int = 9) -> DataFrame:
     """Mean, median, min, max, sample deviation (0 for one run) and runs per group.
 
@@ -45,29 +55,33 @@ def group_stats(df: DataFrame, groups: Sequence[str], value: str, digits: int =
     figures, brackets it between two values; only the distinct values inside the bracket (about a
     thousandth of the group) are counted and ranked. A bracket that misses fails the job.
     """
-    filled = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("__v"))
-    stats = filled.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("runs"), F.avg("__v").alias("__mean"),
+    values = df.select(*groups, F.col(value).cast("double").alias("__v"))
+    stats = stage(values.groupBy(*groups).agg(
+        F.count("__v").alias("runs"), F.avg("__v").alias("__mean"),
         F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.stddev_samp("__v").alias("__std"),
         F.percentile_approx("__v", [0.4995, 0.5005], 10000).alias("__bracket"),
-    )
-    bounds = stats.select(*groups, F.get("__bracket", F.lit(0)).alias("__lo"), F.get("__bracket", F.lit(1)).alias("__hi"))
+    ), "group-stats")
+    bounds = stats.select(
+        *groups, "runs", F.get("__bracket", F.lit(0)).alias("__lo"), F.get("__bracket", F.lit(1)).alias("__hi"))
+    if stats.limit(_BROADCAST_GROUPS + 1).count() <= _BROADCAST_GROUPS:
+        bounds = F.broadcast(bounds)  # a hot group then stays where it is
     # values below the bracket count as one entry of their group
-    near = filled.join(bounds, list(groups)).filter(F.col("__v") <= F.col("__hi")).select(
-        *groups, F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v"))
-    counted = near.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    near = _same_group(values, bounds, groups).filter(F.col("__v") <= F.col("__hi")).select(
+        *groups, "runs", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v"))
+    counted = near.groupBy(*groups, "runs", "__v").agg(F.count(F.lit(1)).alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy(*groups).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("__upto", upto).join(stats.select(*groups, "runs"), list(groups))
-    n = F.col("runs")
-    median = ranked.groupBy(*groups).agg(
-        F.min(F.when(F.col("__upto") >= F.floor((n + 1) / 2), F.struct("__upto", "__v"))).alias("__low"),
-        F.min(F.when(F.col("__upto") >= F.floor((n + 2) / 2), F.struct("__upto", "__v"))).alias("__high"),
+
+    def value_at(rank) -> Column:
+        return F.min(F.when(F.col("__upto") >= F.floor(rank), F.struct("__upto", "__v")))
+
+    median = counted.withColumn("__upto", upto).groupBy(*groups).agg(
+        value_at((F.col("runs") + 1) / 2).alias("__low"), value_at((F.col("runs") + 2) / 2).alias("__high"),
     ).select(*groups, F.when(
         F.col("__low.__v").isNull() | F.col("__high.__v").isNull(), F.raise_error(F.lit("median outside its bracket"))
     ).otherwise((F.col("__low.__v") + F.col("__high.__v")) / 2).alias("__median"))
-    out = df.select(*groups).distinct().join(stats, list(groups), "left").join(median, list(groups), "left")
-    return out.select(*groups, F.coalesce("runs", F.lit(0)).alias("runs"), *[
+    none = stats.filter("runs = 0").select(*groups, F.lit(None).cast("double").alias("__median"))
+    return _same_group(stats, median.unionByName(none), groups).select(*groups, "runs", *[
         F.round(c, digits).alias(name) for c, name in (
             (F.col("__mean"), "mean_sec"), (F.col("__median"), "median_sec"), (F.col("__min"), "min_sec"),
             (F.col("__max"), "max_sec"), (F.coalesce("__std", F.lit(0.0)), "std_sec"))

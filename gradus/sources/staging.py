@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _local_dir: dict[str, str] = {}
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,4 +37,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of what was written."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what :func:`stage` has written in this process, once no lazy result needs it any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped

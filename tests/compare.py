@@ -17,6 +17,9 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def _plain(value):
     if isinstance(value, float):
         if math.isnan(value):
@@ -44,6 +47,10 @@ def compare(spark, con, name: str, query, sql: str, folder: str) -> tuple[str |
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}", len(got), spark_time, sql_time
     order = sorted(names)
+    types = {c[0]: TYPES.get(str(c[1]), str(c[1])) for c in cursor.description}
+    wrong = {c: (t, types[c]) for c, t in df.dtypes if types[c] != t}
+    if wrong:
+        return f"types {wrong}", len(got), spark_time, sql_time
     a = [tuple(_plain(r[df.columns.index(c)]) for c in order) for r in got]
     b = [tuple(_plain(r[names.index(c)]) for c in order) for r in want]
     if len(a) != len(b):

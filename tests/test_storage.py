@@ -138,3 +138,11 @@ def test_shared_folder_comes_from_the_session(spark):
         assert staging.shared_dir(spark) == configured.rstrip("/")
     staged = staging.stage(spark.range(5).withColumn("x", F.lit("a")), "test")
     assert staged.count() == 5 and staged.columns == ["id", "x"]
+    (file,) = {f.rsplit("/", 1)[0] for f in staged.inputFiles()}
+    assert file.removeprefix("file://").startswith(staging.shared_dir(spark).removeprefix("file:"))
+
+
+def test_staged_data_can_be_dropped(spark, monkeypatch):
+    monkeypatch.setattr(staging, "_staged", [])
+    staging.stage(spark.range(3))
+    assert staging.drop_staged(spark) == 1 and staging.drop_staged(spark) == 0

@@ -131,3 +131,22 @@ def test_undecided_gate_fails(spark):
 def test_require_unique_key(spark):
     with pytest.raises(quality.InvalidDataset):
         quality.require_unique_key(spark.createDataFrame([(1,), (1,)], "k int"), "k")
+
+
+def test_group_stats_are_exact(spark):
+    import statistics
+
+    from gradus.operators.profile import group_stats
+
+    data = {"a": [5.0] * 40 + [float(i % 7) for i in range(61)], None: [3.0, 1.0], "one": [2.5], "none": [None],
+            "big": [float((i * 7919) % 20011) for i in range(20000)]}
+    rows = [(g, v) for g, vs in data.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: r.asDict() for r in group_stats(df, ["g"], "v").collect()}
+    assert set(got) == set(data)
+    for g, vs in data.items():
+        vs = [v for v in vs if v is not None]
+        assert got[g]["runs"] == len(vs)
+        if vs:
+            assert got[g]["median_sec"] == statistics.median(vs) and got[g]["min_sec"] == min(vs)
+            assert got[g]["std_sec"] == pytest.approx(statistics.stdev(vs) if len(vs) > 1 else 0.0)
