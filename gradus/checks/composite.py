@@ -16,7 +16,7 @@ from ..plans.modelling import ModelSpec
 from ..sources.catalog import replace_table
 from ..sources.staging import new_path, stage
 from .aggregates import AGREEMENT_SQL, SUMMARY_SQL, quality_summaries
-from .bindings import FEATURES, KEY, LABEL, LATE, LINE_ORDER, ON_TIME, SPEC, fact, inference, populations, star, table, training
+from .bindings import FEATURES, KEY, LABEL, LATE, ON_TIME, SPEC, fact, inference, populations, star, table, training
 from .joins import keyed_lines, open_orders
 from .models import rounded
 from .registry import check
@@ -36,10 +36,18 @@ ORDERS = TableSpec(
         Rule("price_high", "price_eur > 400000", info=True),
     ),
 )
+LINE_COLUMNS = {  # raw name -> column of lineitem
+    "Order Key": "l_orderkey", "Line": "l_linenumber", "Part-Key": "l_partkey", "Supp-Key": "l_suppkey",
+    "Quantity": "l_quantity", "Extended Price": "l_extendedprice", "Discount": "l_discount", "Tax": "l_tax",
+    "Return/Flag": "l_returnflag", "Line Status": "l_linestatus", "Ship Date": "l_shipdate",
+}
+LINE_PLACE = ("line", "part_key", "supp_key", "quantity", "extended_price", "discount", "tax", "return_flag",
+              "line_status", "ship_date")
 LINES = TableSpec(
     source="lines_raw", target="lines", key="order_key",
     columns={"Order Key": "order_key", "Line": "line"},
-    casts={"quantity": "double", "extended_price": "double", "line": "int"},
+    casts={"line": "int", "part_key": "int", "supp_key": "int", "quantity": "double", "extended_price": "double",
+           "discount": "double", "tax": "double", "ship_date": "date"},
     rules=(
         Rule("null_key", "order_key IS NULL", rejects=True),
         Rule("no_quantity", "quantity IS NULL", rejects=True),
@@ -53,7 +61,7 @@ STAR = StarSpec(
     key="order_key", dim_source="orders", dim_target="dim_order",
     dim_columns=("order_key", "status", "entry_date", "exit_date", "price_eur"),
     fact_source="lines", fact_target="fact_line", fact_columns=("order_key", "quantity", "extended_price"),
-    measures=("quantity", "extended_price"), fact_order=("place", "quantity", "extended_price"),
+    measures=("quantity", "extended_price"), fact_order=LINE_PLACE,
     pass_through={"nations": "nation"},
 )
 FLOW_FEATURES = FeatureSpec(
@@ -77,14 +85,8 @@ def raw_orders(spark, d):
 
 
 def raw_lines(spark, d):
-    """All line items as text; ``place`` spells the tie-breaking columns out in a sortable way."""
-    numbers = [F.lpad(F.col(c).cast("string"), 12, "0") for c in LINE_ORDER[:3]]
-    rest = [F.format_string("%020.4f", F.col(c)) for c in LINE_ORDER[3:7]]
-    place = F.concat_ws("/", *numbers, *rest, "l_returnflag", "l_linestatus", F.date_format("l_shipdate", "yyyyMMdd"))
-    return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("Order Key"), F.col("l_linenumber").cast("string").alias("Line"),
-        F.col("l_quantity").cast("string").alias("Quantity"),
-        F.col("l_extendedprice").cast("string").alias("Extended Price"), place.alias("Place"))
+    """All line items as text."""
+    return table(spark, d, "lineitem").select(*[F.col(c).cast("string").alias(raw) for raw, c in LINE_COLUMNS.items()])
 
 
 def silver_layer(spark, d):

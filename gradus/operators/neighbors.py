@@ -180,7 +180,7 @@ def nearest_neighbors(
     sample = np.empty((0, d))
     if depth:
         share = min(1.0, _SAMPLE_PER_CELL * (1 << depth) / total)
-        sample = base.select(*x_names).sample(share, 42).toPandas().to_numpy()
+        sample = np.unique(base.select(*x_names).sample(share, 42).toPandas().to_numpy(), axis=0)
     tree = SplitTree(sample, depth)
     shared = points.sparkSession.sparkContext.broadcast(tree) if depth > 12 else None
 
