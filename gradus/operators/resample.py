@@ -17,7 +17,7 @@ from ..functions.hashing import key_hash, uniform
 from .metrics import union_all
 from .neighbors import nearest_neighbors, outside_fold
 from .quality import InvalidDataset
-from .split import HashOrder, StratifiedSplit, class_counts, rank_cuts
+from .split import HashOrder, StratifiedSplit, counts_of_prefixes, prefix_counts, rank_cuts
 
 
 def shortfalls(counts: Mapping[object, int], k: int) -> dict:
@@ -70,11 +70,13 @@ def smote(
     ``counts`` and ``cuts`` may be handed in where a split of the same rows has them already.
     """
     order = HashOrder(key, label, seed)
-    counts = counts or class_counts(df, label)
+    prefixes = prefix_counts(df, order) if counts is None or cuts is None else None
+    if counts is None:
+        counts = counts_of_prefixes(prefixes, label)
     missing = shortfalls(counts, k)
     ranks = {c: [n % counts[c]] for c, n in missing.items()}
     if cuts is None:
-        cuts = rank_cuts(df, order, ranks)
+        cuts = rank_cuts(df, order, ranks, prefixes)
     parts = []
     for c, n in missing.items():
         near = nearest_neighbors(df.filter(F.col(label) == F.lit(c)), key, features, k, total=counts[c])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import key_hash, uniform
+from ..sources.staging import stage
 from .quality import InvalidDataset
 
 _PREFIX_DIGITS = 4
@@ -49,26 +50,47 @@ class Cut:
     key: object
 
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class in label order. Classes are few by definition; more than that is an error."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(_MAX_CLASSES + 1).collect()
-    if len(rows) > _MAX_CLASSES:
+def _few_classes(rows: DataFrame, label: str) -> dict:
+    """``{label: n}`` in label order. Classes are few by definition; more than that is an error."""
+    found = rows.limit(_MAX_CLASSES + 1).collect()
+    if len(found) > _MAX_CLASSES:
         raise InvalidDataset(f"{label} has more than {_MAX_CLASSES} values; not a class label")
-    if any(r[label] is None for r in rows):
+    if any(r[label] is None for r in found):
         raise InvalidDataset(f"{label} has NULL values")
-    return {r[label]: r["n"] for r in sorted(rows, key=lambda r: r[label])}
+    return {r[label]: r["n"] for r in sorted(found, key=lambda r: r[label])}
+
+
+def class_counts(df: DataFrame, label: str) -> dict:
+    """Rows per class in label order."""
+    return _few_classes(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label)
+
+
+def _with_prefix(df: DataFrame, order: HashOrder) -> DataFrame:
+    return df.select(order.label, order.key, order.digest.alias("__digest")).withColumn(
+        "__prefix", F.substring("__digest", 1, _PREFIX_DIGITS))
 
 
-def rank_cuts(df: DataFrame, order: HashOrder, ranks: Mapping[object, Sequence[int]]) -> dict:
+def prefix_counts(df: DataFrame, order: HashOrder) -> DataFrame:
+    """Stored counts per class and hash prefix: at most 65,536 rows per class, from one pass over the data."""
+    counts = _with_prefix(df, order).groupBy(order.label, "__prefix").agg(F.count(F.lit(1)).alias("__n"))
+    return stage(counts, "prefix-counts")
+
+
+def counts_of_prefixes(prefixes: DataFrame, label: str) -> dict:
+    """Rows per class in label order, from :func:`prefix_counts`."""
+    return _few_classes(prefixes.groupBy(label).agg(F.sum("__n").alias("n")), label)
+
+
+def rank_cuts(
+    df: DataFrame, order: HashOrder, ranks: Mapping[object, Sequence[int]], prefixes: DataFrame | None = None
+) -> dict:
     """``{(class, rank): Cut}`` for 1-based ranks inside each class."""
     wanted = [(label, rank) for label, rs in ranks.items() for rank in sorted(set(rs)) if rank > 0]
     if not wanted:
         return {}
     label = order.label
-    rows = df.select(
-        label, order.key, order.digest.alias("__digest")
-    ).withColumn("__prefix", F.substring("__digest", 1, _PREFIX_DIGITS))
-    counts = rows.groupBy(label, "__prefix").agg(F.count(F.lit(1)).alias("__n"))
+    rows = _with_prefix(df, order)
+    counts = prefix_counts(df, order) if prefixes is None else prefixes
     running = Window.partitionBy(label).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
     targets = F.create_map(*[
         x for c in ranks for x in (F.lit(c), F.lit([int(r) for l, r in wanted if l == c]).cast("array<bigint>"))])
@@ -84,9 +106,9 @@ def rank_cuts(df: DataFrame, order: HashOrder, ranks: Mapping[object, Sequence[i
     )
     in_end_prefix = F.lit(False)
     for c in ranks:
-        prefixes = sorted({e["__prefix"] for e in ends if e[label] == c})
-        if prefixes:
-            in_end_prefix = in_end_prefix | ((F.col(label) == F.lit(c)) & F.col("__prefix").isin(prefixes))
+        at_ends = sorted({e["__prefix"] for e in ends if e[label] == c})
+        if at_ends:
+            in_end_prefix = in_end_prefix | ((F.col(label) == F.lit(c)) & F.col("__prefix").isin(at_ends))
     at = Window.partitionBy(label, "__prefix").orderBy("__digest", order.key)
     ranked = rows.filter(in_end_prefix).withColumn("__at", F.row_number().over(at))
     hit = F.lit(False)
@@ -175,20 +197,21 @@ def stratified_split(
 ) -> StratifiedSplit:
     """Exact stratified holdout plus stratified folds inside the training part.
 
-    ``df`` is read three times (class counts, prefix counts, the few boundary prefixes), so hand in a
-    stored table. ``more_ranks(counts, train, folds)`` names further ranks per class to look up on the
-    same passes.
+    ``df`` is read twice (counts per hash prefix, rows of the few boundary prefixes), so hand in a stored
+    table. ``more_ranks(counts, train, folds)`` names further ranks per class to look up on the same
+    passes.
     """
-    counts = class_counts(df, label)
+    order = HashOrder(key, label, seed)
+    prefixes = prefix_counts(df, order)
+    counts = counts_of_prefixes(prefixes, label)
     if len(counts) == 0 or min(counts.values()) < 2:
         raise InvalidDataset(f"every class needs at least two rows: {counts}")
-    order = HashOrder(key, label, seed)
     train = train_sizes(counts, test_share)
     sizes = fold_sizes(train, folds)
     ranks = {c: sorted({sum(sizes[c][: i + 1]) for i in range(folds)} | {train[c]}) for c in counts}
     more = more_ranks(counts, train, sizes) if more_ranks else {}
     ranks = {c: [*r, *more.get(c, ())] for c, r in ranks.items()}
-    return StratifiedSplit(order, counts, train, sizes, rank_cuts(df, order, ranks))
+    return StratifiedSplit(order, counts, train, sizes, rank_cuts(df, order, ranks, prefixes))
 
 
 def random_split(df: DataFrame, key: str, shares: Sequence[float], seed: int = 42, name: str = "part") -> DataFrame:
