@@ -25,8 +25,8 @@ OTHER, LETTER, NUMBER, SPACE, EDGE, SPECIAL = range(6)
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BASE = 0x9E3779B97F4A7C15
 _SPECIAL_HASH = np.uint64(1)
-BLOCK_CHARS = 1 << 21
-PIECE_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 20
+PIECE_CHARS = 1 << 19
 
 
 @lru_cache(1)
@@ -151,7 +151,7 @@ class Split:
 class Memo:
     """Values of distinct pre-tokens by hash; emptied when it holds ``limit`` of them, which costs time only."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 500_000):
         self.limit, self.known = limit, {}
 
     def rows(self, split: Split) -> np.ndarray:
@@ -193,7 +193,7 @@ class Grown:
 class LibraryIds(Memo):
     """Ids of pre-tokens as the tokenizers library gives them."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         super().__init__(limit)
         from tokenizers import Tokenizer
 

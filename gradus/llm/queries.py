@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_counts, token_files
+from . import fingerprints, jaccard_join, line_dedup, packing, quality_rules, sql, token_counts, token_files, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -15,6 +16,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_documents(_table(spark, folder, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.quality_rules(_table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), BYTE_BPE)
 
@@ -23,9 +33,23 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(_table(spark, folder, "documents"), BYTE_BPE)
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.drop_shared_lines(_table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"), BYTE_BPE)
 
 
-queries = {f.__name__: f for f in (op3_best_fit_packing, op4_token_files, op9_token_counts)}
-oracles: dict[str, str] = {}
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, folder, "pages"))
+
+
+queries = {f.__name__: f for f in (
+    op1_document_fingerprints, op2_quality_rules, op3_best_fit_packing, op4_token_files, op6_jaccard_join, op8_line_dedup, op9_token_counts, op10_warc)}
+oracles = {"op6_jaccard_join": sql.JACCARD, "op2_quality_rules": sql.quality_rules(), "op8_line_dedup": sql.line_dedup("documents"), "op10_warc": sql.WARC}

@@ -23,7 +23,7 @@ _NO_RANK = np.int64(1 << 40)
 class MergedCounts(Memo):
     """Number of symbols that survive the merges of each distinct pre-token."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         super().__init__(limit)
         self.special, _ = byte_level(path)
         with open(path, encoding="utf-8") as file:
