@@ -4,15 +4,19 @@ Notation: n is a set's size. Two sets at a similarity of at least 3/4 share at l
 
 1. Sets and nodes. Documents with equal sets are one node.
 2. Regions. A node's region is its floor(n/4) + 1 + e lowest shingle hashes, e = (n - 1) // 8; the regions of two
-   linked sets share more than e shingles of either. So each may leave out its e most frequent ones and still meet
-   the other in a shingle that both kept: the least frequent one they share in both regions. What stays are the
-   node's probes. Shingles that one region alone has cannot meet anything; most nodes end here.
-3. Index lists by position. A list holds the nodes of one probe in blocks by set size, each block 1.4 times the size
-   of the one before; only equal and adjacent blocks can hold linked sets, all others are skipped unread.
-4. Answers from similar sets. Each list first compares its members with one leader only. Members that come to lie in
+   linked sets share more than e shingles of either. A node with at most e shingles that other regions have as well
+   links with nothing. Most nodes end here, on a third of their shingles.
+3. Probes. Of the rest, whole sets are counted. A node with fewer than ceil(3n/4) shingles that others have ends here.
+   Each other one may leave out its ceil(3n/4) - 1 most frequent shingles and still meet every linked set in a shingle
+   that both kept: the least frequent one they share. What stays are its probes, in order of frequency.
+4. Index lists by position. A list holds the nodes of one probe in blocks by set size, each block 1.4 times the size
+   of the one before; only equal and adjacent blocks can hold linked sets, all others are skipped unread. Two nodes
+   are compared only if what comes after the probe's positions in both is still enough for a link.
+5. Answers from similar sets. Each list first compares its members with one leader only, the one with the fewest
+   shingles of its own. Members that come to lie in
    one component need no answer among each other. For the rest the distance 1 - similarity is a metric: members whose
    distances to the leader differ by more than 1/4 cannot link, so only the others are compared.
-5. Verification is exact, on whole sets. Links merge into components.
+6. Verification is exact, on whole sets. Links merge into components.
 """
 
 from __future__ import annotations
@@ -75,8 +79,8 @@ def _lengthen(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view(np.uint64)
 
 
-def _blocks(df: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """Regions of distinct nodes as arrays by bucket of hashes, and for each batch of nodes their names and sizes.
+def _blocks(df: DataFrame, text_col: str, buckets: int, whole: bool) -> DataFrame:
+    """Regions (or ``whole`` sets) of distinct nodes as arrays by bucket of hashes, and for each batch of nodes their names and sizes.
 
     Equal sets meet by name and are written once; a task sends each set that it has seen lately once only.
     """
@@ -87,7 +91,7 @@ def _blocks(df: DataFrame, text_col: str, buckets: int) -> DataFrame:
                 for s, (s1, s2) in zip(sets, _node(sets), strict=True):
                     if len(s) and (s1, s2) not in seen:
                         seen.add((s1, s2))
-                        rows.append((s1, s2, len(s), _shorten(s[:region_size(len(s))])))
+                        rows.append((s1, s2, len(s), _shorten(s if whole else s[:region_size(len(s))])))
             if rows:
                 yield dict(zip(("s1", "s2", "n", "region"), map(list, zip(*rows)), strict=True))
 
@@ -161,8 +165,8 @@ def _shared(blocks: DataFrame) -> DataFrame:
     return over_batches(dealt, ["bucket", "batch", "a", "b"], count, "batch long, owner binary, tokens binary, df binary")
 
 
-def _probes(blocks: DataFrame) -> DataFrame:
-    """s1, n and the probes that some other region has, of nodes with such probes; stored."""
+def _probes(blocks: DataFrame, whole: bool) -> DataFrame:
+    """s1, n, the probes that some other node has, and the first one's position, of nodes with such probes; stored."""
     names = blocks.filter("bucket < 0").select("batch", F.col("a").alias("s1"), F.col("b").alias("n"))
     nothing = F.lit(None).cast("binary")
     rows = _shared(blocks).select("*", nothing.alias("s1"), nothing.alias("n")).unionByName(
@@ -190,17 +194,18 @@ def _probes(blocks: DataFrame) -> DataFrame:
         owner, tokens = owner[order], tokens[order]
         shared = np.bincount(owner, minlength=len(n))
         first = np.cumsum(shared) - shared
-        left_out = (n - 1) // 8
+        left_out = -(-3 * n // 4) - 1 if whole else (n - 1) // 8
         # single shingles come first in the order of frequency; the most frequent e are left out
         keep = np.arange(len(owner)) - first[owner] < shared[owner] - left_out[owner]
         owner, tokens = owner[keep], tokens[keep]
         count = np.bincount(owner, minlength=len(n))
         alive = np.flatnonzero(count).tolist()
         ends = np.cumsum(count)
-        return {"s1": s1[alive], "n": n[alive], "tokens": [tokens[ends[k] - count[k]:ends[k]].view(np.int64) for k in alive]}
+        single = (n if whole else n // 4 + 1 + (n - 1) // 8) - shared
+        return {"s1": s1[alive], "n": n[alive], "single": single[alive], "tokens": [tokens[ends[k] - count[k]:ends[k]].view(np.int64) for k in alive]}
 
     dealt = rows.repartition("batch").sortWithinPartitions("batch")
-    return stage(over_batches(dealt, columns, run, "s1 long, n long, tokens array<long>"), "probes")
+    return stage(over_batches(dealt, columns, run, "s1 long, n long, single long, tokens array<long>"), "probes")
 
 
 def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -240,12 +245,15 @@ def _links(verified: DataFrame) -> DataFrame:
     return verified.filter("100 * both >= 75 * (n_a + n_b - both)").select("a", "b")
 
 
-def _whole_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """s1 and the whole set of the wanted nodes (id of one document of each, s1); stored."""
+def _documents(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, s1 and text of the wanted nodes' documents (id of one document of each, s1)."""
     wanted = stage(wanted, "wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(side, "id")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(side, "id")
 
+
+def _whole_sets(texts: DataFrame) -> DataFrame:
+    """s1 and the whole set of every node of ``texts``; stored."""
     def run(source) -> Iterator[dict]:
         for batch in source:
             for part, sets in _sets(batch, "text"):
@@ -257,17 +265,23 @@ def _whole_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return stage(found.dropDuplicates(["s1"]), "whole-sets")
 
 
+def _buckets(sizes: DataFrame, share: float) -> int:
+    tokens = sizes.agg(F.sum(F.floor(F.col("n") * share) + 1)).first()[0] or 0
+    return max(1, math.ceil(tokens / BUCKET_TOKENS))
+
+
 def find_links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) between nodes that connect all that is connected: not every link, but no component lacks one."""
-    tokens = sets.filter("n > 0").agg(F.sum(F.floor(F.col("n") * 0.375) + 1)).first()[0] or 0
-    blocks = _blocks(df, text_col, max(1, math.ceil(tokens / BUCKET_TOKENS)))
-    probes = _probes(blocks)
-    lists = probes.select("s1", "n", F.explode("tokens").alias("token"))
-    led = lists.groupBy("token").agg(F.min("s1").alias("leader"), F.max("s1").alias("other")).filter("leader < other").select("token", "leader")
-    lists = stage(lists.join(led, "token"), "lists")
+    ids = sets.filter("n > 0").groupBy("s1").agg(F.min("id").alias("id"))
+    near = _probes(_blocks(df, text_col, _buckets(sets, 0.375), whole=False), whole=False)
+    texts = _documents(df, ids.join(near.select("s1"), "s1"), id_col, text_col)
+    probes = _probes(_blocks(texts, "text", _buckets(near, 1.0), whole=True), whole=True)
+    lists = probes.select("s1", "n", "single", F.posexplode("tokens").alias("at", "token")).withColumn("at", F.col("single") + F.col("at"))
+    # the member with the fewest shingles of its own leads: an original rather than one of its edited copies
+    led = lists.groupBy("token").agg(F.min(F.struct("single", "s1")).alias("leader"), F.min("n").alias("least_n"), F.count("*").alias("_n")).filter("_n > 1").select("token", F.col("leader.s1").alias("leader"), "least_n")
+    lists = stage(lists.drop("single").join(led, "token"), "lists")
     first = stage(lists.filter("s1 <> leader").select(F.col("leader").alias("a"), F.col("s1").alias("b")).distinct(), "pairs")
-    ids = sets.groupBy("s1").agg(F.min("id").alias("id")).join(lists.select("s1").distinct(), "s1")
-    arrays = _whole_sets(df, ids, id_col, text_col)
+    arrays = _whole_sets(_documents(df, ids.join(lists.select("s1").distinct(), "s1"), id_col, text_col))
     verified = _verify(first, arrays)
     links = _links(verified)
     labels = components(links)
@@ -275,16 +289,18 @@ def find_links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> Da
     # the rest: members of one list in different components, in adjacent blocks, at distances that allow a link
     distance = 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
     known = verified.select(F.col("a").alias("leader"), F.col("b").alias("s1"), distance.alias("far"))
-    placed = lists.join(labels.withColumnRenamed("node", "s1"), "s1", "left").join(known, ["leader", "s1"], "left").select(
-        "token", "s1", "n", F.coalesce("label", "s1").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"),
+    # (a member from whose position on not even the list's smallest set could link stays out)
+    reachable = lists.filter("7 * (n - at) >= 3 * (n + greatest(least_n, ceil(0.75 * n)))")
+    placed = reachable.join(labels.withColumnRenamed("node", "s1"), "s1", "left").join(known, ["leader", "s1"], "left").select(
+        "token", "s1", "n", "at", F.coalesce("label", "s1").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"),
         F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)).alias("block"))
     mixed = placed.groupBy("token").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("token")
     open_lists = stage(placed.join(mixed, "token"), "open-lists")
-    x = open_lists.select("token", *(F.col(c).alias(f"x_{c}") for c in ("s1", "n", "label", "far")), F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"))
-    y = open_lists.select("token", "block", *(F.col(c).alias(f"y_{c}") for c in ("s1", "n", "label", "far")))
+    x = open_lists.select("token", *(F.col(c).alias(f"x_{c}") for c in ("s1", "n", "at", "label", "far")), F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"))
+    y = open_lists.select("token", "block", *(F.col(c).alias(f"y_{c}") for c in ("s1", "n", "at", "label", "far")))
     rest = x.join(y, ["token", "block"]).filter(
-        "x_s1 < y_s1 and x_label <> y_label and 4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n) and abs(x_far - y_far) <= 0.250001"
-    ).select(F.col("x_s1").alias("a"), F.col("y_s1").alias("b")).distinct()
+        "x_s1 < y_s1 and x_label <> y_label and 4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n) and abs(x_far - y_far) <= 0.250001 "
+        "and 7 * least(x_n - x_at, y_n - y_at) >= 3 * (x_n + y_n)").select(F.col("x_s1").alias("a"), F.col("y_s1").alias("b")).distinct()
     rest = stage(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     return links.unionByName(_links(_verify(rest, arrays)))
 
