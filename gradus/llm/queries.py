@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, line_dedup, packing, quality_rules, sql, token_counts, token_files, warc
+from . import fingerprints, jaccard_join, license_scan, line_dedup, packing, piece_codec, quality_rules, sql, token_counts, token_files, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,10 +33,18 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(_table(spark, folder, "documents"), BYTE_BPE)
 
 
+def op5_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_codec.digests(_table(spark, folder, "documents"), PIECE_BPE)
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, folder, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup.drop_shared_lines(_table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -51,5 +59,5 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 queries = {f.__name__: f for f in (
-    op1_document_fingerprints, op2_quality_rules, op3_best_fit_packing, op4_token_files, op6_jaccard_join, op8_line_dedup, op9_token_counts, op10_warc)}
+    op1_document_fingerprints, op2_quality_rules, op3_best_fit_packing, op4_token_files, op5_piece_codec, op6_jaccard_join, op7_license_scan, op8_line_dedup, op9_token_counts, op10_warc)}
 oracles = {"op6_jaccard_join": sql.JACCARD, "op2_quality_rules": sql.quality_rules(), "op8_line_dedup": sql.line_dedup("documents"), "op10_warc": sql.WARC}
