@@ -204,8 +204,8 @@ def quarantine(spark, d):
 
 def leak_rows(df, spec: FeatureSpec, labels=()):
     """``(column, verdict, filled)`` for every column that must not reach the model."""
-    forbidden, extra = features.leaking_columns(df.columns, spec.features, spec.key, spec.denied, labels)
-    verdicts = [(c, "denied") for c in forbidden] + [(c, "unexpected") for c in extra]
+    roles = features.model_roles(spec.features, spec.key, labels)
+    verdicts = [v for v in features.column_verdicts(df.schema, roles, spec.denied) if v[1] in ("denied", "unexpected")]
     row = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(c).alias(c) for c in dict.fromkeys(c for c, _ in verdicts)])
     found = [F.struct(F.lit(c).alias("column"), F.lit(v).alias("verdict"), F.col(c).alias("filled")) for c, v in verdicts]
     clean = F.struct(F.lit("").alias("column"), F.lit("clean").alias("verdict"), F.col("__rows").alias("filled"))
@@ -238,8 +238,9 @@ def training_guard(spark, d):
 def schema_contract(spark, d):
     orders = table(spark, d, "orders")
     declared = [c for c in orders.columns if c != "o_custkey"] + ["o_comment"]
-    pairs = [(c, "extra") for c in orders.columns if c not in declared]
-    pairs += [(c, "missing") for c in declared if c not in orders.columns]
+    named = {"unexpected": "extra", "missing": "missing"}
+    verdicts = features.column_verdicts(orders.schema, dict.fromkeys(declared, "declared"))
+    pairs = [(c, named[v]) for c, v in verdicts if v in named]
     return orders.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(v).alias("verdict"), F.col("rows").alias("rows")) for c, v in pairs])))
 

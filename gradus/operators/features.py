@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.casts import normalized
 from .dedup import first_per_key
-from .metrics import count_where
+from .metrics import count_where, is_missing
 from .quality import missing_measures
 
 
@@ -41,35 +41,46 @@ def complete_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(features))
 
 
-def leaking_columns(
-    columns: Iterable[str], features: Sequence[str], key: str,
-    denied: Iterable[str] = (), labels: Iterable[str] = (),
-) -> tuple[list[str], list[str]]:
-    """(denied columns present, columns outside key + features + labels)."""
-    columns, labels = list(columns), set(labels)
-    allowed = {key, *features, *labels}
-    forbidden = [c for c in denied if c in columns and c not in labels]
-    return forbidden, [c for c in columns if c not in allowed]
+def column_verdicts(
+    schema: T.StructType, roles: Mapping[str, str], denied: Iterable[str] = (), types: Mapping[str, T.DataType] | None = None,
+) -> list[tuple[str, str]]:
+    """``(column, verdict)`` of every column of a schema against the roles that a contract gives.
+
+    A column in its place gets its role as verdict; else it is ``unexpected``, of ``wrong type``, or ``missing``.
+    ``denied`` comes on top, for columns that must not reach a model in any other role than the label.
+    """
+    kept_out = set(denied)
+    found = [(f.name, "denied") for f in schema if f.name in kept_out and roles.get(f.name) != "label"]
+    for field in schema:
+        role = roles.get(field.name, "unexpected")
+        mistyped = role != "unexpected" and types is not None and types[field.name] != field.dataType
+        found.append((field.name, "wrong type" if mistyped else role))
+    return found + [(name, "missing") for name in roles if name not in schema.names]
+
+
+def model_roles(features: Sequence[str], key: str, labels: Iterable[str] = ()) -> dict[str, str]:
+    return {key: "key"} | dict.fromkeys(features, "feature") | dict.fromkeys(labels, "label")
+
+
+def _refuse(error: type[ValueError], found: Iterable[tuple[str, str]], *verdicts: str) -> None:
+    wrong = [f"{column}: {verdict}" for column, verdict in found if verdict in verdicts]
+    if wrong:
+        raise error("; ".join(wrong))
 
 
 def check_leakage(
     df: DataFrame, features: Sequence[str], key: str,
     denied: Iterable[str] = (), labels: Iterable[str] = (),
 ) -> None:
-    forbidden, extra = leaking_columns(df.columns, features, key, denied, labels)
-    if forbidden or extra:
-        raise LeakageError(f"denied columns {forbidden}, unexpected columns {extra}")
+    """Nothing but key, features and labels may be there."""
+    _refuse(LeakageError, column_verdicts(df.schema, model_roles(features, key, labels), denied), "denied", "unexpected")
 
 
 def check_schema(df: DataFrame, declared: T.StructType, types: bool = False) -> None:
     """Exactly the declared columns must be there (and, if asked, with the declared types)."""
-    have = {f.name: f.dataType for f in df.schema.fields}
-    want = {f.name: f.dataType for f in declared.fields}
-    missing = [c for c in want if c not in have]
-    extra = [c for c in have if c not in want]
-    wrong = [c for c in want if types and c in have and have[c] != want[c]]
-    if missing or extra or wrong:
-        raise SchemaError(f"missing {missing}, extra {extra}, wrong type {wrong}")
+    kinds = {f.name: f.dataType for f in declared} if types else None
+    roles = dict.fromkeys(declared.names, "declared")
+    _refuse(SchemaError, column_verdicts(df.schema, roles, types=kinds), "missing", "unexpected", "wrong type")
 
 
 def as_doubles(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
@@ -146,13 +157,10 @@ def feature_report(joined: DataFrame, spec: FeatureSpec, training: bool = True)
     population = labelled_population(joined, spec) if training else open_population(joined, spec)
     complete = F.lit(True)
     for f in spec.features:
-        filled = F.col(f).isNotNull()
-        if isinstance(population.schema[f].dataType, (T.DoubleType, T.FloatType)):
-            filled = filled & ~F.isnan(f)
-        complete = complete & filled
+        complete = complete & ~is_missing(population, f)
     unmeasured = F.lit(False)
     for m in spec.measures:
-        unmeasured = unmeasured | F.col(m).isNull()
+        unmeasured = unmeasured | is_missing(population, m)
     labels = [
         count_where(F.col(spec.label) == spec.on_time).alias("label_on_time"),
         count_where(F.col(spec.label) == spec.late).alias("label_late"),

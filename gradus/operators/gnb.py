@@ -89,6 +89,8 @@ class GaussianNB:
             raise InvalidDataset("no rows to fit on")
         labels = sorted(present)
         everything = merge(present.values())
+        if not max(everything.var) > 0:
+            raise InvalidDataset("no feature varies")
         epsilon = VAR_SMOOTHING * max(everything.var)
         return cls(
             labels=tuple(labels),

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def count_where(condition: Column) -> Column:
@@ -14,6 +15,12 @@ def count_where(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
+def is_missing(df: DataFrame, column: str) -> Column:
+    """Whether a row has neither a value nor, in a floating-point column, a number."""
+    floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    return F.col(column).isNull() | F.isnan(column) if floating else F.col(column).isNull()
+
+
 def distinct_with_null(col: Column) -> Column:
     """Size of ``distinct()``: NULL is one value, unlike in ``count(distinct)``."""
     return F.count_distinct(col) + F.coalesce(F.max(F.when(col.isNull(), 1)), F.lit(0))

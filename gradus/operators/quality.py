@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import count_where, distinct_with_null, duplicate_count, melt, total_of
+from .metrics import count_where, distinct_with_null, duplicate_count, is_missing, melt, total_of
 
 DUPLICATE_KEY = "duplicate_key"
 
@@ -118,7 +118,7 @@ def validate_labelled(df: DataFrame, key: str, features: Sequence[str], label: s
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct(key).alias("distinct_keys"),
         duplicate_count(F.col(key)).alias("duplicate_keys"),
-        *[count_where(F.col(c).isNull()).alias(f"null_{c}") for c in [*features, label]],
+        *[count_where(is_missing(df, c)).alias(f"null_{c}") for c in [*features, label]],
     )
 
 
@@ -130,3 +130,11 @@ def require_unique_key(df: DataFrame, key: str) -> None:
     duplicates = df.agg(duplicate_count(F.col(key)).alias("n")).first()["n"]
     if duplicates:
         raise InvalidDataset(f"{duplicates} duplicate values of {key}")
+
+
+def require_filled(df: DataFrame, columns: Sequence[str]) -> None:
+    """Every column must have a value, and a number where it is a floating-point one, in every row."""
+    counts = df.agg(*[count_where(is_missing(df, c)).alias(c) for c in columns]).first().asDict()
+    missing = {c: n for c, n in counts.items() if n}
+    if missing:
+        raise InvalidDataset(f"rows without a value: {missing}")

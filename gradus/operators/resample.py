@@ -20,6 +20,9 @@ from .quality import InvalidDataset
 from .split import HashOrder, StratifiedSplit, counts_of_prefixes, prefix_counts, rank_cuts
 
 
+_COPY_BLOCK = 4096
+
+
 def shortfalls(counts: Mapping[object, int], k: int) -> dict:
     """Rows to add per smaller class; a class needs more than ``k`` rows to have k neighbours."""
     largest = max(counts.values())
@@ -32,9 +35,12 @@ def shortfalls(counts: Mapping[object, int], k: int) -> dict:
 
 def _synthesize(rows: DataFrame, order: HashOrder, features: Sequence[str], k: int, *salt: str) -> DataFrame:
     """One synthetic row per copy from rows that carry ``neighbors`` and ``copies``."""
-    copies = rows.filter(F.col("copies") > 0).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.col("copies")))
-    )
+    # numbers come in blocks: no array holds more than a block, or more than the count of blocks
+    blocks = rows.filter(F.col("copies") > 0).withColumn(
+        "__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1, F.lit(_COPY_BLOCK).cast("long"))))
+    last = F.least(F.col("copies").cast("long"), F.col("__first") + _COPY_BLOCK)
+    kind = rows.schema["copies"].dataType.simpleString()
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("__first") + 1, last).cast(f"array<{kind}>"))).drop("__first")
     parts = [*[F.col(s) for s in salt], F.col(order.key), F.col("copy")]
     pick = F.floor(uniform(key_hash(f"{order.seed}:pick", *parts)) * k).cast("int")
     drawn = copies.withColumn("__other", F.get("neighbors", pick)).withColumn(

@@ -12,7 +12,7 @@ from . import gnb
 from .dedup import head
 from .features import check_leakage
 from .gnb import GaussianNB
-from .metrics import count_where, distinct_with_null, duplicate_count, gates
+from .metrics import count_where, distinct_with_null, duplicate_count, gates, is_missing
 from .quality import InvalidDataset, group_counts
 
 
@@ -121,7 +121,7 @@ def prediction_facts(
     )
     is_prediction = F.col("__p")
     nulls = [
-        F.count_if(is_prediction & F.col("__key" if c == key else c).isNull()).alias(f"null_{c}") for c in required
+        count_where(is_prediction & is_missing(sides, "__key" if c == key else c)).alias(f"null_{c}") for c in required
     ]
     per_key = sides.groupBy("__key").agg(
         F.count_if(is_prediction).alias("__np"), F.count_if(~is_prediction).alias("__ni"), *nulls
@@ -192,7 +192,7 @@ def input_facts(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
         F.count_distinct(key).alias("distinct_keys"),
         duplicate_count(F.col(key)).alias("duplicate_keys"),
         count_where(F.col(key).isNull()).alias("null_key"),
-        *[count_where(F.col(f).isNull()).alias(f"null_{f}") for f in features],
+        *[count_where(is_missing(df, f)).alias(f"null_{f}") for f in features],
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import features as feature_ops
 from ..operators import quality, star
 from ..operators.features import FeatureSpec
-from ..operators.metrics import count_where, melt, union_all
+from ..operators.metrics import count_where, is_missing, melt, union_all
 from ..operators.standardize import TableSpec, standardize
 from ..sources.catalog import LAYERS, replace_table, table_exists
 from ..sources.staging import stage
@@ -104,7 +104,7 @@ def feature_report(joined: DataFrame, training: DataFrame, inference: DataFrame,
     def measured(df: DataFrame, subject: str, extra: Sequence[str]) -> DataFrame:
         nulls = F.lit(0).cast("bigint")
         for c in [*spec.features, *extra]:
-            nulls = nulls + count_where(F.col(c).isNull())
+            nulls = nulls + count_where(is_missing(df, c))
         return melt(df.agg(
             F.count(F.lit(1)).alias("written"), nulls.alias("null_features"),
             quality.duplicate_count(F.col(spec.key)).alias("duplicate_keys")), subject)

@@ -44,6 +44,7 @@ def load_training(df: DataFrame, spec: ModelSpec) -> DataFrame:
     feature_ops.check_schema(df, declared)
     feature_ops.check_leakage(df, spec.features, spec.key, labels=[spec.label])
     quality.require_unique_key(df, spec.key)
+    quality.require_filled(df, [*spec.features, spec.label])
     return df
 
 
@@ -91,11 +92,12 @@ def _one_variant(spark: SparkSession, df: DataFrame, spec: ModelSpec, split: Str
     registry.check_model(model, metadata, spec.features)
     smoke = evaluate.smoke_check(gnb.with_scores(
         split.with_part(df).filter("part = 'test'"), model), v.model.labels, spec.key).first()
-    forbidden, extra = feature_ops.leaking_columns(df.columns, spec.features, spec.key, labels=[spec.label])
+    roles = feature_ops.model_roles(spec.features, spec.key, [spec.label])
+    leaks = [c for c, verdict in feature_ops.column_verdicts(df.schema, roles) if verdict == "unexpected"]
     total = sum(split.counts.values())
     facts = spark.createDataFrame([(
         total, metadata["feature_names"] == list(spec.features), metadata["target_name"] == spec.label,
-        len(forbidden) + len(extra), total - sum(split.train.values()), len(cv), len(summary),
+        len(leaks), total - sum(split.train.values()), len(cv), len(summary),
         holdout["accuracy"], sum(r["n"] for r in confusion),
         sum(v.model.count) if not oversample else (total if min(v.model.count) == max(v.model.count) else 0),
         True, model == v.model, smoke["labels_known"], metadata["has_scaler"],

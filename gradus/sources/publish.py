@@ -85,17 +85,34 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def _of_slice(new: DataFrame, column: str, value) -> DataFrame:
+    """``new``, whose rows must all be of the slice; one that is not fails the job that reads it."""
+    if column not in new.columns:
+        return new.withColumn(column, F.lit(value))
+    foreign = F.raise_error(F.concat(F.lit(f"a row of another slice than {column}={value}: "), F.coalesce(F.col(column).cast("string"), F.lit("NULL"))))
+    return new.withColumn(column, F.when(F.col(column).eqNullSafe(F.lit(value)), F.col(column)).otherwise(foreign))
+
+
 def replace_slice(existing: DataFrame, new: DataFrame, column: str, value) -> DataFrame:
     """``new`` in place of the rows of ``existing`` whose ``column`` is ``value``; the others stay.
 
-    A row with NULL in the column is in no slice and stays too.
+    A row with NULL in the column is in no slice and stays too. A row of ``new`` of another slice raises.
     """
     kept = existing.filter(~F.col(column).eqNullSafe(F.lit(value)))
-    return kept.unionByName(new, allowMissingColumns=True)
+    return kept.unionByName(_of_slice(new, column, value), allowMissingColumns=True)
 
 
 def write_csv_slice(spark: SparkSession, path: str, new: DataFrame, column: str, value) -> DataFrame:
-    """CSV folder partitioned by ``column``: rewrites one partition, leaves the others untouched."""
-    new.filter(F.col(column) == F.lit(value)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy(column).option("header", True).csv(path)
+    """CSV folder partitioned by ``column``: rewrites one partition, leaves the others untouched.
+
+    A row of ``new`` of another slice raises before anything is written; an empty ``new`` empties the slice. The empty
+    folder that then stands for it has no rows and disappears from what is read.
+    """
+    rows = _of_slice(new, column, value)
+    if rows.isEmpty():
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(
+            path, spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, str(value)))
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    else:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).option("header", True).csv(path)
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
