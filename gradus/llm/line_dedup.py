@@ -13,6 +13,9 @@ _ROW = ["_id", "_text_hash"]
 #: log2 of the sketch's registers; at 12 the relative standard error is below 2 percent.
 SKETCH_BITS = 12
 NEAR = 0.1
+#: A list of removed lines goes to every task, at about 50 bytes and 4 a place, up to so many documents and four times as
+#: many places (50 MB); a longer one meets the documents in a sorted join.
+BROADCAST_ROWS = 800_000
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -62,8 +65,10 @@ def drop_shared_lines(df: DataFrame, min_sites: int = 10, id_col: str = "doc_id"
     removed = (occurrences.join(boilerplate, _LINE).filter(F.struct(*_ROW, "_place") != F.col("_first"))
                .groupBy(*_ROW).agg(F.sort_array(F.collect_set("_place")).alias("_removed")))
     removed = stage(removed, "removed").withColumnsRenamed({"_id": "_rid", "_text_hash": "_rhash"})
+    rows, places = removed.agg(F.count("*"), F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()
+    side = F.broadcast(removed) if rows <= BROADCAST_ROWS and places <= 4 * BROADCAST_ROWS else removed
     joined = df.withColumn("_hash", F.xxhash64(text_col)).join(
-        removed, F.col(id_col).eqNullSafe(F.col("_rid")) & (F.col("_hash") == F.col("_rhash")), "left")
+        side, F.col(id_col).eqNullSafe(F.col("_rid")) & (F.col("_hash") == F.col("_rhash")), "left")
     split = joined.withColumn("_all", F.split(text_col, "\n", -1))
     # what stands between two removed lines is one slice, so the work is in proportion to the lines
     bounds = split.withColumn("_cuts", F.when(F.col("_removed").isNotNull(), F.concat(F.array(F.lit(-1)), "_removed", F.array(F.size("_all")))))
