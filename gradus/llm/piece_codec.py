@@ -30,7 +30,7 @@ _CROSSING = re.compile(f"[^{BLANK}]{BLANK}")
 class PieceCodec:
     """A model's pieces, and the words and neighbouring pieces met so far (both emptied when they grow past a limit)."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -163,7 +163,7 @@ class PieceCodec:
         """Ids of every text."""
         if len(self.words) > self.limit:
             self.words.clear()
-        if len(self.beside) > 8 * self.limit:
+        if len(self.beside) > 5 * self.limit:
             self.beside.clear()
         split = [_WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         new = list({w for words in split for w in words if w not in self.words})
