@@ -30,7 +30,7 @@ _CROSSING = re.compile(f"[^{BLANK}]{BLANK}")
 class PieceCodec:
     """A model's pieces, and the words and neighbouring pieces met so far (both emptied when they grow past a limit)."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -58,14 +58,20 @@ class PieceCodec:
 
     def _merge(self, text: str) -> list[str]:
         """The model's merges on a short text: highest score first, leftmost among equals."""
+        get, none = self.score.get, -np.inf
         parts = list(text)
-        while len(parts) > 1:
-            scores = [self.score.get(a + b, -np.inf) for a, b in zip(parts, parts[1:])]
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores:
             best = max(scores)
-            if best == -np.inf:
+            if best == none:
                 break
             k = scores.index(best)
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = get(parts[k] + parts[k + 1], none)
         return parts
 
     def _stand(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -77,7 +83,8 @@ class PieceCodec:
             if known is None:
                 a, b = divmod(key, self.unknown + 1)
                 pair = [self.text[i] for i in (a, b) if i != self.unknown]
-                known = self.beside[key] = self._merge("".join(pair)) == pair
+                joined = "".join(pair)
+                known = self.beside[key] = (len(pair) < 2 or joined not in self.score) and self._merge(joined) == pair
             holds[k] = known
         return holds[back]
 
