@@ -228,6 +228,19 @@ def table_gates(spark, d):
     return scoring.table_gates(facts.withColumn("expected_rows", F.col("rows")))
 
 
+@check("q5_truncated_table", """
+  SELECT unnest(['row_count', 'unique_key', 'no_nulls', 'schema']) AS gate,
+         unnest([left_over = n, left_over = keys, left_over = filled, true]) AS passed
+  FROM (SELECT count(*) AS n FROM orders),
+       (SELECT count(*) AS left_over, count(DISTINCT o_orderkey) AS keys, count(o_orderstatus) AS filled
+        FROM orders WHERE o_orderstatus <> 'P')""")
+def truncated_table(spark, d):
+    """The stored part lacks orders that the source has: its row count must fail."""
+    orders = table(spark, d, "orders").select(KEY, "o_orderstatus")
+    stored = stage(orders.filter("o_orderstatus <> 'P'"), "truncated")
+    return scoring.table_gates(scoring.table_facts(stored, KEY, [KEY, "o_orderstatus"], F.lit(orders.count())))
+
+
 @check("q6_input_gates", using("infer", """
   SELECT unnest(['features_present', 'no_extra_columns', 'features_filled', 'key_filled', 'key_unique', 'grain']) AS gate,
          unnest([true, true, n = filled, n = keyed, n = keys, n = keys]) AS passed

@@ -105,15 +105,16 @@ class GaussianNB:
         return {label: i for i, label in enumerate(self.labels)}
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        """Parameter table, one row per class and feature."""
+        """Parameter table, one row per class and feature; labels keep their type."""
+        kind = spark.createDataFrame([(label,) for label in self.labels], ["label"]).schema["label"].dataType
         schema = T.StructType([
-            T.StructField("label", T.StringType()), T.StructField("label_index", T.IntegerType()),
+            T.StructField("label", kind), T.StructField("label_index", T.IntegerType()),
             T.StructField("feature", T.StringType()), T.StructField("feature_index", T.IntegerType()),
             T.StructField("n", T.LongType()), T.StructField("prior", T.DoubleType()),
             T.StructField("mean", T.DoubleType()), T.StructField("var", T.DoubleType()),
         ])
         rows = [
-            (str(label), i, feature, j, self.count[i], self.prior[i], self.mean[i][j], self.var[i][j])
+            (label, i, feature, j, self.count[i], self.prior[i], self.mean[i][j], self.var[i][j])
             for i, label in enumerate(self.labels) for j, feature in enumerate(self.features)
         ]
         return spark.createDataFrame(rows, schema)

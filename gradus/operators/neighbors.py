@@ -3,7 +3,9 @@
 Points are placed in cells of similar size by a tree of split values learnt from a bounded sample
 (as a range partitioner does for one column; the sample steers the layout only, never the result).
 Neighbours are found cell by cell; a point then visits just those other cells its current search
-ball reaches, and the candidates are merged. No pair outside those cells is ever formed.
+ball reaches, and the candidates are merged. No pair outside those cells is ever formed. A point whose
+own cell holds too few others takes its ball from the nearest sampled points instead: any k + 1 points
+bound the distance to the k nearest.
 
 Copies: of points with identical coordinates only the k + 1 smallest keys (per fold) can be anyone's
 neighbour, so the rest are taken out before and rejoined after. A third of all rows on one spot is
@@ -33,6 +35,8 @@ CELL_ROWS = 2048
 ONE_CELL_ROWS = 8192  # up to here a single cell is faster than laying out several
 MAX_CELLS = 1 << 18
 _SAMPLE_PER_CELL = 16
+_LEAST_SAMPLE = 1024
+_MOST_ANCHORS = 1 << 16  # sampled points that go to every task: at most 8 bytes a feature each
 _VISITORS = 16384
 _HOT_SPOT_ROWS = 10_000
 _CHUNK_VALUES = 1 << 17  # distances held at once: stays in the processor cache
@@ -127,6 +131,31 @@ def _search_limit(d2: np.ndarray, folds: np.ndarray, need: int) -> np.ndarray:
     return limit
 
 
+class Anchors:
+    """Sampled candidates in the order of their cells: points that bound a search ball from outside."""
+
+    def __init__(self, tree: SplitTree, points: np.ndarray, folds: np.ndarray):
+        cells = tree.cells(points)
+        order = np.argsort(cells, kind="stable")[::max(1, ceil(len(cells) / _MOST_ANCHORS))]
+        self.cells, self.points, self.folds = cells[order], points[order], folds[order]
+
+    def limits(self, queries: np.ndarray, cell: int, need: int) -> np.ndarray:
+        """Squared radii for queries of one cell, from a window around it that widens until all are finite."""
+        limits = np.full(len(queries), np.inf)
+        middle, reach = int(np.searchsorted(self.cells, cell)), 4 * need
+        while len(queries):
+            window = slice(max(0, middle - reach), middle + reach)
+            points, folds = self.points[window], self.folds[window]
+            step = max(1, _CHUNK_VALUES // max(1, len(points)))
+            for start in range(0, len(queries), step):
+                part = slice(start, start + step)
+                limits[part] = _search_limit(_distances(queries[part], points), folds, need) if len(points) else np.inf
+            if len(points) == len(self.points) or np.isfinite(limits).all():
+                break
+            reach *= 4
+        return limits
+
+
 def _columns(features: int) -> tuple[list[str], list[str]]:
     return [f"q{j}" for j in range(features)], [f"x{j}" for j in range(features)]
 
@@ -175,21 +204,26 @@ def nearest_neighbors(
     candidates = base.withColumn("__rank", rank).filter(F.col("__rank") <= need).drop("__rank")
 
     total = points.count() if total is None else total
-    single = total <= max(cell_rows, ONE_CELL_ROWS if cell_rows == CELL_ROWS else 0)
-    depth = 0 if single else min(ceil(log2(total / cell_rows)), int(log2(max_cells)))
-    sample = np.empty((0, d))
+    one_cell = max(cell_rows, ONE_CELL_ROWS if cell_rows == CELL_ROWS else 0)
+    depth, sample, folds_of = 0, np.empty((0, d)), np.empty(0, np.int64)
+    if total > one_cell:  # crowded spots leave few candidates, and cells are made for those
+        candidates = stage(candidates, "knn-candidates")
+        left = candidates.count()
+        depth = 0 if left <= one_cell else min(ceil(log2(left / cell_rows)), int(log2(max_cells)))
     if depth:
-        share = min(1.0, _SAMPLE_PER_CELL * (1 << depth) / total)
-        sample = np.unique(base.select(*x_names).sample(share, 42).toPandas().to_numpy(), axis=0)
-    tree = SplitTree(sample, depth)
-    shared = points.sparkSession.sparkContext.broadcast(tree) if depth > 12 else None
+        share = min(1.0, max(_LEAST_SAMPLE, _SAMPLE_PER_CELL * (1 << depth)) / left)
+        drawn = candidates.select(*x_names, "fold").sample(share, 42).toPandas()
+        sample, folds_of = drawn[x_names].to_numpy(float), drawn["fold"].to_numpy()
+    tree = SplitTree(np.unique(sample, axis=0), depth)
+    layout = tree, Anchors(tree, sample, folds_of)
+    shared = points.sparkSession.sparkContext.broadcast(layout) if depth > 4 else None
 
-    def get_tree() -> SplitTree:
-        return shared.value if shared is not None else tree
+    def get_layout() -> tuple[SplitTree, Anchors]:
+        return shared.value if shared is not None else layout
 
     @F.pandas_udf(T.IntegerType())
     def cell_of(*columns: pd.Series) -> pd.Series:
-        return pd.Series(get_tree().cells(np.column_stack(columns)).astype(np.int32))
+        return pd.Series(get_layout()[0].cells(np.column_stack(columns)).astype(np.int32))
 
     def arrays(pdf: pd.DataFrame):
         pdf = pdf.sort_values("key")
@@ -201,7 +235,10 @@ def nearest_neighbors(
         found, limits = _pairs(queries, xs, keys, folds, None, need)
         found["dest"], found["limit2"] = -1, np.nan
         own = int(pdf["cell"].iloc[0])
-        row, cell = get_tree().reached(queries, np.sqrt(limits) * (1 + 1e-9))
+        cells, anchors = get_layout()
+        unknown = np.isinf(limits)
+        limits[unknown] = anchors.limits(queries[unknown], own, need)
+        row, cell = cells.reached(queries, np.sqrt(limits) * (1 + 1e-9))
         row, cell = row[cell != own], cell[cell != own]
         visits = pd.DataFrame(queries[row], columns=q_names)
         visits[x_names] = np.nan

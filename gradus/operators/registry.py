@@ -1,4 +1,4 @@
-"""Model registry: parameter table and metadata per (name, version, variant), as Parquet folders."""
+"""Model registry: one Parquet folder per (name, version, variant) with parameters and metadata in the same rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .gnb import GaussianNB
@@ -27,13 +27,13 @@ class ModelId:
     version: str
     variant: str
 
-    def folder(self, root: str, part: str) -> str:
-        return f"{root.rstrip('/')}/{self.name}/{self.version}/{self.variant}/{part}"
+    def folder(self, root: str) -> str:
+        return f"{root.rstrip('/')}/{self.name}/{self.version}/{self.variant}"
 
 
 def save_model(spark: SparkSession, root: str, model_id: ModelId, model: GaussianNB, metadata: dict | None = None) -> None:
     """Replace the stored model of this id. The metadata's class mapping is what later turns indexes
-    into labels."""
+    into labels. Parameters and metadata are one write, so neither can be newer than the other."""
     record = {
         "feature_names": list(model.features),
         "class_mapping": {str(k): v for k, v in model.class_mapping().items()},
@@ -43,25 +43,27 @@ def save_model(spark: SparkSession, root: str, model_id: ModelId, model: Gaussia
         "preprocessing": [],
         **(metadata or {}),
     }
-    model.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(model_id.folder(root, "parameters"))
-    spark.range(1).select(
-        F.lit(model_id.name).alias("name"), F.lit(model_id.version).alias("version"),
-        F.lit(model_id.variant).alias("variant"), F.current_timestamp().alias("saved_at"),
+    model.to_frame(spark).coalesce(1).select(
+        "*", F.lit(model_id.name).alias("model_name"), F.lit(model_id.version).alias("model_version"),
+        F.lit(model_id.variant).alias("model_variant"), F.current_timestamp().alias("saved_at"),
         F.lit(json.dumps(record, default=str)).alias("metadata"),
-    ).write.mode("overwrite").parquet(model_id.folder(root, "metadata"))
+    ).write.mode("overwrite").parquet(model_id.folder(root))
 
 
-def _read(spark: SparkSession, path: str, model_id: ModelId) -> DataFrame:
+def load_model(spark: SparkSession, root: str, model_id: ModelId) -> tuple[GaussianNB, dict]:
     try:
-        return spark.read.parquet(path)
+        stored = spark.read.parquet(model_id.folder(root))
     except AnalysisException as error:
         raise ModelNotFound(f"no stored model {model_id}") from error
+    return GaussianNB.from_frame(stored), json.loads(stored.select("metadata").first()["metadata"])
 
 
-def load_model(spark: SparkSession, root: str, model_id: ModelId) -> tuple[GaussianNB, dict]:
-    params = _read(spark, model_id.folder(root, "parameters"), model_id)
-    stored = _read(spark, model_id.folder(root, "metadata"), model_id).first()
-    return GaussianNB.from_frame(params), json.loads(stored["metadata"])
+def is_stored(spark: SparkSession, root: str, model_id: ModelId, model: GaussianNB) -> bool:
+    """Whether the folder holds a row for each class and feature of ``model``, under this id."""
+    rows = spark.read.parquet(model_id.folder(root)).filter(
+        (F.col("model_name") == model_id.name) & (F.col("model_version") == model_id.version)
+        & (F.col("model_variant") == model_id.variant) & F.col("metadata").isNotNull())
+    return rows.count() == len(model.labels) * len(model.features)
 
 
 def check_model(model: GaussianNB, metadata: dict, features: Sequence[str]) -> None:

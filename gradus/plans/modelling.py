@@ -100,7 +100,7 @@ def _one_variant(spark: SparkSession, df: DataFrame, spec: ModelSpec, split: Str
         len(leaks), total - sum(split.train.values()), len(cv), len(summary),
         holdout["accuracy"], sum(r["n"] for r in confusion),
         sum(v.model.count) if not oversample else (total if min(v.model.count) == max(v.model.count) else 0),
-        True, model == v.model, smoke["labels_known"], metadata["has_scaler"],
+        registry.is_stored(spark, root, model_id, v.model), model == v.model, smoke["labels_known"], metadata["has_scaler"],
     )], _FACTS)
     gate_rows = evaluate.training_gates(facts, spec.folds, spec.test_share)
     status = gate_status(gate_rows).first()["status"]

@@ -53,10 +53,14 @@ def _is_session_catalog(spark: SparkSession, name: str) -> bool:
 def replace_table(df: DataFrame, name: str, comment: str | None = None, provider: str = "parquet") -> None:
     """Full replace. A V2 catalog swaps atomically. The built-in session catalog cannot, so there the
     new content is written completely under another name and renamed; readers never see half a table,
-    and a table may be replaced by a query over itself."""
+    and a table may be replaced by a query over itself. If the new table cannot take the name, the old one
+    gets it back. Without a ``comment`` the old one stays. (Renaming copies the data on an object store:
+    the session catalog is for tests and small landings.)"""
     spark = df.sparkSession
+    if comment is None and table_exists(spark, name):
+        comment = table_comment(spark, name)
     if not _is_session_catalog(spark, name):
-        df.writeTo(name).createOrReplace()
+        df.writeTo(name).using(provider).createOrReplace()
     else:
         suffix = uuid.uuid4().hex[:8]
         fresh, old = f"{name}__new_{suffix}", f"{name}__old_{suffix}"
@@ -64,7 +68,13 @@ def replace_table(df: DataFrame, name: str, comment: str | None = None, provider
         had_one = table_exists(spark, name)
         if had_one:
             spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
-        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+        try:
+            spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+        except PySparkException:
+            if had_one:
+                spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+            spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+            raise
         if had_one:
             spark.sql(f"DROP TABLE {old}")
     if comment:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,18 +85,38 @@ def manifest(spark: SparkSession, opened: Sequence[Opened], required: Sequence[s
     return union_all(parts)
 
 
+#: Conditions by which Spark reports that a file's content could not be read.
+_READ_FAILURE = re.compile(r"\[((?:FAILED_READ_FILE|MALFORMED_\w+|CANNOT_READ_FILE_FOOTER)[\w.]*)\]")
+
+
 def ingest(
     spark: SparkSession, sources: Mapping[str, str], database: str, fmt: str = "csv",
     known: Mapping[str, str] | None = None, required: Sequence[str] = (), **options,
 ) -> DataFrame:
-    """Load every usable source into ``database`` and return the manifest of what happened."""
+    """Load every usable source into ``database`` and return the manifest of what happened.
+
+    A source that fails while its rows are read is skipped, its old table stays, and the others go on. Two
+    sources that would become the same table raise before anything is read.
+    """
+    names = [table_name(source, known) for source in sources]
+    clash = sorted({n for n in names if names.count(n) > 1})
+    if clash:
+        raise ValueError(f"several sources become the same table: {clash}")
     opened = open_sources(spark, sources, fmt, known, **options)
     stored = []
     for o in opened:
-        if o.frame is not None and o.reason is None and not o.frame.isEmpty():
+        frame, reason = o.frame if o.reason is None else None, o.reason
+        if frame is not None:
             name = f"{database}.{o.table}"
-            replace_table(o.frame, name)
-            stored.append(Opened(o.source, o.table, spark.table(name), None))
-        else:
-            stored.append(Opened(o.source, o.table, None, o.reason or "no rows"))
+            try:
+                if frame.isEmpty():
+                    frame, reason = None, "no rows"
+                else:
+                    replace_table(frame, name)
+                    frame = spark.table(name)
+            except (PySparkException, Py4JJavaError) as error:
+                if not (failure := _READ_FAILURE.search(str(error))):
+                    raise  # the source was read, storing it failed
+                frame, reason = None, f"unreadable: {failure[1]}"
+        stored.append(Opened(o.source, o.table, frame, reason))
     return manifest(spark, stored, required)
