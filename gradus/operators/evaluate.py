@@ -1,4 +1,4 @@
-"""Metrics of a classifier, all derived from one map-combined confusion count."""
+"""Metrics of a classifier, all derived from one map-combined count of (actual, predicted)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import count_where, gates
+from .metrics import gates
 
 METRICS = ("accuracy", "precision", "recall", "f1")
 
@@ -15,53 +15,51 @@ METRICS = ("accuracy", "precision", "recall", "f1")
 def confusion_cells(
     df: DataFrame, actual: str, predicted: str, labels: Sequence, groups: Sequence[str] = ()
 ) -> DataFrame:
-    """One row (per group) with a count for every cell of the label grid, empty cells included."""
-    cells = [
-        count_where((F.col(actual) == F.lit(a)) & (F.col(predicted) == F.lit(p))).alias(f"c_{i}_{j}")
-        for i, a in enumerate(labels) for j, p in enumerate(labels)
-    ]
-    return df.groupBy(*groups).agg(*cells) if groups else df.agg(*cells)
+    """``(groups..., actual, predicted, n)``: one row for each cell of the label grid that has rows."""
+    known = F.col(actual).isin(*labels) & F.col(predicted).isin(*labels)
+    return df.filter(known).groupBy(*groups, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _labels(df: DataFrame, labels: Sequence, name: str) -> DataFrame:
+    """``(name_at, name)``: a row for each label, in order."""
+    return df.sparkSession.range(1).select(F.posexplode(F.lit(list(labels))).alias(f"{name}_at", name))
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: Sequence) -> DataFrame:
-    """Long form ``(actual, predicted, n)``, the full grid in label order."""
-    grid = F.array(*[
-        F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.col(f"c_{i}_{j}").alias("n"))
-        for i, a in enumerate(labels) for j, p in enumerate(labels)
-    ])
-    return confusion_cells(df, actual, predicted, labels).select(F.inline(grid))
+    """Long form ``(actual, predicted, n)``, the full grid in label order, empty cells included."""
+    grid = _labels(df, labels, "actual").withColumn("__all", F.lit(list(labels))).select(
+        "*", F.posexplode("__all").alias("predicted_at", "predicted"))
+    cells = confusion_cells(df, actual, predicted, labels)
+    return grid.join(cells, ["actual", "predicted"], "left").orderBy("actual_at", "predicted_at").select(
+        "actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def _ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
 
-def _add(columns: Sequence[Column]) -> Column:
-    total = F.lit(0).cast("bigint")
-    for c in columns:
-        total = total + c
-    return total
+def _sum(condition: Column | None = None) -> Column:
+    n = F.col("n") if condition is None else F.when(condition, F.col("n"))
+    return F.coalesce(F.sum(n), F.lit(0)).cast("long")
 
 
-def class_metrics(labels: Sequence, index: int) -> dict[str, Column]:
-    """Accuracy over all cells, precision/recall/F1 of the class at ``index``; 0 when undefined."""
-    k = range(len(labels))
-    hit = F.col(f"c_{index}_{index}")
-    predicted = _add([F.col(f"c_{i}_{index}") for i in k])
-    support = _add([F.col(f"c_{index}_{j}") for j in k])
-    everything = _add([F.col(f"c_{i}_{j}") for i in k for j in k])
-    return {
-        "accuracy": _ratio(_add([F.col(f"c_{i}_{i}") for i in k]), everything),
-        "precision": _ratio(hit, predicted),
-        "recall": _ratio(hit, support),
-        "f1": _ratio(2 * hit, predicted + support),
-        "support": support,
-    }
+def _scores(hit: Column, predicted: Column, support: Column) -> dict[str, Column]:
+    """Precision, recall and F1; 0 when undefined."""
+    return {"precision": _ratio(hit, predicted), "recall": _ratio(hit, support), "f1": _ratio(2 * hit, predicted + support)}
 
 
 def binary_metrics(cells: DataFrame, labels: Sequence, positive, keep: Sequence[str] = ()) -> DataFrame:
-    m = class_metrics(labels, list(labels).index(positive))
-    return cells.select(*keep, *[m[name].alias(name) for name in METRICS])
+    """``(keep..., accuracy, precision, recall, f1)``: accuracy over all cells, the others of the class ``positive``."""
+    if positive not in labels:
+        raise ValueError(f"{positive!r} is not one of the labels")
+    actual, predicted = F.col("actual") == F.lit(positive), F.col("predicted") == F.lit(positive)
+    sums = [
+        _sum().alias("__all"), _sum(F.col("actual") == F.col("predicted")).alias("__right"), _sum(actual & predicted).alias("__hit"),
+        _sum(predicted).alias("__predicted"), _sum(actual).alias("__support")]
+    row = cells.groupBy(*keep).agg(*sums) if keep else cells.agg(*sums)
+    m = {"accuracy": _ratio(F.col("__right"), F.col("__all"))} | _scores(*map(F.col, ("__hit", "__predicted", "__support")))
+    return row.select(*keep, *[m[name].alias(name) for name in METRICS])
 
 
 def fold_summary(per_fold: DataFrame) -> DataFrame:
@@ -80,29 +78,27 @@ def classification_report(cells: DataFrame, labels: Sequence) -> DataFrame:
 
     The accuracy row carries its value in ``f1`` only.
     """
-    k = range(len(labels))
-    per_class = [class_metrics(labels, i) for i in k]
-    total = _add([m["support"] for m in per_class])
+    zero, right = F.lit(0).cast("long"), F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    sides = cells.select(F.inline(F.array(
+        F.struct(F.col("actual").alias("class"), F.col("n").alias("support"), zero.alias("predicted"), right.alias("hit")),
+        F.struct(F.col("predicted").alias("class"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("hit")))))
+    summed = sides.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hit")])
+    counted = _labels(cells, labels, "class").join(summed, "class", "left").na.fill(0, ["support", "predicted", "hit"])
+    scores = _scores(F.col("hit"), F.col("predicted"), F.col("support"))
+    names = F.lit([str(c) for c in labels])
+    per_class = counted.select(
+        F.get(names, F.col("class_at")).alias("label"), *[c.alias(n) for n, c in scores.items()], "support", "hit")
     none = F.lit(None).cast("double")
-
-    def row(name, precision, recall, f1, support):
-        return F.struct(
-            F.lit(name).alias("label"), precision.alias("precision"), recall.alias("recall"),
-            f1.alias("f1"), support.alias("support"),
-        )
-
-    def average(metric: str, weight) -> Column:
-        total_weight = weight(0)
-        value = per_class[0][metric] * weight(0)
-        for i in k[1:]:
-            value, total_weight = value + per_class[i][metric] * weight(i), total_weight + weight(i)
-        return _ratio(value, total_weight)
-
-    rows = [row(str(c), m["precision"], m["recall"], m["f1"], m["support"]) for c, m in zip(labels, per_class)]
-    rows.append(row("accuracy", none, none, per_class[0]["accuracy"], total))
-    for name, weight in (("macro avg", lambda i: F.lit(1.0)), ("weighted avg", lambda i: per_class[i]["support"])):
-        rows.append(row(name, *[average(m, weight) for m in ("precision", "recall", "f1")], total))
-    return cells.select(F.inline(F.array(*rows)))
+    total = per_class.agg(
+        F.sum("support").alias("support"), F.sum("hit").alias("hit"),
+        *[F.avg(n).alias(f"macro_{n}") for n in scores],
+        *[_ratio(F.sum(F.col(n) * F.col("support")), F.sum("support")).alias(f"weighted_{n}") for n in scores])
+    averages = [("accuracy", none, none, _ratio(F.col("hit"), F.col("support")))] + [
+        (f"{kind} avg", *[F.col(f"{kind}_{n}") for n in scores]) for kind in ("macro", "weighted")]
+    summary = total.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("label"), p.alias("precision"), r.alias("recall"), f.alias("f1"), F.col("support"))
+        for a, p, r, f in averages])))
+    return per_class.drop("hit").unionByName(summary)
 
 
 def compare_variants(first: DataFrame, second: DataFrame, names: tuple[str, str], tie: str = "seri") -> DataFrame:

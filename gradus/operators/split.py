@@ -3,8 +3,8 @@
 Inside a class, rows are ordered by the hash of their key. A part of the split is a range of hash
 ranks, so all that is needed per class are the hashes at the range ends. They are found from counts
 per hash prefix (one map-combined aggregate) and a ranking of only those prefixes that contain a
-range end. Assigning rows is then a plain column expression: no shuffle of the data, no task per
-class, same result on any partitioning.
+range end. Assigning rows is then a plain column expression over arrays with a place for each class: no
+shuffle of the data, no task per class, no branch per class, same result on any partitioning.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.hashing import key_hash, uniform
@@ -22,7 +23,7 @@ from ..sources.staging import stage
 from .quality import InvalidDataset
 
 _PREFIX_DIGITS = 4
-_MAX_CLASSES = 1000
+_BROADCAST_CUTS = 1_000_000  # range ends that go to every task, about 50 bytes each; more of them are joined
 
 
 @dataclass(frozen=True)
@@ -50,11 +51,9 @@ class Cut:
     key: object
 
 
-def _few_classes(rows: DataFrame, label: str) -> dict:
-    """``{label: n}`` in label order. Classes are few by definition; more than that is an error."""
-    found = rows.limit(_MAX_CLASSES + 1).collect()
-    if len(found) > _MAX_CLASSES:
-        raise InvalidDataset(f"{label} has more than {_MAX_CLASSES} values; not a class label")
+def _sorted_counts(rows: DataFrame, label: str) -> dict:
+    """``{label: n}`` in label order, one row per class."""
+    found = rows.collect()
     if any(r[label] is None for r in found):
         raise InvalidDataset(f"{label} has NULL values")
     return {r[label]: r["n"] for r in sorted(found, key=lambda r: r[label])}
@@ -62,7 +61,7 @@ def _few_classes(rows: DataFrame, label: str) -> dict:
 
 def class_counts(df: DataFrame, label: str) -> dict:
     """Rows per class in label order."""
-    return _few_classes(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label)
+    return _sorted_counts(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label)
 
 
 def _with_prefix(df: DataFrame, order: HashOrder) -> DataFrame:
@@ -78,7 +77,11 @@ def prefix_counts(df: DataFrame, order: HashOrder) -> DataFrame:
 
 def counts_of_prefixes(prefixes: DataFrame, label: str) -> dict:
     """Rows per class in label order, from :func:`prefix_counts`."""
-    return _few_classes(prefixes.groupBy(label).agg(F.sum("__n").alias("n")), label)
+    return _sorted_counts(prefixes.groupBy(label).agg(F.sum("__n").alias("n")), label)
+
+
+def _small(df: DataFrame, ends: int) -> DataFrame:
+    return F.broadcast(df) if ends <= _BROADCAST_CUTS else df
 
 
 def rank_cuts(
@@ -89,39 +92,23 @@ def rank_cuts(
     if not wanted:
         return {}
     label = order.label
-    rows = _with_prefix(df, order)
     counts = prefix_counts(df, order) if prefixes is None else prefixes
+    targets = df.sparkSession.createDataFrame(
+        [(c, sorted({r for r in rs if r > 0})) for c, rs in ranks.items()],
+        T.StructType([T.StructField(label, df.schema[label].dataType), T.StructField("__ranks", T.ArrayType(T.LongType()))]))
     running = Window.partitionBy(label).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
-    targets = F.create_map(*[
-        x for c in ranks for x in (F.lit(c), F.lit([int(r) for l, r in wanted if l == c]).cast("array<bigint>"))])
-    ends = (
-        counts.withColumn("__upto", F.sum("__n").over(running))
-        .withColumn("__before", F.col("__upto") - F.col("__n"))
-        .withColumn("__rank", F.explode(F.filter(
-            F.element_at(targets, F.col(label)),
-            lambda r: (r > F.col("__before")) & (r <= F.col("__upto")),
-        )))
-        .select(label, "__prefix", (F.col("__rank") - F.col("__before")).alias("__at"), "__rank")
-        .collect()  # one row per requested rank
-    )
-    in_end_prefix = F.lit(False)
-    for c in ranks:
-        at_ends = sorted({e["__prefix"] for e in ends if e[label] == c})
-        if at_ends:
-            in_end_prefix = in_end_prefix | ((F.col(label) == F.lit(c)) & F.col("__prefix").isin(at_ends))
+    upto, before = F.col("__upto"), F.col("__upto") - F.col("__n")
+    inside = F.filter("__ranks", lambda r: (r > before) & (r <= upto))
+    # prefixes that hold a range end, with the places of the ends: no more of them than ranks asked for
+    ends = counts.withColumn("__upto", F.sum("__n").over(running)).join(_small(targets, len(wanted)), label).select(
+        label, "__prefix", F.transform(inside, lambda r: F.struct((r - before).alias("at"), r.alias("rank"))).alias("__ends")
+    ).filter(F.size("__ends") > 0)
     at = Window.partitionBy(label, "__prefix").orderBy("__digest", order.key)
-    ranked = rows.filter(in_end_prefix).withColumn("__at", F.row_number().over(at))
-    hit = F.lit(False)
-    for c in ranks:
-        places = [f"{e['__prefix']}:{e['__at']}" for e in ends if e[label] == c]
-        if places:
-            place = F.concat_ws(":", "__prefix", F.col("__at").cast("string"))
-            hit = hit | ((F.col(label) == F.lit(c)) & place.isin(places))
-    found = {
-        (r[label], r["__prefix"], r["__at"]): Cut(r["__digest"], r[order.key])
-        for r in ranked.filter(hit).collect()
-    }
-    return {(e[label], e["__rank"]): found[(e[label], e["__prefix"], e["__at"])] for e in ends}
+    ranked = _with_prefix(df, order).join(_small(ends, len(wanted)), [label, "__prefix"]).withColumn(
+        "__at", F.row_number().over(at))
+    hits = ranked.withColumn("__hit", F.get(F.filter("__ends", lambda e: e["at"] == F.col("__at")), F.lit(0))).filter(
+        F.col("__hit").isNotNull()).select(label, "__hit.rank", "__digest", order.key)
+    return {(r[0], r[1]): Cut(r[2], r[3]) for r in hits.collect()}  # one row per requested rank
 
 
 def train_sizes(counts: Mapping[object, int], test_share: float) -> dict:
@@ -165,29 +152,35 @@ class StratifiedSplit:
             ends.append(total)
         return ends
 
-    def _assign(self, df: DataFrame, name: str, ends_of) -> DataFrame:
-        digest = F.col("__digest")
-        value = None
-        for label in self.counts:
-            part = None
-            for index, end in ends_of(label):
-                if end == 0:
-                    continue
-                hit = self.order.up_to(self.cuts[(label, end)], digest)
-                part = F.when(hit, F.lit(index)) if part is None else part.when(hit, F.lit(index))
-            if part is None:
-                part = F.lit(None).cast("int")
-            same = F.col(self.order.label) == F.lit(label)
-            value = F.when(same, part) if value is None else value.when(same, part)
-        return df.withColumn("__digest", self.order.digest).withColumn(name, value).drop("__digest")
+    def _assign(self, df: DataFrame, name: str, parts: int, ends_of) -> DataFrame:
+        """Number of the first of ``parts`` ranges that a row's hash lies in.
+
+        The range ends are arrays with a place for each class, which become constants of the plan: it has a branch for
+        each part, whatever the number of classes.
+        """
+        key, label = F.col(self.order.key), self.order.label
+        cuts = [[self.cuts[(c, end)] if end else Cut(None, None) for end in ends_of(c)] for c in self.counts]
+
+        def constants(values: list, kind: T.DataType) -> Column:
+            return F.lit(values).cast(T.ArrayType(kind))
+
+        place = F.array_position(constants(list(self.counts), df.schema[label].dataType), F.col(label)).cast("int") - 1
+        value = F.lit(None).cast("int")
+        for i in reversed(range(parts)):
+            end = F.get(constants([c[i].digest for c in cuts], T.StringType()), F.col("__place"))
+            last = F.get(constants([c[i].key for c in cuts], df.schema[self.order.key].dataType), F.col("__place"))
+            inside = (F.col("__digest") < end) | ((F.col("__digest") == end) & (key <= last))
+            value = F.when(inside, F.lit(i)).otherwise(value)
+        placed = df.withColumn("__digest", self.order.digest).withColumn("__place", place)
+        return placed.withColumn(name, value).drop("__digest", "__place")
 
     def with_fold(self, df: DataFrame, name: str = "fold") -> DataFrame:
         """Fold number of training rows, NULL for test rows."""
-        return self._assign(df, name, lambda c: list(enumerate(self.fold_ends(c))))
+        return self._assign(df, name, len(next(iter(self.folds.values()))), self.fold_ends)
 
     def with_part(self, df: DataFrame, name: str = "part") -> DataFrame:
         """``train`` or ``test``."""
-        assigned = self._assign(df, name, lambda c: [(0, self.train[c])])
+        assigned = self._assign(df, name, 1, lambda c: [self.train[c]])
         return assigned.withColumn(name, F.when(F.col(name) == 0, F.lit("train")).otherwise(F.lit("test")))
 
 

@@ -78,10 +78,8 @@ def _one_variant(spark: SparkSession, df: DataFrame, spec: ModelSpec, split: Str
     summary = {r["metric"]: {"mean": r["mean"], "std": r["std"]} for r in evaluate.fold_summary(
         spark.createDataFrame(cv, v.cv.schema)).collect()}
     confusion = [r.asDict() for r in v.confusion.collect()]
-    cells = {f"c_{v.dev_model.labels.index(r['actual'])}_{v.dev_model.labels.index(r['predicted'])}": r["n"]
-             for r in confusion}
     holdout = evaluate.binary_metrics(
-        spark.createDataFrame([cells]), v.dev_model.labels, spec.positive).first().asDict()
+        spark.createDataFrame(confusion, v.confusion.schema), v.dev_model.labels, spec.positive).first().asDict()
     model_id = spec.model_id(variant)
     registry.save_model(spark, root, model_id, v.model, {
         "positive_class": spec.positive, "target_name": spec.label, "identifier_column": spec.key,
