@@ -12,7 +12,8 @@ from ..sources.staging import stage
 from .metrics import count_where, melt
 from .quality import group_counts
 
-_BROADCAST_GROUPS = 100_000
+_HOT_SHARE = 1000  # a group with more than this part of the rows is hot: no more than so many groups are
+_BUCKETS = 1024
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -48,12 +49,32 @@ def _same_group(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> Dat
     return left.join(renamed, condition).drop(*[f"__{g}" for g in groups])
 
 
+def _near_median(values: DataFrame, stats: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Values up to their group's bracket, with its ends; those below it are NULL.
+
+    Bounds of hot groups, of which there are few, are broadcast, so that their rows stay where they are. The other
+    groups are met in a plain join, whatever their number; none of them is large.
+    """
+    bounds = stats.select(
+        *groups, "runs", F.get("__bracket", F.lit(0)).alias("__lo"), F.get("__bracket", F.lit(1)).alias("__hi"))
+    total = stats.agg(F.sum("runs")).first()[0] or 0
+    is_hot = F.col("runs") * _HOT_SHARE > total
+    hot, cold = F.broadcast(bounds.filter(is_hot)), bounds.filter(~is_hot)
+    near = _same_group(values, hot, groups)
+    if not cold.isEmpty():
+        keys = hot.select(*[F.col(g).alias(f"__{g}") for g in groups])
+        others = values.join(keys, [values[g].eqNullSafe(keys[f"__{g}"]) for g in groups], "left_anti")
+        near = near.unionByName(_same_group(others, cold, groups))
+    return near.filter(F.col("__v") <= F.col("__hi")).withColumn("__v", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))
+
+
 def group_stats(df: DataFrame, groups: Sequence[str], value: str, digits: int = 9) -> DataFrame:
     """Mean, median, min, max, sample deviation (0 for one run) and runs per group.
 
     The median is exact without gathering a group: a quantile sketch, computed along with the other
-    figures, brackets it between two values; only the distinct values inside the bracket (about a
-    thousandth of the group) are counted and ranked. A bracket that misses fails the job.
+    figures, brackets it between two values. The distinct values inside the bracket (about a
+    thousandth of the group) are counted in buckets of equal width, and ranked only in the buckets that hold the
+    middle. A bracket that misses fails the job.
     """
     values = df.select(*groups, F.col(value).cast("double").alias("__v"))
     stats = stage(values.groupBy(*groups).agg(
@@ -61,23 +82,27 @@ def group_stats(df: DataFrame, groups: Sequence[str], value: str, digits: int =
         F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.stddev_samp("__v").alias("__std"),
         F.percentile_approx("__v", [0.4995, 0.5005], 10000).alias("__bracket"),
     ), "group-stats")
-    bounds = stats.select(
-        *groups, "runs", F.get("__bracket", F.lit(0)).alias("__lo"), F.get("__bracket", F.lit(1)).alias("__hi"))
-    if stats.limit(_BROADCAST_GROUPS + 1).count() <= _BROADCAST_GROUPS:
-        bounds = F.broadcast(bounds)  # a hot group then stays where it is
-    # values below the bracket count as one entry of their group
-    near = _same_group(values, bounds, groups).filter(F.col("__v") <= F.col("__hi")).select(
-        *groups, "runs", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v"))
-    counted = near.groupBy(*groups, "runs", "__v").agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*groups).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0))
-
-    def value_at(rank) -> Column:
-        return F.min(F.when(F.col("__upto") >= F.floor(rank), F.struct("__upto", "__v")))
-
-    median = counted.withColumn("__upto", upto).groupBy(*groups).agg(
-        value_at((F.col("runs") + 1) / 2).alias("__low"), value_at((F.col("runs") + 2) / 2).alias("__high"),
-    ).select(*groups, F.when(
+    within = F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    bucket = F.when(F.col("__v").isNull(), -1).when(F.col("__lo") == F.col("__hi"), 0).otherwise(
+        F.floor(F.least(F.nanvl(within, F.lit(1.0)), F.lit(1.0)) * _BUCKETS)).cast("int")
+    counted = stage(_near_median(values, stats, groups).groupBy(*groups, "runs", bucket.alias("__bucket"), "__v").agg(
+        F.count(F.lit(1)).alias("__n")), "group-values")
+    ranks = {"__low": F.floor((F.col("runs") + 1) / 2), "__high": F.floor((F.col("runs") + 2) / 2)}
+
+    def running(keys: Sequence[str], order: str) -> Column:
+        return F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first()).rowsBetween(
+            Window.unboundedPreceding, 0))
+
+    upto = counted.groupBy(*groups, "runs", "__bucket").agg(F.sum("__n").alias("__n")).withColumn(
+        "__end", running(groups, "__bucket")).withColumn("__before", F.col("__end") - F.col("__n"))
+    middle = F.lit(False)
+    for rank in ranks.values():
+        middle = middle | ((F.col("__before") < rank) & (rank <= F.col("__end")))
+    wanted = upto.filter(middle).select(*groups, "__bucket", "__before")
+    inside = _same_group(counted, wanted, [*groups, "__bucket"]).withColumn(
+        "__upto", F.col("__before") + running([*groups, "__bucket"], "__v"))
+    at = {name: F.min(F.when(F.col("__upto") >= rank, F.struct("__upto", "__v"))).alias(name) for name, rank in ranks.items()}
+    median = inside.groupBy(*groups).agg(*at.values()).select(*groups, F.when(
         F.col("__low.__v").isNull() | F.col("__high.__v").isNull(), F.raise_error(F.lit("median outside its bracket"))
     ).otherwise((F.col("__low.__v") + F.col("__high.__v")) / 2).alias("__median"))
     none = stats.filter("runs = 0").select(*groups, F.lit(None).cast("double").alias("__median"))
