@@ -325,6 +325,20 @@ def inference_run(spark, d):
     return result["agreement"].select(F.lit(result["status"]).alias("status"), "*")
 
 
+@check("x5_written_distribution", using("predicted smote_predicted", """
+  SELECT subject, label, count(*)::BIGINT AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY subject), 6) AS percent
+  FROM (SELECT 'without_smote' AS subject, prediction AS label FROM predicted
+        UNION ALL SELECT 'with_smote', prediction FROM smote_predicted) GROUP BY 1, 2"""))
+def written_distribution(spark, d):
+    """The label counts of an inference run, from the report that it has written."""
+    root, output, (rows, inputs) = new_path(spark, "registry"), new_path(spark, "predictions"), populations(spark, d)
+    for variant, oversample in modelling.VARIANTS:
+        registry.save_model(spark, root, MODEL.model_id(variant), fit_variant(rows, KEY, FEATURES, LABEL, oversample))
+    modelling.run_inference(spark, inputs, MODEL, root, output, SPEC.denied)
+    written = spark.read.schema("subject string, label string, n bigint, percent double").json(f"{output}/reports/distribution")
+    return rounded(written, "percent")
+
+
 @check("x6_end_to_end", using("train infer", _FEATURE_REPORT_SQL + """
   UNION ALL SELECT 'manifest', 'order_data', count(*) FROM orders
   UNION ALL SELECT 'manifest', 'line_data', count(*) FROM lineitem
@@ -336,7 +350,7 @@ def end_to_end(spark, d):
         frame.write.option("header", True).csv(sources[name])
     known = {"Order Data": "orders_raw", "Line-Data": "lines_raw"}
     spec = flow.FlowSpec((ORDERS, LINES, NATIONS), STAR, FLOW_FEATURES, known, Layers(*scratch_layers(spark)))
-    reports = flow.run(spark, spec, sources)
+    reports = flow.run(spark, spec, sources, reports=new_path(spark, "reports"))
     manifest = reports["manifest"].select(
         F.lit("manifest").alias("subject"),
         F.translate(F.lower("source"), " -", "__").alias("metric"), F.col("rows").alias("value"))

@@ -66,6 +66,12 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return group_counts(df, column).select(column, "n", (F.col("n") * 100.0 / total).alias("percent"))
 
 
+def label_distribution(df: DataFrame, column: str, subject: str) -> DataFrame:
+    """``(subject, label, n, percent)``: how often each label occurs, as text."""
+    return distribution(df, column).select(
+        F.lit(subject).alias("subject"), F.col(column).cast("string").alias("label"), "n", "percent")
+
+
 # -------------------------------------------------------------------------------- comparing two sets
 
 def comparison_table(

@@ -10,8 +10,9 @@ from ..operators.features import FeatureSpec
 from ..operators.quality import Rule
 from ..operators.standardize import TableSpec, outside_domain
 from .flow import FlowSpec
-from .layers import StarSpec
-from .modelling import ModelSpec
+from ..sources.publish import JdbcTarget, Promotion
+from .layers import Layers, StarSpec
+from .modelling import VARIANTS, ModelSpec
 
 # ------------------------------------------------------------------------------- fixed values
 KNOWN_SOURCES = {
@@ -31,6 +32,9 @@ DENIED = (
     "jenis_kelamin", "tanggal_masuk", "tanggal_keluar", "ipk", "total_sks", "status_mahasiswa",
     "lama_studi", "status_kelulusan", "estimasi_semester", "persentase_sks",
 )
+PUBLISHED = ("gold_mahasiswa", "gold_program_studi", "gold_kurikulum")
+PREDICTION_LABEL, PREDICTION_PROBABILITY = "prediksi_status_kelulusan", "probabilitas_prediksi"
+PREDICTION_TABLE = "prediction_result"
 MODEL_NAME, MODEL_VERSION = "gaussian_nb_lulusan", "v2.0.0"
 
 # ------------------------------------------------------------------------------------- tables
@@ -100,4 +104,26 @@ MODEL = ModelSpec(
     key="id_mahasiswa", features=FEATURES, label="status_kelulusan", positive=ON_TIME,
     name=MODEL_NAME, version=MODEL_VERSION,
 )
-PREDICTION_LABEL, PREDICTION_PROBABILITY = "prediksi_status_kelulusan", "probabilitas_prediksi"
+
+
+# --------------------------------------------------------------------------------------- sinks
+
+def promotions(output: str, layers: Layers = Layers()) -> list[Promotion]:
+    """What :func:`modelling.run_inference` leaves below ``output``, as tables of the feature store."""
+    required = (MODEL.key, *FEATURES, PREDICTION_LABEL, PREDICTION_PROBABILITY,
+                "prediction_timestamp", "model_version", "model_variant")
+    names = tuple(f"prediction_{v}" for v, _ in VARIANTS)
+    targets = [(f"prediction_result_{v}", required, PREDICTION_LABEL) for v, _ in VARIANTS]
+    targets.append(("prediction_comparison", (MODEL.key, *names), None))
+    return [Promotion(f"{output.rstrip('/')}/{name}", f"{layers.feature_store}.{name}", columns, label)
+            for name, columns, label in targets]
+
+
+def jdbc_targets(layers: Layers = Layers()) -> list[JdbcTarget]:
+    """Tables published to a relational database."""
+    return [JdbcTarget(f"{layers.gold}.{t}", t) for t in PUBLISHED]
+
+
+def dashboard_tables(layers: Layers = Layers()) -> list[str]:
+    """Tables that dashboards read."""
+    return [*[f"{layers.gold}.{t}" for t in PUBLISHED], f"{layers.feature_store}.{PREDICTION_TABLE}"]

@@ -129,8 +129,9 @@ def run_inference(
 ) -> dict:
     """Score a stored inference table with both stored variants.
 
-    Writes one Parquet folder per variant and the comparison; in smoke mode scores a few rows and
-    writes nothing. The status follows from the gates.
+    Writes one Parquet folder per variant, the comparison, and below ``reports`` as JSON the gates, how far the
+    variants agree, some keys on which they do not, and how often each label was given; what is returned reads those
+    files. In smoke mode scores a few rows and writes nothing. The status follows from the gates.
     """
     gates_in = scoring.require_scorable(df, spec.key, spec.features)
     models = {}
@@ -154,12 +155,16 @@ def run_inference(
     comparison = publish.write_files(
         scoring.comparison_table(*stored.values(), spec.key, label_name, names),
         f"{output.rstrip('/')}/prediction_comparison")
-    gate_rows = union_all(checks)
-    return {
-        "predictions": stored, "comparison": comparison, "input_gates": gates_in, "gates": gate_rows,
+    reports = publish.write_reports({
+        "input_gates": gates_in, "gates": union_all(checks),
         "agreement": scoring.agreement(comparison, *names),
         "mismatches": scoring.mismatch_patterns(comparison, *names),
-        "status": gate_status(gate_rows).first()["status"],
+        "disagreeing_keys": scoring.disagreeing_keys(comparison, spec.key, *names),
+        "distribution": union_all([scoring.label_distribution(df, label_name, v) for v, df in stored.items()]),
+    }, f"{output.rstrip('/')}/reports")
+    return {
+        "predictions": stored, "comparison": comparison, **reports,
+        "status": gate_status(reports["gates"]).first()["status"],
     }
 
 

@@ -49,13 +49,14 @@ class Opened:
 
 def open_sources(
     spark: SparkSession, sources: Mapping[str, str], fmt: str = "csv",
-    known: Mapping[str, str] | None = None, **options,
+    known: Mapping[str, str] | None = None, schemas: Mapping[str, str | T.StructType] | None = None, **options,
 ) -> list[Opened]:
     opened = []
     for source, path in sources.items():
         table = table_name(source, known)
         try:
-            frame = read_source(spark, path, fmt, **options)
+            own = {"schema": schemas[source]} if schemas and source in schemas else {}
+            frame = read_source(spark, path, fmt, **{**options, **own})
         except PySparkException as error:
             opened.append(Opened(source, table, None, f"unreadable: {error.getCondition() or type(error).__name__}"))
             continue
@@ -91,7 +92,8 @@ _READ_FAILURE = re.compile(r"\[((?:FAILED_READ_FILE|MALFORMED_\w+|CANNOT_READ_FI
 
 def ingest(
     spark: SparkSession, sources: Mapping[str, str], database: str, fmt: str = "csv",
-    known: Mapping[str, str] | None = None, required: Sequence[str] = (), **options,
+    known: Mapping[str, str] | None = None, required: Sequence[str] = (),
+    schemas: Mapping[str, str | T.StructType] | None = None, **options,
 ) -> DataFrame:
     """Load every usable source into ``database`` and return the manifest of what happened.
 
@@ -102,7 +104,7 @@ def ingest(
     clash = sorted({n for n in names if names.count(n) > 1})
     if clash:
         raise ValueError(f"several sources become the same table: {clash}")
-    opened = open_sources(spark, sources, fmt, known, **options)
+    opened = open_sources(spark, sources, fmt, known, schemas, **options)
     stored = []
     for o in opened:
         frame, reason = o.frame if o.reason is None else None, o.reason

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import gate_status, union_all
-from ..operators.scoring import table_facts, table_gates
+from ..operators.scoring import label_distribution, table_facts, table_gates
 from .catalog import create_if_missing, replace_table, row_count
 
 
@@ -56,11 +56,12 @@ def write_files(df: DataFrame, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Promotion:
-    """A Parquet folder to become a table, and the columns the table must have and fill."""
+    """A Parquet folder to become a table, the columns the table must have and fill, and its label column if it has one."""
 
     path: str
     table: str
     required: tuple[str, ...]
+    label: str | None = None
 
 
 def promote(spark: SparkSession, promotions: Sequence[Promotion], key: str) -> DataFrame:
@@ -76,13 +77,31 @@ def promote(spark: SparkSession, promotions: Sequence[Promotion], key: str) -> D
     return union_all(checks)
 
 
+def promoted_labels(spark: SparkSession, promotions: Sequence[Promotion]) -> DataFrame:
+    """``(subject, label, n, percent)`` of every promoted table that has a label column."""
+    return union_all([label_distribution(spark.table(p.table), p.label, p.table) for p in promotions if p.label])
+
+
 def promotion_status(checks: DataFrame) -> DataFrame:
     return gate_status(checks, failed="FAIL")
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """JSON lines, one per metric row; reports have tens of rows, hence one file."""
+def write_report(report: DataFrame, path: str) -> DataFrame:
+    """JSON lines, one per metric row; reports have tens of rows, hence one file. Returns the reader of what is stored."""
     report.coalesce(1).write.mode("overwrite").json(path)
+    return report.sparkSession.read.schema(report.schema).json(path)
+
+
+def write_reports(reports: Mapping[str, DataFrame], root: str, rows: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Every report below ``root`` under its name, and the readers: they tell of the run, not of what tables hold later.
+
+    Those named in ``rows`` list single rows of data, of which there may be many: Parquet files, written in parallel.
+    """
+    def write(name: str, df: DataFrame) -> DataFrame:
+        path = f"{root.rstrip('/')}/{name}"
+        return write_files(df, path) if name in rows else write_report(df, path)
+
+    return {name: write(name, df) for name, df in reports.items()}
 
 
 def _of_slice(new: DataFrame, column: str, value) -> DataFrame:

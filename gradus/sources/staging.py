@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +43,26 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete what :func:`stage` has written in this process, once no lazy result needs it any more."""
+def _delete(spark: SparkSession, first: int) -> int:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
-    while _staged:
+    while len(_staged) > first:
         path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
         dropped += bool(path.getFileSystem(conf).delete(path, True))
     return dropped
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what :func:`stage` has written in this process, once no lazy result needs it any more."""
+    return _delete(spark, 0)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end, failed or not, what is staged inside; no lazy result of it may be used after."""
+    first = len(_staged)
+    try:
+        yield
+    finally:
+        _delete(spark, first)

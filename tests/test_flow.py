@@ -11,7 +11,7 @@ from gradus.operators import features, gnb, quality, scoring
 from gradus.operators.quality import InvalidDataset
 from gradus.plans import academic, flow, modelling
 from gradus.plans.layers import Layers
-from gradus.sources import publish
+from gradus.sources import publish, staging
 
 
 def landing(spark, folder, n=400):
@@ -65,6 +65,24 @@ def test_flow_reports(spark, ran):
     assert spark.table(f"{layers.gold}.gold_program_studi").count() == 1
 
 
+def test_reports_outlive_the_tables(spark, tmp_path):
+    layers = Layers(*[f"{n}_{uuid.uuid4().hex[:6]}" for n in Layers().names()])
+    spec = dataclasses.replace(academic.FLOW, layers=layers)
+    kept, staged = staging.stage(spark.range(3), "kept"), len(staging._staged)
+    reports = flow.run(
+        spark, spec, landing(spark, str(tmp_path), 60), location=str(tmp_path), reports=f"{tmp_path}/reports",
+        schemas={"Data Program Studi": "Kode string, `Nama Program Studi` string, `Jumlah Dosen` string"})
+    assert len(staging._staged) == staged and kept.count() == 3
+    assert spark.table(f"{layers.bronze}.data_program_studi").schema[2].dataType.simpleString() == "string"
+    for name in (layers.bronze, layers.silver, layers.gold, layers.feature_store):
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+    report = {(r["subject"], r["metric"]): r["value"] for r in reports["features"].collect()}
+    assert report[("training", "written")] == 36 and all(r["passed"] for r in reports["star_gates"].collect())
+    assert spark.read.parquet(f"{tmp_path}/reports/excluded").count() == reports["excluded"].count() > 0
+    assert academic.jdbc_targets(layers)[0].source == f"{layers.gold}.gold_mahasiswa"
+    assert academic.dashboard_tables(layers)[-1] == f"{layers.feature_store}.prediction_result"
+
+
 def test_training_and_inference(spark, ran):
     folder, layers, _ = ran
     training = spark.table(f"{layers.feature_store}.training_dataset")
@@ -86,6 +104,17 @@ def test_training_and_inference(spark, ran):
         ("id_mahasiswa", *academic.FEATURES, academic.PREDICTION_LABEL, academic.PREDICTION_PROBABILITY,
          "prediction_timestamp", "model_version", "model_variant")) for v, _ in modelling.VARIANTS], "id_mahasiswa")
     assert publish.promotion_status(checks).first()["status"] == "SUCCESS"
+    # the preset names the same tables, and the reports that were written tell of them
+    presets = academic.promotions(f"{folder}/out", layers)
+    assert [p.table.split(".")[1] for p in presets] == [
+        "prediction_result_without_smote", "prediction_result_with_smote", "prediction_comparison"]
+    assert publish.promotion_status(publish.promote(spark, presets, "id_mahasiswa")).first()["status"] == "SUCCESS"
+    labels = {(r["subject"].split("result_")[-1], r["label"], r["n"]) for r in publish.promoted_labels(spark, presets).collect()}
+    assert labels == {(r["subject"], r["label"], r["n"]) for r in out["distribution"].collect()}
+    written = spark.read.json(f"{folder}/out/reports/agreement").first()
+    assert written["total"] == inputs.count() and spark.read.json(f"{folder}/out/reports/gates").filter("not passed").isEmpty()
+    differing = out["comparison"].filter("prediction_without_smote <> prediction_with_smote").count()
+    assert out["disagreeing_keys"].count() == min(10, differing)
 
 
 def test_unfit_inputs_stop_before_scoring(spark):
