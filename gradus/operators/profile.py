@@ -57,11 +57,11 @@ def _near_median(values: DataFrame, stats: DataFrame, groups: Sequence[str]) ->
     """
     bounds = stats.select(
         *groups, "runs", F.get("__bracket", F.lit(0)).alias("__lo"), F.get("__bracket", F.lit(1)).alias("__hi"))
-    total = stats.agg(F.sum("runs")).first()[0] or 0
+    total, least = stats.agg(F.coalesce(F.sum("runs"), F.lit(0)), F.coalesce(F.min("runs"), F.lit(1))).first()
     is_hot = F.col("runs") * _HOT_SHARE > total
     hot, cold = F.broadcast(bounds.filter(is_hot)), bounds.filter(~is_hot)
     near = _same_group(values, hot, groups)
-    if not cold.isEmpty():
+    if least * _HOT_SHARE <= total:
         keys = hot.select(*[F.col(g).alias(f"__{g}") for g in groups])
         others = values.join(keys, [values[g].eqNullSafe(keys[f"__{g}"]) for g in groups], "left_anti")
         near = near.unionByName(_same_group(others, cold, groups))
@@ -85,8 +85,9 @@ def group_stats(df: DataFrame, groups: Sequence[str], value: str, digits: int =
     within = F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
     bucket = F.when(F.col("__v").isNull(), -1).when(F.col("__lo") == F.col("__hi"), 0).otherwise(
         F.floor(F.least(F.nanvl(within, F.lit(1.0)), F.lit(1.0)) * _BUCKETS)).cast("int")
-    counted = stage(_near_median(values, stats, groups).groupBy(*groups, "runs", bucket.alias("__bucket"), "__v").agg(
-        F.count(F.lit(1)).alias("__n")), "group-values")
+    # used twice below, computed once: Spark reuses the exchange
+    counted = _near_median(values, stats, groups).groupBy(*groups, "runs", bucket.alias("__bucket"), "__v").agg(
+        F.count(F.lit(1)).alias("__n"))
     ranks = {"__low": F.floor((F.col("runs") + 1) / 2), "__high": F.floor((F.col("runs") + 2) / 2)}
 
     def running(keys: Sequence[str], order: str) -> Column:
