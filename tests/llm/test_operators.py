@@ -282,6 +282,16 @@ def test_license_text_over_several_lines(spark):
     assert [(r.license, r.line) for r in license_scan.scan_licenses(df).orderBy("doc_id").collect()] == [("MIT", 2), (None, None)]
 
 
+def test_licenses_inside_longer_lines(spark):
+    mit, filler = license_scan.TEMPLATES["MIT"], " ".join(f"w{k}" for k in range(90))
+    clauses = license_scan.TEMPLATES["BSD"][2].replace("and the", "and\nthe")
+    texts = ["Copyright 2020 Acme Inc. All rights reserved.", "Copyright (c) 2020 X. Released under the MIT License.", f"{filler} {mit[2]} {filler}",
+             f"x\n{filler} {clauses} {filler}", f"{filler} {mit[4].upper()} {filler}", "All rights reserved. All rights reserved.", f"{filler} all rights {filler}"]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_matches, r.license, r.line) for r in got] == [
+        (1, "reserved", 0), (1, "MIT", 0), (1, "MIT", 0), (1, "BSD", 1), (1, "MIT", 0), (1, "reserved", 0), (0, None, None)]
+
+
 def test_archives_of_odd_pages(spark):
     big = "<html>" + "x" * 200
     rows = [(5, "http://www.B.example:8080/a?q=1#f", big), (3, "https://b.example/", big), (3, "https://b.example/", big), (9, None, big), (None, "x y\r\nz", big),
