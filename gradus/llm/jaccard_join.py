@@ -26,7 +26,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -56,16 +56,22 @@ def region_size(n: int) -> int:
     return n // 4 + 1 + (n - 1) // 8 if n else 0
 
 
+def document_key(id_col: str, text_col: str) -> Column:
+    """64 bits that stand for id and text of a row; never null, so rows without id have one too."""
+    return F.xxhash64(F.col(id_col).isNull(), id_col, F.col(text_col).isNull(), text_col)
+
+
 def membership(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every document's id, set size and node (s1, s2); stored."""
+    """Every document's id, key, set size and node (s1, s2); stored."""
     def run(source) -> Iterator[dict]:
         for batch in source:
             for part, sets in _sets(batch, text_col):
                 nodes = _node(sets)
-                yield {"id": part.column(id_col), "n": [len(s) for s in sets], "s1": [a for a, _ in nodes], "s2": [b for _, b in nodes]}
+                yield {"id": part.column(id_col), "key": part.column("_key"), "n": [len(s) for s in sets], "s1": [a for a, _ in nodes], "s2": [b for _, b in nodes]}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return stage(over_batches(df, [id_col, text_col], run, f"id {kind}, n long, s1 long, s2 long"), "sets")
+    keyed = df.select(id_col, text_col, document_key(id_col, text_col).alias("_key"))
+    return stage(over_batches(keyed, [id_col, text_col, "_key"], run, f"id {kind}, key long, n long, s1 long, s2 long"), "sets")
 
 
 def _shorten(h: np.ndarray) -> bytes:
@@ -246,10 +252,10 @@ def _links(verified: DataFrame) -> DataFrame:
 
 
 def _documents(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, s1 and text of the wanted nodes' documents (id of one document of each, s1)."""
+    """s1 and text of the wanted nodes' documents (key of one document of each, s1)."""
     wanted = stage(wanted, "wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(side, "id")
+    return df.select(document_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).join(side, "key")
 
 
 def _whole_sets(texts: DataFrame) -> DataFrame:
@@ -261,7 +267,7 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
                 if same:
                     yield {"s1": part.column("s1").take(same), "tokens": [sets[k].tobytes() for k in same]}
 
-    found = over_batches(texts, ["id", "text", "s1"], run, "s1 long, tokens binary")
+    found = over_batches(texts, ["text", "s1"], run, "s1 long, tokens binary")
     return stage(found.dropDuplicates(["s1"]), "whole-sets")
 
 
@@ -272,16 +278,16 @@ def _buckets(sizes: DataFrame, share: float) -> int:
 
 def find_links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) between nodes that connect all that is connected: not every link, but no component lacks one."""
-    ids = sets.filter("n > 0").groupBy("s1").agg(F.min("id").alias("id"))
+    keys = sets.filter("n > 0").groupBy("s1").agg(F.min("key").alias("key"))
     near = _probes(_blocks(df, text_col, _buckets(sets, 0.375), whole=False), whole=False)
-    texts = _documents(df, ids.join(near.select("s1"), "s1"), id_col, text_col)
+    texts = _documents(df, keys.join(near.select("s1"), "s1"), id_col, text_col)
     probes = _probes(_blocks(texts, "text", _buckets(near, 1.0), whole=True), whole=True)
     lists = probes.select("s1", "n", "single", F.posexplode("tokens").alias("at", "token")).withColumn("at", F.col("single") + F.col("at"))
     # the member with the fewest shingles of its own leads: an original rather than one of its edited copies
     led = lists.groupBy("token").agg(F.min(F.struct("single", "s1")).alias("leader"), F.min("n").alias("least_n"), F.count("*").alias("_n")).filter("_n > 1").select("token", F.col("leader.s1").alias("leader"), "least_n")
     lists = stage(lists.drop("single").join(led, "token"), "lists")
     first = stage(lists.filter("s1 <> leader").select(F.col("leader").alias("a"), F.col("s1").alias("b")).distinct(), "pairs")
-    arrays = _whole_sets(_documents(df, ids.join(lists.select("s1").distinct(), "s1"), id_col, text_col))
+    arrays = _whole_sets(_documents(df, keys.join(lists.select("s1").distinct(), "s1"), id_col, text_col))
     verified = _verify(first, arrays)
     links = _links(verified)
     labels = components(links)

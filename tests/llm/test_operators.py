@@ -253,6 +253,13 @@ def test_jaccard_components(request, spark, kind):
     assert Counter(map(tuple, jaccard_join.jaccard_components(df).collect())) == slow_components(texts_of(df))
 
 
+def test_near_copies_without_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (7, " ".join([*words[:-1], "end"])), (None, " ".join(["start", *words[1:]])), (8, "nothing like the others at all")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == slow_components(rows) == Counter({(None, 56, 7): 2, (7, 56, 7): 1, (8, 2, 8): 1})
+
+
 def test_shingles_count_like_words():
     texts = ["", " ", "A b", "a B c d e", "a b c d e f a b c d e", "x y\x0bz"]
     assert [len(s) for s in shingles.shingle_sets([t.encode() for t in texts])] == [len(slow_sets(t)) for t in texts]
