@@ -28,14 +28,15 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; of repeated rows one.
 
-    The ids that go, fewer than those that stay, are broadcast up to a number of rows; beyond, the join sorts.
+    Rows are named by id and text: one without id, or with an id that others have too, goes only if it is a copy itself.
+    The names that go, fewer than those that stay, are broadcast up to a number of rows; beyond, the join sorts.
     """
-    groups = stage(jaccard_join.jaccard_components(docs), "groups")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = stage(groups.filter(~first).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    repeated = stage(groups.filter(first).groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again"), "repeated")
+    groups = stage(jaccard_join.first_of_groups(docs), "groups")
+    gone = stage(groups.filter("not is_first").select(F.col("key").alias("gone")).distinct(), "gone")
+    repeated = stage(groups.filter("is_first").groupBy(F.col("key").alias("again")).count().filter("count > 1").select("again"), "repeated")
     sides = [F.broadcast(side) if side.count() <= jaccard_join.BROADCAST_IDS else side for side in (gone, repeated)]
-    left = docs.join(sides[0], F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").join(sides[1], F.col("doc_id").eqNullSafe(F.col("again")), "left")
+    keyed = docs.withColumn("_key", jaccard_join.document_key("doc_id", "text"))
+    left = keyed.join(sides[0], F.col("_key") == F.col("gone"), "left_anti").join(sides[1], F.col("_key") == F.col("again"), "left")
     marked = left.withColumn("_again", F.col("again").isNotNull()).drop("again")
     several = marked.filter("_again").dropDuplicates(["doc_id", "text"])
     return marked.filter("not _again").unionByName(several).select(docs.columns)

@@ -311,6 +311,27 @@ def find_links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> Da
     return links.unionByName(_links(_verify(rest, arrays)))
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key and set size of every row, and the first document (smallest id, then key; nulls last) of its component."""
+    sets = membership(df, id_col, text_col)
+    labels = components(find_links(df, sets, id_col, text_col))
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    classes = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min(own).alias("least"))
+    labelled = classes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
+    smallest = labelled.groupBy("label").agg(F.min("least").alias("first"))
+    named = stage(labelled.join(smallest, "label").select("s1", "s2", "first"), "components")
+    empty = sets.filter("n = 0").select("id", "key", "n", own.alias("first"))
+    return sets.filter("n > 0").join(named, ["s1", "s2"]).select("id", "key", "n", "first").unionByName(empty)
+
+
+def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``document_key`` of every row, and whether it is the first document of its component.
+
+    Rows that share an id, or have none, are told apart by their texts; equal rows share a key and a verdict.
+    """
+    return _grouped(df, id_col, text_col).select("key", (F.col("key") == F.col("first.key")).alias("is_first"))
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id that links reach) of every document.
 
@@ -319,12 +340,4 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     component; rows keep their number. A null id is never a component unless all ids of it are null. An empty table
     gives no row. Other columns are not read. Ids must be numbers.
     """
-    sets = membership(df, id_col, text_col)
-    labels = components(find_links(df, sets, id_col, text_col))
-    classes = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("least"))
-    labelled = classes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
-    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = stage(labelled.join(smallest, "label").select("s1", "s2", "component_id"), "components")
-    empty = sets.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    rest = sets.filter("n > 0").join(named, ["s1", "s2"]).select("id", "n", "component_id")
-    return rest.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return _grouped(df, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"))

@@ -351,6 +351,17 @@ def test_pipeline_stages(request, spark, sf, kind):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == kept
 
 
+def test_pipeline_keeps_unique_rows_without_id(spark, sf):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcde"]
+    near = texts[3] + " more"
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (2, texts[0]), (2, texts[2]), (None, texts[3]), (None, near), (None, texts[1]), (3, texts[4]), (3, texts[4])]
+    single = texts_of(corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf))
+    assert len(single) == 5 and len([t for _, t in single if t in (texts[3], near)]) == 1
+    assert {x for x in single if x[1] not in (texts[3], near)} == {(1, texts[0]), (None, texts[1]), (2, texts[2]), (3, texts[4])}
+
+
 def _with_text(rows, docs):
     texts = {d: t for d, t in texts_of(docs)}
     return [(r, texts[r.doc_id]) for r in rows]
