@@ -276,8 +276,8 @@ def _buckets(sizes: DataFrame, share: float) -> int:
     return max(1, math.ceil(tokens / BUCKET_TOKENS))
 
 
-def find_links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between nodes that connect all that is connected: not every link, but no component lacks one."""
+def _led_lists(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The index lists with their leaders, the pairs of leaders and members, these verified, and the whole sets."""
     keys = sets.filter("n > 0").groupBy("s1").agg(F.min("key").alias("key"))
     near = _probes(_blocks(df, text_col, _buckets(sets, 0.375), whole=False), whole=False)
     texts = _documents(df, keys.join(near.select("s1"), "s1"), id_col, text_col)
@@ -288,7 +288,12 @@ def find_links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> Da
     lists = stage(lists.drop("single").join(led, "token"), "lists")
     first = stage(lists.filter("s1 <> leader").select(F.col("leader").alias("a"), F.col("s1").alias("b")).distinct(), "pairs")
     arrays = _whole_sets(_documents(df, keys.join(lists.select("s1").distinct(), "s1"), id_col, text_col))
-    verified = _verify(first, arrays)
+    return lists, first, _verify(first, arrays), arrays
+
+
+def find_links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between nodes that connect all that is connected: not every link, but no component lacks one."""
+    lists, first, verified, arrays = _led_lists(df, sets, id_col, text_col)
     links = _links(verified)
     labels = components(links)
 
@@ -311,6 +316,54 @@ def find_links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> Da
     return links.unionByName(_links(_verify(rest, arrays)))
 
 
+def _all_links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every link (a < b) between nodes; stored.
+
+    Two members of a list share at least what both share with its leader beyond the leader's size. Where that is enough
+    the link is told by the leader's answers; the other pairs that bounds do not rule out are verified.
+    """
+    lists, first, verified, arrays = _led_lists(df, sets, id_col, text_col)
+    known = verified.select(F.col("a").alias("leader"), F.col("b").alias("s1"), F.col("n_a").alias("leads"), "both")
+    placed = lists.filter("7 * (n - at) >= 3 * (n + greatest(least_n, ceil(0.75 * n)))").join(known, ["leader", "s1"], "left").select(
+        "token", "s1", "n", "at", F.coalesce("leads", "n").alias("leads"), F.coalesce("both", "n").alias("both"),
+        F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)).alias("block"))
+    placed = stage(placed.withColumn("far", 1 - F.col("both") / (F.col("leads") + F.col("n") - F.col("both"))), "placed")
+    x = placed.select("token", "leads", *(F.col(c).alias(f"x_{c}") for c in ("s1", "n", "at", "both", "far")), F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"))
+    y = placed.select("token", "block", *(F.col(c).alias(f"y_{c}") for c in ("s1", "n", "at", "both", "far")))
+    pairs = x.join(y, ["token", "block"]).filter(
+        "x_s1 < y_s1 and 4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n) and abs(x_far - y_far) <= 0.250001 "
+        "and 7 * least(x_n - x_at, y_n - y_at) >= 3 * (x_n + y_n)").select(
+        F.col("x_s1").alias("a"), F.col("y_s1").alias("b"), (F.col("x_n") + F.col("y_n")).alias("_sum"), (F.col("x_both") + F.col("y_both") - F.col("leads")).alias("_least"))
+    pairs = pairs.groupBy("a", "b").agg(F.max(F.expr("100 * _least >= 75 * (_sum - _least)")).alias("sure"))
+    led = verified.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stage(pairs.join(led, ["a", "b"], "left_anti"), "pairs")
+    told = _links(verified).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stage(told.unionByName(pairs.filter("sure").select("a", "b")).unionByName(_links(_verify(pairs.filter("not sure").select("a", "b"), arrays))), "links")
+
+
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a and b, the smallest ids of two distinct sets at a similarity of at least 3/4, for every such pair of sets.
+
+    All pairs are given, also those inside a component: as many rows as there are links. Sets without an id have null.
+    """
+    sets = membership(df, id_col, text_col)
+    least = stage(sets.filter("n > 0").groupBy("s1").agg(F.min("id").alias("id")), "least")
+    links = _all_links(df, sets, id_col, text_col)
+    named = links.join(least.select(F.col("s1").alias("a"), F.col("id").alias("_x")), "a").join(least.select(F.col("s1").alias("b"), F.col("id").alias("_y")), "b")
+    return named.select(F.least("_x", "_y").alias("a"), F.when(F.col("_x").isNull() | F.col("_y").isNull(), F.lit(None)).otherwise(F.greatest("_x", "_y")).alias("b"))
+
+
+def count_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and n_links, the number of other documents at a similarity of at least 3/4 (equal texts too), of every row."""
+    sets = membership(df, id_col, text_col)
+    links = _all_links(df, sets, id_col, text_col)
+    copies = stage(sets.filter("n > 0").groupBy("s1").agg(F.count("*").alias("copies")), "copies")
+    ends = links.union(links.select("b", "a")).join(copies.withColumnRenamed("s1", "b"), "b").groupBy(F.col("a").alias("s1")).agg(F.sum("copies").alias("others"))
+    counted = stage(copies.join(ends, "s1", "left").select("s1", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counted")
+    told = sets.filter("n > 0").join(counted, "s1").select(F.col("id").alias(id_col), "n_links")
+    return told.unionByName(sets.filter("n = 0").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links")))
+
+
 def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key and set size of every row, and the first document (smallest id, then key; nulls last) of its component."""
     sets = membership(df, id_col, text_col)

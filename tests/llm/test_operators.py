@@ -253,6 +253,25 @@ def test_jaccard_components(request, spark, kind):
     assert Counter(map(tuple, jaccard_join.jaccard_components(df).collect())) == slow_components(texts_of(df))
 
 
+def test_every_link_inside_a_component(spark):
+    rng, rows = np.random.default_rng(5), [(100, "alone with few words"), (101, None)]
+    for group in range(3):
+        words = [f"g{group}w{k}" for k in range(60)]
+        for copy in range(10):
+            edited = list(words)
+            for k in range(copy % 3):
+                edited[rng.integers(60)] = f"e{group}x{copy}y{k}"
+            rows.append((10 * group + copy, " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: slow_sets(t) for i, t in rows}
+    linked = {(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    degree = Counter(x for pair in linked for x in pair)
+    least = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    distinct = {tuple(sorted((least[sets[i]], least[sets[j]]))) for i, j in linked if sets[i] != sets[j]}
+    assert sorted(map(tuple, jaccard_join.jaccard_links(df).collect())) == sorted(distinct)
+    assert {r.doc_id: r.n_links for r in jaccard_join.count_links(df).collect()} == {i: degree[i] for i in sets}
+
+
 def test_near_copies_without_id(spark):
     words = [f"w{k}" for k in range(60)]
     rows = [(None, " ".join(words)), (7, " ".join([*words[:-1], "end"])), (None, " ".join(["start", *words[1:]])), (8, "nothing like the others at all")]
