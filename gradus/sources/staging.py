@@ -35,12 +35,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of what was written."""
+def write_staged(df: DataFrame, label: str = "stage") -> str:
+    """Write ``df`` to the shared folder and return the path of what was written."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
     _staged.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    return path
+
+
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader of what was written."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_staged(df, label))
 
 
 def _delete(spark: SparkSession, first: int) -> int:
@@ -49,7 +54,7 @@ def _delete(spark: SparkSession, first: int) -> int:
     dropped = 0
     while len(_staged) > first:
         path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        dropped += bool(path.getFileSystem(conf).delete(path, True))
+        dropped += bool(path.getFileSystem(conf).delete(path, True))  # what a failed write left goes too
     return dropped
 
 
