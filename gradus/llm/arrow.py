@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+# the functions travel to the workers with their code, so no worker has to find this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def over_batches(df: DataFrame, columns: list[str], run: Callable[[Iterator], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over ``columns`` only; ``run`` yields dicts of column values, typed by ``schema``."""

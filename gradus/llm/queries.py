@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, license_scan, line_dedup, packing, piece_codec, quality_rules, sql, token_counts, token_files, warc
+from . import (
+    fingerprints, importance, jaccard_join, license_scan, line_dedup, packing, piece_codec, quality_rules, sharding, sql, token_counts,
+    token_files, warc, whitening)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,6 +60,24 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_pages(_table(spark, folder, "pages"))
 
 
+def op11_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    sized = _table(spark, folder, "documents").select(
+        "doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.interleave(sized).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 queries = {f.__name__: f for f in (
-    op1_document_fingerprints, op2_quality_rules, op3_best_fit_packing, op4_token_files, op5_piece_codec, op6_jaccard_join, op7_license_scan, op8_line_dedup, op9_token_counts, op10_warc)}
-oracles = {"op6_jaccard_join": sql.JACCARD, "op2_quality_rules": sql.quality_rules(), "op8_line_dedup": sql.line_dedup("documents"), "op10_warc": sql.WARC}
+    op1_document_fingerprints, op2_quality_rules, op3_best_fit_packing, op4_token_files, op5_piece_codec, op6_jaccard_join, op7_license_scan, op8_line_dedup, op9_token_counts, op10_warc,
+    op11_interleaved_shards, op12_embedding_whitening, op13_importance_resampling)}
+oracles = {"op6_jaccard_join": sql.JACCARD, "op2_quality_rules": sql.quality_rules(), "op8_line_dedup": sql.line_dedup("documents"), "op10_warc": sql.WARC,
+           "op11_interleaved_shards": sql.INTERLEAVED, "op13_importance_resampling": sql.IMPORTANCE}

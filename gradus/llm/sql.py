@@ -88,3 +88,43 @@ JACCARD = """WITH RECURSIVE
     reach AS (SELECT doc_id, doc_id r FROM documents UNION SELECT reach.doc_id, edges.y FROM reach JOIN edges ON edges.x = reach.r)
     SELECT d.doc_id, coalesce(s.n, 0)::BIGINT n_shingles, c.component_id
     FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(r) component_id FROM reach GROUP BY doc_id) c USING (doc_id)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes; ``crc_table`` has to be among the relations read."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, crc_of_byte[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+_CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY b) crc_of_byte FROM (
+      SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) c FROM range(256) t(b)))"""
+
+INTERLEAVED = f"""WITH {_CRC_TABLE},
+    named AS (SELECT doc_id, source, coalesce(text, '') t, md5('42:' || doc_id) h FROM documents),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 k, count(*) OVER (PARTITION BY source) n FROM named),
+    placed AS (SELECT *, row_number() OVER (ORDER BY (2 * k + 1)::DOUBLE / (2 * n), source NULLS FIRST, h, doc_id) - 1 p, count(*) OVER () total FROM ranked),
+    cut AS (SELECT *, (24 * p) // total shard FROM placed)
+    SELECT doc_id, (strlen(t) + 8)::BIGINT size, {_crc32("t")} text_crc32, 'rows' law, shard::INTEGER shard,
+      (row_number() OVER (PARTITION BY shard ORDER BY p) - 1)::BIGINT slot, NULL::INTEGER grown_shard
+    FROM cut, crc_table"""
+
+_FEATURES = """SELECT {key}, unnest(list_transform(w, lambda x, i: x) || list_transform(w[2:], lambda x, i: w[i] || ' ' || x)
+      || list_transform(w[3:], lambda x, i: w[i] || ' ' || w[i + 1] || ' ' || x)) f
+    FROM (SELECT *, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM {table})"""
+
+IMPORTANCE = f"""WITH {_CRC_TABLE},
+    own AS ({_FEATURES.format(key="doc_id", table="documents")}), wanted AS ({_FEATURES.format(key="item_id", table="benchmark")}),
+    hashed AS (SELECT f, {_crc32("f")} % 10000 bucket FROM (SELECT f FROM own UNION SELECT f FROM wanted), crc_table),
+    counted AS (SELECT doc_id, bucket, count(*) n FROM own JOIN hashed USING (f) GROUP BY doc_id, bucket),
+    s AS (SELECT bucket, sum(n) s FROM counted GROUP BY bucket), t AS (SELECT bucket, count(*) t FROM wanted JOIN hashed USING (f) GROUP BY bucket),
+    gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE
+        / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT g
+      FROM (SELECT unnest(range(10000)) bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+    weighed AS (SELECT doc_id, sum(n)::BIGINT n_features, sum(n * g)::BIGINT weight FROM counted JOIN gains USING (bucket) GROUP BY doc_id),
+    scored AS (SELECT doc_id, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+        (('0x' || left(sha256('42:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT score,
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) >= 20 fit
+      FROM documents LEFT JOIN weighed USING (doc_id)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) r FROM scored)
+    SELECT doc_id, n_features::BIGINT n_features, weight, score, CASE WHEN fit AND r <= (SELECT 5 * count(*) // 100 FROM scored WHERE fit) THEN r END AS "rank" FROM ranked"""
