@@ -15,10 +15,14 @@ METRICS = ("accuracy", "precision", "recall", "f1")
 def confusion_cells(
     df: DataFrame, actual: str, predicted: str, labels: Sequence, groups: Sequence[str] = ()
 ) -> DataFrame:
-    """``(groups..., actual, predicted, n)``: one row for each cell of the label grid that has rows."""
+    """``(groups..., actual, predicted, n)``: one row for each cell of the label grid that has rows.
+
+    What lies outside the grid is told apart while counting: a filter before would be pushed below the scoring that
+    computes ``predicted``, and compute it twice.
+    """
     known = F.col(actual).isin(*labels) & F.col(predicted).isin(*labels)
-    return df.filter(known).groupBy(*groups, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*groups, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
+        F.count_if(known).alias("n")).filter("n > 0")
 
 
 def _labels(df: DataFrame, labels: Sequence, name: str) -> DataFrame:

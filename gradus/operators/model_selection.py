@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from ..sources.staging import stage
 from . import evaluate, gnb
 from .gnb import GaussianNB
 from .resample import balanced, copy_ranks, shortfalls, smote, smote_folds
@@ -56,10 +57,12 @@ def cross_validate(
     """``(fold, accuracy, precision, recall, f1)`` over the folds of the training part.
 
     One aggregate gives the moments of every fold; a round's model merges the other folds' moments.
-    All rounds are scored in one pass, each row by the model that did not see it.
+    All rounds are scored in one pass, each row by the model that did not see it. The folds are assigned once and
+    stored with the columns that the passes read.
     """
     label = split.order.label
-    folded = split.with_fold(df).filter("fold IS NOT NULL")
+    narrow = df.select(split.order.key, label, *features)
+    folded = stage(split.with_fold(narrow).filter("fold IS NOT NULL"), "folded")
     stats = gnb.moments(folded, features, ["fold", label])
     extra = None
     if oversample:
