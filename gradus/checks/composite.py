@@ -9,7 +9,7 @@ from ..operators.features import FeatureSpec
 from ..operators.metrics import gate_status, melt, union_all
 from ..operators.model_selection import fit_variant
 from ..operators.quality import Rule
-from ..operators.standardize import TableSpec, standardize
+from ..operators.standardize import TableSpec, standardize, standardize_once
 from ..plans import flow, layers as layer_plans, modelling
 from ..plans.layers import Layers, StarSpec
 from ..plans.modelling import ModelSpec
@@ -262,14 +262,14 @@ _RAW_SUMMARY_SQL = """
 
 @check("x1_standardized_tables", using("joined", _RAW_SUMMARY_SQL))
 def standardized_tables(spark, d):
-    return standardize(raw_orders(spark, d), ORDERS).summary.unionByName(
-        standardize(raw_lines(spark, d), LINES).summary)
+    return standardize_once(raw_orders(spark, d), ORDERS, stage).summary.unionByName(
+        standardize_once(raw_lines(spark, d), LINES, stage).summary)
 
 
 @check("x1_rejected_rows", using("joined", """
   SELECT o_orderkey::VARCHAR AS key, 'exit_before_entry' AS reason FROM joined WHERE days < 0"""))
 def rejected_rows(spark, d):
-    return standardize(raw_orders(spark, d), ORDERS).rejected
+    return standardize_once(raw_orders(spark, d), ORDERS, stage).rejected
 
 
 @check("x2_star_layer", using("star", star_sql("star", "fact", "o_orderkey", "l_quantity", "l_extendedprice")).replace(

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from math import log, pi
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,7 +121,12 @@ class GaussianNB:
 
     @classmethod
     def from_frame(cls, params: DataFrame) -> "GaussianNB":
-        rows = sorted(params.collect(), key=lambda r: (r["label_index"], r["feature_index"]))
+        return cls.from_rows(params.collect())
+
+    @classmethod
+    def from_rows(cls, rows: Iterable[Row]) -> "GaussianNB":
+        """From the collected rows of :meth:`to_frame`."""
+        rows = sorted(rows, key=lambda r: (r["label_index"], r["feature_index"]))
         labels = list(dict.fromkeys(r["label"] for r in rows))
         per = {c: [r for r in rows if r["label"] == c] for c in labels}
         return cls(

@@ -5,11 +5,21 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def local_frame(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A few known rows as a relation inside the plan: no task has to deliver them, and projections of them are folded."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    return spark.createDataFrame(pa.Table.from_arrays(
+        [pa.array([r[i] for r in rows], field.type) for i, field in enumerate(schema)], schema=schema))
+
+
 def count_where(condition: Column) -> Column:
     """How many rows satisfy ``condition`` (NULL counts as no); 0 on empty input."""
     return F.count_if(F.coalesce(condition, F.lit(False)))

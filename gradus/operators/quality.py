@@ -45,10 +45,19 @@ def accepted_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def quarantine(df: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
     """``(key, reason)``: one row per rejected row and rejecting rule it breaks."""
-    reasons = F.array_compact(
-        F.array(*[F.when(r.violated, F.lit(r.name)) for r in rules if r.rejects])
-    )
-    return df.filter(_rejected(rules)).select(F.col(key).alias("key"), F.explode(reasons).alias("reason"))
+    return df.filter(_rejected(rules)).select(F.col(key).alias("key"), F.explode(broken_rules(rules)).alias("reason"))
+
+
+def broken_rules(rules: Sequence[Rule]) -> Column:
+    """Names of the rejecting rules that a row breaks."""
+    return F.array_compact(F.array(*[F.when(r.violated, F.lit(r.name)) for r in rules if r.rejects]).cast("array<string>"))
+
+
+def rule_figures(rules: Sequence[Rule]) -> dict[str, Column]:
+    """The counts of :func:`rule_counts` that need no shuffle, so they can be observed while the rows are written."""
+    return {
+        "initial": F.count(F.lit(1)), "valid": count_where(~_rejected(rules)),
+        **{r.name: count_where(r.violated) for r in rules}}
 
 
 def rule_counts(df: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:

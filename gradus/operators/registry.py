@@ -55,7 +55,8 @@ def load_model(spark: SparkSession, root: str, model_id: ModelId) -> tuple[Gauss
         stored = spark.read.parquet(model_id.folder(root))
     except AnalysisException as error:
         raise ModelNotFound(f"no stored model {model_id}") from error
-    return GaussianNB.from_frame(stored), json.loads(stored.select("metadata").first()["metadata"])
+    rows = stored.collect()  # one for each class and feature
+    return GaussianNB.from_rows(rows), json.loads(rows[0]["metadata"])
 
 
 def is_stored(spark: SparkSession, root: str, model_id: ModelId, model: GaussianNB) -> bool:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +13,7 @@ from . import gnb
 from .dedup import head
 from .features import check_leakage
 from .gnb import GaussianNB
-from .metrics import count_where, distinct_with_null, duplicate_count, gates, is_missing
+from .metrics import count_where, distinct_with_null, duplicate_count, gates, is_missing, local_frame
 from .quality import InvalidDataset, group_counts
 
 
@@ -49,6 +50,42 @@ def batch_predictions(
     )
 
 
+def joint_predictions(
+    df: DataFrame, models: Mapping[str, GaussianNB], key: str, version: str, timestamp: Column | None = None
+) -> DataFrame:
+    """Key, features, time, version, and of every variant ``label:<variant>`` and ``probability:<variant>``.
+
+    One projection scores all models, so the input is read once however many there are.
+    """
+    features = next(iter(models.values())).features
+    scored = df.select(key, *features)
+    for variant, model in models.items():
+        scored = gnb.with_scores(scored, model).withColumn(f"probability:{variant}", gnb.predicted_probability()).withColumnRenamed(
+            "prediction", f"label:{variant}").drop("prediction_index", "probabilities")
+    return scored.withColumn("prediction_timestamp", timestamp if timestamp is not None else now_text()).withColumn(
+        "model_version", F.lit(version))
+
+
+def variant_predictions(
+    joint: DataFrame, features: Sequence[str], key: str, variant: str,
+    label_name: str = "prediction", probability_name: str = "probability",
+) -> DataFrame:
+    """The prediction table of one variant out of :func:`joint_predictions`."""
+    return joint.select(
+        key, *features, F.col(f"`label:{variant}`").alias(label_name), F.col(f"`probability:{variant}`").alias(probability_name),
+        "prediction_timestamp", "model_version", F.lit(variant).alias("model_variant"))
+
+
+def key_figures(key: str) -> dict[str, Column]:
+    """Row count and a sum of key hashes: two sets of rows that agree in both hold the same keys equally often."""
+    return {"rows": F.count(F.lit(1)), "key_sum": F.coalesce(F.sum(F.xxhash64(key).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))}
+
+
+def null_figures(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """Rows without a value for each column."""
+    return {f"null_{c}": count_where(is_missing(df, c)) for c in columns}
+
+
 def smoke_predictions(df: DataFrame, model: GaussianNB, key: str, n: int | None = 5) -> DataFrame:
     """Predictions of the first ``n`` rows by key, for a look before a full run; writes nothing."""
     few = head(df, n if n and n > 0 else 5, [key])
@@ -85,7 +122,10 @@ def comparison_table(
 def agreement(comparison: DataFrame, first: str, second: str) -> DataFrame:
     """Counts and percentages (4 decimals) of equal and different labels; 0 when there are no rows."""
     same = count_where(F.col(first) == F.col(second))
-    row = comparison.agg(F.count(F.lit(1)).alias("total"), same.alias("agreement"))
+    return _rates(comparison.agg(F.count(F.lit(1)).alias("total"), same.alias("agreement")))
+
+
+def _rates(row: DataFrame) -> DataFrame:
     rate = F.when(F.col("total") > 0, F.col("agreement") * 100.0 / F.col("total")).otherwise(F.lit(0.0))
     return row.select(
         "total", "agreement",
@@ -103,6 +143,30 @@ def disagreeing_keys(comparison: DataFrame, key: str, first: str, second: str, n
     return head(comparison.filter(F.col(first) != F.col(second)).select(key), n, [key])
 
 
+def label_pairs(joint: DataFrame, variants: Sequence[str]) -> list[tuple]:
+    """``(label of a, label of b, n)``, a row for each pair that occurs: as many as the models' labels give at most."""
+    return [tuple(r) for r in group_counts(joint, *(f"`label:{v}`" for v in variants)).collect()]
+
+
+def pair_reports(spark: SparkSession, joint: DataFrame, variants: Sequence[str], names: tuple[str, str]) -> dict[str, DataFrame]:
+    """``agreement``, ``mismatches`` and ``distribution`` of two variants, all from one count of their label pairs."""
+    kind = joint.schema[f"label:{variants[0]}"].dataType.simpleString()
+    pairs = label_pairs(joint, variants)
+    total, same = sum(n for *_, n in pairs), sum(n for a, b, n in pairs if a == b and a is not None)
+    given = [Counter(), Counter()]
+    for *labels, n in pairs:
+        for counts, label in zip(given, labels):
+            counts[None if label is None else str(label)] += n
+    return {
+        "agreement": _rates(local_frame(spark, [(total, same)], "total bigint, agreement bigint")),
+        "mismatches": local_frame(
+            spark, [p for p in pairs if None not in p and p[0] != p[1]], f"`{names[0]}` {kind}, `{names[1]}` {kind}, n bigint"),
+        "distribution": local_frame(
+            spark, [(v, label, n, n * 100.0 / total) for v, counts in zip(variants, given) for label, n in counts.items()],
+            "subject string, label string, n bigint, percent double"),
+    }
+
+
 def regression_gate(new: DataFrame, stored: DataFrame, key: str, label: str = "prediction") -> DataFrame:
     """Agreement of new with stored predictions; passes only at 100 percent of all shared keys."""
     both = comparison_table(new, stored, key, label, (f"{label}_new", f"{label}_stored"))
@@ -147,6 +211,22 @@ def prediction_facts(
     )
 
 
+def written_facts(
+    spark: SparkSession, written: Mapping[str, object], scored: Mapping[str, object], distinct_keys: int, columns: Iterable[str],
+    required: Sequence[str], denied: Iterable[str] = (),
+) -> DataFrame:
+    """The row of :func:`prediction_facts` from figures taken while inputs were scored and predictions written.
+
+    Holds only where :func:`key_figures` of both agree: then the predictions are those of the input's keys.
+    """
+    nulls = {f"null_{c}": int(written[f"null_{c}"]) for c in required}
+    row = {
+        "input_rows": int(scored["rows"]), "rows": int(written["rows"]), "distinct_keys": distinct_keys,
+        "inputs_without_prediction": 0, "predictions_without_input": 0, **nulls, "total_null": sum(nulls.values()),
+        "denied_columns": len(set(columns) & set(denied))}
+    return local_frame(spark, [tuple(row.values())], ", ".join(f"`{name}` bigint" for name in row))
+
+
 def _sum_of(names: Sequence[str]) -> Column:
     total = F.lit(0).cast("bigint")
     for n in names:
@@ -202,6 +282,17 @@ def input_facts(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     )
 
 
+def counted_input(
+    spark: SparkSession, scored: Mapping[str, object], distinct_keys: int, key: str, features: Sequence[str]
+) -> DataFrame:
+    """The row of :func:`input_facts` from figures taken while the input was scored."""
+    null_key = int(scored[f"null_{key}"])
+    row = {
+        "rows": int(scored["rows"]), "distinct_keys": distinct_keys, "duplicate_keys": int(scored["rows"]) - distinct_keys - min(null_key, 1),
+        "null_key": null_key, **{f"null_{f}": int(scored[f"null_{f}"]) for f in features}}
+    return local_frame(spark, [tuple(row.values())], ", ".join(f"`{name}` bigint" for name in row))
+
+
 def input_gates(facts: DataFrame, columns: Sequence[str], key: str, features: Sequence[str]) -> DataFrame:
     return gates(facts, {
         "features_present": F.lit(all(f in columns for f in features)),
@@ -213,13 +304,22 @@ def input_gates(facts: DataFrame, columns: Sequence[str], key: str, features: Se
     })
 
 
-def require_scorable(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """Stop before scoring when the input is unfit; returns the gate rows otherwise."""
+def require_columns(df: DataFrame, key: str, features: Sequence[str]) -> None:
+    """Stop when a feature is missing or anything but key and features is there; looks at the schema only."""
     missing = [f for f in features if f not in df.columns]
     if missing:
         raise InvalidDataset(f"features missing from the input: {missing}")
     check_leakage(df, features, key)
-    rows = input_gates(input_facts(df, key, features), df.columns, key, features)
+
+
+def require_scorable(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """Stop before scoring when the input is unfit; returns the gate rows otherwise."""
+    require_columns(df, key, features)
+    return require_passed(input_gates(input_facts(df, key, features), df.columns, key, features))
+
+
+def require_passed(rows: DataFrame) -> DataFrame:
+    """The gate rows of an inference input, if all have passed."""
     failed = [r["gate"] for r in rows.collect() if not r["passed"]]
     if failed:
         raise InvalidDataset(f"inference input failed {failed}")

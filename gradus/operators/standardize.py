@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,9 +11,13 @@ from pyspark.sql import types as T
 
 from ..functions.casts import lenient_cast, normalized
 from ..functions.names import target_names
+from ..sources.staging import observed, stage_observed
 from . import quality
+from .metrics import distinct_with_null, local_frame
 from .quality import Rule
 
+_BROKEN, _REJECTED, _KEYS = "__broken", "__rejected", "__keys"
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -81,6 +85,39 @@ def standardize(df: DataFrame, spec: TableSpec) -> Standardized:
     )
 
 
+def standardize_once(df: DataFrame, spec: TableSpec, write: Callable[[DataFrame], DataFrame]) -> Standardized:
+    """:func:`standardize` with one pass over ``df``; ``write`` stores the accepted rows and returns their reader.
+
+    Figures are taken while rows are written. Where no rule rejects, that is the way into the table itself. Else the
+    typed rows are stored first, with the rules they break and the rejected ones in a folder of their own, from where the
+    table is written and the rejected rows are read. Distinct keys are counted in what is stored.
+    """
+    spark, figures = df.sparkSession, quality.rule_figures(spec.rules)
+    table = typed(df, spec)
+    if any(rule.rejects for rule in spec.rules):
+        marked = table.withColumn(_BROKEN, quality.broken_rules(spec.rules)).withColumn(_REJECTED, F.size(_BROKEN) > 0)
+        stored, seen = stage_observed(marked, "typed", figures, [_REJECTED])
+        rows = write(stored.filter(~F.col(_REJECTED)).select(*table.columns))
+    else:
+        watched, observation = observed(table, figures)
+        stored = rows = write(watched)
+        seen = observation.get
+    known = local_frame(spark, [tuple(seen[n] for n in figures)], ", ".join(f"`{n}` bigint" for n in figures))
+    if spec.key is None:
+        zero = F.lit(0).cast("bigint")
+        return Standardized(rows, None, None, known.select(
+            F.lit(spec.target).alias("table"), "initial", "valid", zero.alias("invalid"), zero.alias("excluded")))
+    keys = stored.agg(distinct_with_null(F.col(spec.key)).alias(_KEYS))
+    counts = known.crossJoin(keys).select(  # one row each
+        "initial", "valid", (F.col("initial") - F.col(_KEYS)).alias(quality.DUPLICATE_KEY), *[r.name for r in spec.rules])
+    if stored is rows:
+        kind = table.schema[spec.key].dataType.simpleString()
+        rejected = local_frame(spark, [], f"key {kind}, reason string")
+    else:
+        rejected = stored.filter(_REJECTED).select(F.col(spec.key).alias("key"), F.explode(_BROKEN).alias("reason"))
+    return Standardized(rows, rejected, counts, quality.quality_summary(counts, spec.target, spec.rules))
+
+
 def outside_domain(column: str, valid: Sequence[str]) -> str:
     """Rule condition: the normalised value is none of ``valid`` (a NULL value is not reported)."""
     values = ", ".join("'" + v.replace("'", "\\'") + "'" for v in valid)

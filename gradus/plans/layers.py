@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..operators import features as feature_ops
 from ..operators import quality, star
 from ..operators.features import FeatureSpec
 from ..operators.metrics import count_where, is_missing, melt, union_all
-from ..operators.standardize import TableSpec, standardize
+from ..operators.standardize import TableSpec, standardize_once
 from ..sources.catalog import LAYERS, replace_table, table_exists
 from ..sources.staging import stage
 
@@ -46,18 +47,23 @@ class StarSpec:
 
 # --------------------------------------------------------------------------------------- silver
 
+def _replaced(name: str, rows: DataFrame) -> DataFrame:
+    replace_table(rows, name)
+    return rows.sparkSession.table(name)
+
+
 def standardize_layer(spark: SparkSession, specs: Sequence[TableSpec], layers: Layers) -> dict[str, DataFrame]:
     """Write every specified table that exists; returns ``summary``, ``rejected`` and ``counts`` frames.
 
-    Sources without a spec stay raw; specs without a source are skipped.
+    Sources without a spec stay raw; specs without a source are skipped. A raw table is read once: figures are taken
+    while its typed rows are stored, and everything else is read from there.
     """
     summaries, rejected, counts = [], [], []
     for spec in specs:
         source = f"{layers.bronze}.{spec.source}"
         if not table_exists(spark, source):
             continue
-        result = standardize(spark.table(source), spec)
-        replace_table(result.rows, f"{layers.silver}.{spec.target}")
+        result = standardize_once(spark.table(source), spec, partial(_replaced, f"{layers.silver}.{spec.target}"))
         summaries.append(result.summary)
         if result.rejected is not None:
             rejected.append(result.rejected.select(

@@ -15,6 +15,7 @@ from ..operators.model_selection import TrainedVariant, split_for, train_variant
 from ..operators.registry import ModelId
 from ..operators.split import StratifiedSplit
 from ..sources import publish
+from ..sources.staging import stage_observed
 
 VARIANTS = (("without_smote", False), ("with_smote", True))
 
@@ -127,13 +128,20 @@ def run_inference(
     denied: Sequence[str] = (), smoke: bool = False, smoke_rows: int = 5,
     label_name: str = "prediction", probability_name: str = "probability",
 ) -> dict:
-    """Score a stored inference table with both stored variants.
+    """Score an inference table with both stored variants in one pass over it.
+
+    Both models are scored in one projection, which is stored; what decides whether the input was fit is counted while
+    it is written, and nothing is published before that is known. Predictions, comparison and counts of labels are read
+    from the stored rows, without another scan of the input and without a join.
 
     Writes one Parquet folder per variant, the comparison, and below ``reports`` as JSON the gates, how far the
     variants agree, some keys on which they do not, and how often each label was given; what is returned reads those
     files. In smoke mode scores a few rows and writes nothing. The status follows from the gates.
     """
-    gates_in = scoring.require_scorable(df, spec.key, spec.features)
+    if smoke:
+        gates_in = scoring.require_scorable(df, spec.key, spec.features)
+    else:
+        scoring.require_columns(df, spec.key, spec.features)
     models = {}
     for variant, _ in VARIANTS:
         model, metadata = registry.load_model(spark, root, spec.model_id(variant))
@@ -143,25 +151,33 @@ def run_inference(
         rows = [scoring.smoke_predictions(df, m, spec.key, smoke_rows).withColumn("variant", F.lit(v))
                 for v, m in models.items()]
         return {"smoke": union_all(rows), "input_gates": gates_in, "status": "SMOKE_TEST_PASS"}
+    variants, output = list(models), output.rstrip("/")
+    joint, scored = stage_observed(
+        scoring.joint_predictions(df, models, spec.key, spec.version), "scored",
+        scoring.key_figures(spec.key) | scoring.null_figures(df, [spec.key, *spec.features]))
+    distinct = joint.agg(F.count_distinct(spec.key).alias("n")).first()["n"]
+    gates_in = scoring.require_passed(scoring.input_gates(
+        scoring.counted_input(spark, scored, distinct, spec.key, spec.features), df.columns, spec.key, spec.features))
     required = [spec.key, *spec.features, label_name, "model_variant"]
     stored, checks = {}, []
-    for variant, model in models.items():
-        predictions = scoring.batch_predictions(
-            df, model, spec.key, spec.version, variant, label_name, probability_name)
-        stored[variant] = publish.write_files(predictions, f"{output.rstrip('/')}/prediction_result_{variant}")
-        facts = scoring.prediction_facts(stored[variant], df, spec.key, required, denied)
+    for variant in variants:
+        predictions = scoring.variant_predictions(joint, spec.features, spec.key, variant, label_name, probability_name)
+        stored[variant], written = publish.write_observed(
+            predictions, f"{output}/prediction_result_{variant}",
+            scoring.key_figures(spec.key) | scoring.null_figures(predictions, required))
+        if all(written[c] == scored[c] for c in ("rows", "key_sum")):
+            facts = scoring.written_facts(spark, written, scored, distinct, predictions.columns, required, denied)
+        else:  # something was lost or repeated on the way: count exactly what
+            facts = scoring.prediction_facts(stored[variant], df, spec.key, required, denied)
         checks.append(scoring.prediction_gates(facts).select(F.lit(variant).alias("variant"), "gate", "passed"))
-    names = tuple(f"prediction_{v}" for v in stored)
+    names = tuple(f"prediction_{v}" for v in variants)
     comparison = publish.write_files(
-        scoring.comparison_table(*stored.values(), spec.key, label_name, names),
-        f"{output.rstrip('/')}/prediction_comparison")
+        joint.select(spec.key, *(F.col(f"`label:{v}`").alias(n) for v, n in zip(variants, names))), f"{output}/prediction_comparison")
     reports = publish.write_reports({
         "input_gates": gates_in, "gates": union_all(checks),
-        "agreement": scoring.agreement(comparison, *names),
-        "mismatches": scoring.mismatch_patterns(comparison, *names),
+        **scoring.pair_reports(spark, joint, variants, names),
         "disagreeing_keys": scoring.disagreeing_keys(comparison, spec.key, *names),
-        "distribution": union_all([scoring.label_distribution(df, label_name, v) for v, df in stored.items()]),
-    }, f"{output.rstrip('/')}/reports")
+    }, f"{output}/reports")
     return {
         "predictions": stored, "comparison": comparison, **reports,
         "status": gate_status(reports["gates"]).first()["status"],

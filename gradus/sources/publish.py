@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import gate_status, union_all
 from ..operators.scoring import label_distribution, table_facts, table_gates
 from .catalog import create_if_missing, replace_table, row_count
+from .staging import observed
 
 
 class PublishError(RuntimeError):
@@ -51,7 +52,13 @@ def publish_jdbc(
 def write_files(df: DataFrame, path: str) -> DataFrame:
     """Replace a Parquet folder and return its reader."""
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_observed(df: DataFrame, path: str, figures: Mapping[str, Column]) -> tuple[DataFrame, dict]:
+    """:func:`write_files`, and aggregates of the rows taken while they are written."""
+    watched, seen = observed(df, figures)
+    return write_files(watched, path), seen.get
 
 
 @dataclass(frozen=True)

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _local_dir: dict[str, str] = {}
@@ -43,6 +43,23 @@ def write_staged(df: DataFrame, label: str = "stage") -> str:
     return path
 
 
+def observed(df: DataFrame, figures: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation that holds these aggregates of its rows once one action has run over it."""
+    seen = Observation()
+    return df.observe(seen, *(c.alias(name) for name, c in figures.items())), seen
+
+
+def stage_observed(
+    df: DataFrame, label: str, figures: Mapping[str, Column], partition_by: Sequence[str] = ()
+) -> tuple[DataFrame, dict]:
+    """:func:`stage`, and aggregates of the rows taken while they are written, so nothing is read for them."""
+    watched, seen = observed(df, figures)
+    path = new_path(df.sparkSession, label)
+    _staged.append(path)
+    watched.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of what was written."""
     return df.sparkSession.read.schema(df.schema).parquet(write_staged(df, label))

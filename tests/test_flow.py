@@ -1,13 +1,15 @@
 """The academic preset from landing files to predictions, and the shape of the physical plans."""
 
 import dataclasses
+import os
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from gradus.checks import bindings
-from gradus.operators import features, gnb, quality, scoring
+from gradus.operators import features, gnb, quality, registry, scoring
+from gradus.operators.model_selection import fit_variant
 from gradus.operators.quality import InvalidDataset
 from gradus.plans import academic, flow, modelling
 from gradus.plans.layers import Layers
@@ -185,3 +187,59 @@ def test_no_cross_joins(spark, sf):
                  "q4_prediction_gates", "m10_smote_per_fold", "d9_roc_auc"):
         text = df_physical(queries[name](spark, sf))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+@pytest.fixture
+def stored_models(spark, folder):
+    """Both variants of a small model, fitted on rows of two classes."""
+    spec = modelling.ModelSpec("k", ("x", "y"), "label", "a", "m", "v1")
+    rows = [(i, float(i % 7), float(i % 11) + (i % 3 == 0) * 5, "a" if i % 3 == 0 else "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, x double, y double, label string").cache()
+    for variant, oversample in modelling.VARIANTS:
+        registry.save_model(spark, f"{folder}/models", spec.model_id(variant), fit_variant(df, "k", ("x", "y"), "label", oversample))
+    return spec, df.drop("label")
+
+
+def test_inference_reads_its_input_once_and_equals_two_passes(spark, folder, stored_models):
+    spec, inputs = stored_models
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    out = modelling.run_inference(spark, inputs.mapInPandas(counted, inputs.schema), spec, f"{folder}/models", f"{folder}/out")
+    assert read.value == inputs.count() == 200 and out["status"] == "SUCCESS"
+    sets = []
+    for variant, _ in modelling.VARIANTS:
+        model, _ = registry.load_model(spark, f"{folder}/models", spec.model_id(variant))
+        alone = scoring.batch_predictions(inputs, model, "k", "v1", variant).drop("prediction_timestamp")
+        assert set(out["predictions"][variant].drop("prediction_timestamp").collect()) == set(alone.collect())
+        sets.append(alone)
+    expected = scoring.comparison_table(*sets, "k", names=("prediction_without_smote", "prediction_with_smote"))
+    names = expected.columns[1:]
+    assert set(out["comparison"].collect()) == set(expected.collect())
+    assert out["agreement"].collect() == scoring.agreement(expected, *names).collect()
+    assert set(out["mismatches"].collect()) == set(scoring.mismatch_patterns(expected, *names).collect())
+    for variant, alone in zip(("without_smote", "with_smote"), sets):
+        assert set(out["distribution"].filter(F.col("subject") == variant).collect()) == set(
+            scoring.label_distribution(alone, "prediction", variant).collect())
+
+
+def test_unfit_input_publishes_nothing(spark, folder, stored_models):
+    spec, inputs = stored_models
+    for bad in (inputs.unionAll(inputs.limit(1)), inputs.withColumn("x", F.when(F.col("k") > 0, F.col("x"))),
+                inputs.withColumn("k", F.when(F.col("k") > 0, F.col("k")))):
+        with pytest.raises(InvalidDataset):
+            modelling.run_inference(spark, bad, spec, f"{folder}/models", f"{folder}/none")
+    assert not os.path.exists(f"{folder}/none")
+
+
+def test_predictions_lost_on_the_way_fail_their_gates(spark, folder, stored_models, monkeypatch):
+    spec, inputs = stored_models
+    write = publish.write_observed
+    monkeypatch.setattr(publish, "write_observed", lambda df, *rest: write(df.filter("k <> 5"), *rest))
+    out = modelling.run_inference(spark, inputs, spec, f"{folder}/models", f"{folder}/lossy")
+    assert out["status"] == "FAILED"
+    assert {r["gate"] for r in out["gates"].filter("not passed").collect()} == {"row_count", "coverage"}

@@ -1,12 +1,15 @@
 """Quality rules, standardising and star checks on hand-made rows."""
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
 from gradus.operators import dedup, quality, star
 from gradus.operators.metrics import gates
-from gradus.operators.standardize import rename_columns, standardize, trim_strings
+from gradus.operators.standardize import rename_columns, standardize, standardize_once, trim_strings
 from gradus.plans.academic import STUDENTS, TERM_RESULTS
+from gradus.sources.staging import stage
 
 STUDENT_COLUMNS = ["ID", "Jenis Kelamin", "Tanggal Masuk", "Tanggal Keluar", "IPK", "Total SKS", "Jumlah MK",
                    " Status Mahasiswa "]
@@ -65,6 +68,33 @@ def test_result_rules(spark):
     assert summary["invalid"] == 1 + 1 + 1 + 0 + 1 + 2 + 0  # info counts are left out
 
 
+@pytest.mark.parametrize("make,spec", [(students, STUDENTS), (results, TERM_RESULTS), (results, dataclasses.replace(
+    TERM_RESULTS, rules=tuple(dataclasses.replace(r, rejects=False) for r in TERM_RESULTS.rules)))])
+def test_one_pass_equals_separate_passes(spark, make, spec):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    source = make(spark)
+    lazily = standardize(source, spec)
+    once = standardize_once(source.mapInPandas(counted, source.schema), spec, stage)
+    for frame in ("rows", "rejected", "counts", "summary"):
+        got, expected = (df.select(*(F.col(c).cast("string") for c in df.columns)) for df in (getattr(once, frame), getattr(lazily, frame)))
+        assert got.columns == expected.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert read.value == source.count()
+
+
+def test_one_pass_over_nothing_and_without_a_key(spark):
+    nothing = standardize_once(students(spark).limit(0), STUDENTS, stage)
+    assert nothing.rows.count() == nothing.rejected.count() == nothing.counts.first()["initial"] == 0
+    plain = standardize_once(results(spark), dataclasses.replace(TERM_RESULTS, key=None, rules=()), stage)
+    assert tuple(plain.summary.first())[1:] == (9, 9, 0, 0) and plain.rejected is None
+
+
 def test_trim_keeps_tabs(spark):
     row = trim_strings(spark.createDataFrame([(" a\t ", 1)], "s string, n int")).first()
     assert tuple(row) == ("a\t", 1)
