@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, gnb, registry, scoring, star as star_ops
-from ..operators.features import FeatureSpec
+from ..operators.features import FeatureSpec, column_verdicts, model_roles
 from ..operators.metrics import gate_status, melt, union_all
 from ..operators.model_selection import fit_variant
 from ..operators.quality import Rule
+from ..operators.split import stratified_split
 from ..operators.standardize import TableSpec, standardize, standardize_once
 from ..plans import flow, layers as layer_plans, modelling
 from ..plans.layers import Layers, StarSpec
@@ -220,12 +221,12 @@ def prediction_gates_catch(spark, d):
 
 @check("q5_table_gates", """
   SELECT unnest(['row_count', 'unique_key', 'no_nulls', 'schema']) AS gate,
-         unnest([true, n = keys, n = filled, false]) AS passed
+         unnest([n = (SELECT count(*) FROM orders), n = keys, n = filled, false]) AS passed
   FROM (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, count(nullif(o_orderstatus, 'P')) AS filled FROM orders)""")
 def table_gates(spark, d):
-    orders = table(spark, d, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
-    facts = scoring.table_facts(orders, KEY, [KEY, "o_orderstatus", "o_comment"], F.lit(None))
-    return scoring.table_gates(facts.withColumn("expected_rows", F.col("rows")))
+    orders = table(spark, d, "orders")
+    stored = stage(orders.withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P"))), "stored")
+    return scoring.table_gates(scoring.table_facts(stored, KEY, [KEY, "o_orderstatus", "o_comment"], orders.count()))
 
 
 @check("q5_truncated_table", """
@@ -262,6 +263,13 @@ _RAW_SUMMARY_SQL = """
 
 @check("x1_standardized_tables", using("joined", _RAW_SUMMARY_SQL))
 def standardized_tables(spark, d):
+    return standardize(raw_orders(spark, d), ORDERS).summary.unionByName(
+        standardize(raw_lines(spark, d), LINES).summary)
+
+
+@check("x1_one_pass_summary", using("joined", _RAW_SUMMARY_SQL))
+def one_pass_summary(spark, d):
+    """The same figures, taken while the typed rows are written."""
     return standardize_once(raw_orders(spark, d), ORDERS, stage).summary.unionByName(
         standardize_once(raw_lines(spark, d), LINES, stage).summary)
 
@@ -269,7 +277,17 @@ def standardized_tables(spark, d):
 @check("x1_rejected_rows", using("joined", """
   SELECT o_orderkey::VARCHAR AS key, 'exit_before_entry' AS reason FROM joined WHERE days < 0"""))
 def rejected_rows(spark, d):
-    return standardize_once(raw_orders(spark, d), ORDERS, stage).rejected
+    return standardize(raw_orders(spark, d), ORDERS).rejected
+
+
+@check("x1_one_pass_rejected", using("joined", """
+  SELECT 'rejected' AS kind, o_orderkey::VARCHAR AS key, 'exit_before_entry' AS reason FROM joined WHERE days < 0
+  UNION ALL SELECT 'kept', o_orderkey::VARCHAR, NULL FROM joined WHERE days IS NULL OR days >= 0"""))
+def one_pass_rejected(spark, d):
+    """Rejected and accepted rows of one pass: every raw row is one or the other."""
+    done = standardize_once(raw_orders(spark, d), ORDERS, stage)
+    return done.rejected.select(F.lit("rejected").alias("kind"), F.col("key").cast("string").alias("key"), "reason").unionByName(
+        done.rows.select(F.lit("kept").alias("kind"), F.col(ORDERS.key).cast("string").alias("key"), F.lit(None).cast("string").alias("reason")))
 
 
 @check("x2_star_layer", using("star", star_sql("star", "fact", "o_orderkey", "l_quantity", "l_extendedprice")).replace(
@@ -305,6 +323,28 @@ def training_gates(spark, d):
     return modelling.train_variants(spark, training(spark, d), MODEL, new_path(spark, "registry"))["gates"]
 
 
+@check("m21_spoilt_training", using("train", """
+  SELECT unnest(['dataset_read', 'feature_schema', 'label_schema', 'no_leakage', 'holdout_share', 'folds_complete', 'cv_metrics',
+                 'holdout_scored', 'confusion_matrix', 'final_model', 'model_saved', 'model_loaded', 'smoke_test', 'no_scaler']) AS gate,
+         unnest([n > 0, true, true, false, ceil(0.3 * n) = ceil(0.2 * n), folds = 10, true,
+                 true, false, on_time = n, true, true, true, true]) AS passed
+  FROM (SELECT count(*) AS n, count(*) FILTER (label = 'On time') AS on_time, least(count(*), 5) AS folds FROM train)"""))
+def spoilt_training(spark, d):
+    """A run that held out too much in too few folds, lost a class's predictions, was refitted on one class and saw a date."""
+    rows = training(spark, d)
+    split = stratified_split(rows, KEY, LABEL, test_share=0.3, folds=5)
+    used = star(spark, d).select("o_orderdate", *rows.columns[:1])
+    leaks = [c for c, v in column_verdicts(used.schema, model_roles(FEATURES, KEY, [LABEL])) if v == "unexpected"]
+    parts = split.with_part(rows)
+    held_out, on_time = F.col("part") == "test", F.col(LABEL) == ON_TIME
+    facts = parts.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(held_out).alias("test_rows"), F.count_if(held_out & ~on_time).alias("confusion_total"),
+        F.count_if(on_time).alias("final_rows")).crossJoin(split.with_fold(rows).agg(F.count_distinct("fold").cast("int").alias("folds")))
+    known = {"features_match": True, "label_matches": True, "leaking_columns": len(leaks), "cv_metrics": len(evaluate.METRICS),
+             "holdout_accuracy": 0.5, "saved": True, "loaded": True, "smoke_ok": True, "has_scaler": False}
+    return evaluate.training_gates(facts.select("*", *(F.lit(v).alias(k) for k, v in known.items())), 10, 0.2)
+
+
 @check("x4_two_variants", using("fold_metrics smote_fold_metrics", " UNION ALL ".join(
     f"SELECT '{m}' AS metric, round(a, 6) AS without_smote, round(b, 6) AS with_smote, "
     f"CASE WHEN a > b THEN 'without_smote' WHEN b > a THEN 'with_smote' ELSE 'seri' END AS winner "

@@ -53,11 +53,16 @@ def broken_rules(rules: Sequence[Rule]) -> Column:
     return F.array_compact(F.array(*[F.when(r.violated, F.lit(r.name)) for r in rules if r.rejects]).cast("array<string>"))
 
 
-def rule_figures(rules: Sequence[Rule]) -> dict[str, Column]:
-    """The counts of :func:`rule_counts` that need no shuffle, so they can be observed while the rows are written."""
-    return {
-        "initial": F.count(F.lit(1)), "valid": count_where(~_rejected(rules)),
-        **{r.name: count_where(r.violated) for r in rules}}
+def with_flags(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, dict[str, Column], list[str]]:
+    """``df`` with a flag for each rule, the counts of :func:`rule_counts` that need no shuffle, and the flags' names.
+
+    Counts that are observed while rows are written are not compiled; over flags they cost next to nothing, as the rules
+    themselves are then evaluated in the compiled projection below.
+    """
+    flags = {"__valid": ~_rejected(rules), **{f"__bad_{i}": r.violated for i, r in enumerate(rules)}}
+    figures = {"initial": F.count(F.lit(1)), "valid": F.count_if(F.col("__valid")),
+               **{r.name: F.count_if(F.col(f"__bad_{i}")) for i, r in enumerate(rules)}}
+    return df.select("*", *(c.alias(name) for name, c in flags.items())), figures, list(flags)
 
 
 def rule_counts(df: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:

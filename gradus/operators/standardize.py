@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.casts import lenient_cast, normalized
 from ..functions.names import target_names
-from ..sources.staging import observed, stage_observed
+from ..sources.staging import observed, stage
 from . import quality
 from .metrics import distinct_with_null, local_frame
 from .quality import Rule
@@ -92,16 +92,16 @@ def standardize_once(df: DataFrame, spec: TableSpec, write: Callable[[DataFrame]
     typed rows are stored first, with the rules they break and the rejected ones in a folder of their own, from where the
     table is written and the rejected rows are read. Distinct keys are counted in what is stored.
     """
-    spark, figures = df.sparkSession, quality.rule_figures(spec.rules)
-    table = typed(df, spec)
+    spark, table = df.sparkSession, typed(df, spec)
+    flagged, figures, flags = quality.with_flags(table, spec.rules)
+    watched, observation = observed(flagged, figures)
     if any(rule.rejects for rule in spec.rules):
-        marked = table.withColumn(_BROKEN, quality.broken_rules(spec.rules)).withColumn(_REJECTED, F.size(_BROKEN) > 0)
-        stored, seen = stage_observed(marked, "typed", figures, [_REJECTED])
+        marked = watched.withColumn(_BROKEN, quality.broken_rules(spec.rules)).withColumn(_REJECTED, ~F.col("__valid"))
+        stored = stage(marked.drop(*flags), "typed", [_REJECTED])
         rows = write(stored.filter(~F.col(_REJECTED)).select(*table.columns))
     else:
-        watched, observation = observed(table, figures)
-        stored = rows = write(watched)
-        seen = observation.get
+        stored = rows = write(watched.drop(*flags))
+    seen = observation.get
     known = local_frame(spark, [tuple(seen[n] for n in figures)], ", ".join(f"`{n}` bigint" for n in figures))
     if spec.key is None:
         zero = F.lit(0).cast("bigint")

@@ -129,9 +129,14 @@ def join_multiplication(dim: DataFrame, fact: DataFrame, key: str) -> DataFrame:
     ).withColumn("row_multiplication", F.col("join_total") - F.col("join_distinct"))
 
 
-def guarded_left_join(dim: DataFrame, fact: DataFrame, key: str) -> DataFrame:
-    """Left join that refuses to multiply rows; the check runs first, before anything is written."""
-    surplus = join_multiplication(dim, fact, key).first()["row_multiplication"]
+def guarded_left_join(dim: DataFrame, fact: DataFrame, key: str, metrics: DataFrame | None = None) -> DataFrame:
+    """Left join that refuses to multiply rows; the check runs first, before anything is written.
+
+    ``metrics`` are the :func:`star_metrics` of the same two stored tables where they have been taken already: they tell
+    whether rows would multiply, so no second census is taken and each side moves once, for the join.
+    """
+    census = join_multiplication(dim, fact, key) if metrics is None else metrics
+    surplus = census.select("row_multiplication").first()["row_multiplication"]
     if surplus:
         raise InvalidDataset(f"joining on {key} would repeat keys: {surplus} surplus rows")
     return left_join(dim, fact, key)

@@ -61,7 +61,7 @@ def _run(spark, spec, sources, fmt, publication, location, schemas, read_options
     gold = star_layer(spark, spec.star, layers)
     if publication is not None:
         publish_jdbc(spark, publication.targets, publication.url, publication.properties, publication.schema)
-    store = feature_layer(spark, spec.star, spec.features, layers)
+    store = feature_layer(spark, spec.star, spec.features, layers, metrics=gold["metrics"])
     report = quality_report(
         silver["summary"], spark.table(f"{layers.silver}.{spec.star.dim_source}"),
         spark.table(f"{layers.silver}.{spec.star.fact_source}"), spec.star.key)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import features as feature_ops
 from ..operators import quality, star
 from ..operators.features import FeatureSpec
-from ..operators.metrics import count_where, is_missing, melt, union_all
+from ..operators.metrics import count_where, is_missing, local_frame, melt, union_all
 from ..operators.standardize import TableSpec, standardize_once
 from ..sources.catalog import LAYERS, replace_table, table_exists
 from ..sources.staging import stage
@@ -84,7 +84,10 @@ def quality_report(summaries: DataFrame, dim: DataFrame, fact: DataFrame, key: s
 # ----------------------------------------------------------------------------------------- gold
 
 def star_layer(spark: SparkSession, spec: StarSpec, layers: Layers) -> dict[str, DataFrame]:
-    """Write dimension, fact and pass-through tables; returns the star ``metrics`` and ``gates``."""
+    """Write dimension, fact and pass-through tables; returns the star ``metrics`` and ``gates``.
+
+    The figures are one row, taken once from what was written: gates, reports and the guard of the join read that row.
+    """
     dim_name, fact_name = f"{layers.gold}.{spec.dim_target}", f"{layers.gold}.{spec.fact_target}"
     dim = star.one_row_per_key(spark.table(f"{layers.silver}.{spec.dim_source}"), spec.key, spec.dim_columns)
     replace_table(dim, dim_name, f"dimension, primary key {spec.key}: one row per {spec.key}")
@@ -94,7 +97,8 @@ def star_layer(spark: SparkSession, spec: StarSpec, layers: Layers) -> dict[str,
     for source, target in spec.pass_through.items():
         if table_exists(spark, f"{layers.silver}.{source}"):
             replace_table(spark.table(f"{layers.silver}.{source}"), f"{layers.gold}.{target}")
-    metrics = star.star_metrics(spark.table(dim_name), spark.table(fact_name), spec.key, spec.measures)
+    census = star.star_metrics(spark.table(dim_name), spark.table(fact_name), spec.key, spec.measures)
+    metrics = local_frame(spark, [tuple(census.first())], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in census.schema))
     return {"metrics": metrics, "gates": star.star_gates(metrics)}
 
 
@@ -125,12 +129,15 @@ def feature_report(joined: DataFrame, training: DataFrame, inference: DataFrame,
 
 def feature_layer(
     spark: SparkSession, star_spec: StarSpec, spec: FeatureSpec, layers: Layers,
-    training_table: str = "training_dataset", inference_table: str = "inference_dataset",
+    training_table: str = "training_dataset", inference_table: str = "inference_dataset", metrics: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Write both feature sets from one join; returns the ``report`` and the ``excluded`` rows."""
+    """Write both feature sets from one join; returns the ``report`` and the ``excluded`` rows.
+
+    ``metrics`` are those of :func:`star_layer` where it has just written the two tables.
+    """
     dim = spark.table(f"{layers.gold}.{star_spec.dim_target}")
     fact = spark.table(f"{layers.gold}.{star_spec.fact_target}")
-    joined = stage(star.guarded_left_join(dim, fact, spec.key), "star")
+    joined = stage(star.guarded_left_join(dim, fact, spec.key, metrics), "star")
     training, inference = feature_sets(joined, spec)
     names = [f"{layers.feature_store}.{t}" for t in (training_table, inference_table)]
     for df, name in zip((training, inference), names):

@@ -35,34 +35,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def write_staged(df: DataFrame, label: str = "stage") -> str:
+def write_staged(df: DataFrame, label: str = "stage", partition_by: Sequence[str] = ()) -> str:
     """Write ``df`` to the shared folder and return the path of what was written."""
     path = new_path(df.sparkSession, label)
     _staged.append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return path
 
 
+def stage(df: DataFrame, label: str = "stage", partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader of what was written."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_staged(df, label, partition_by))
+
+
 def observed(df: DataFrame, figures: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
     """``df`` and an observation that holds these aggregates of its rows once one action has run over it."""
     seen = Observation()
     return df.observe(seen, *(c.alias(name) for name, c in figures.items())), seen
 
 
-def stage_observed(
-    df: DataFrame, label: str, figures: Mapping[str, Column], partition_by: Sequence[str] = ()
-) -> tuple[DataFrame, dict]:
+def stage_observed(df: DataFrame, label: str, figures: Mapping[str, Column]) -> tuple[DataFrame, dict]:
     """:func:`stage`, and aggregates of the rows taken while they are written, so nothing is read for them."""
     watched, seen = observed(df, figures)
-    path = new_path(df.sparkSession, label)
-    _staged.append(path)
-    watched.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
-
-
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of what was written."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_staged(df, label))
+    return stage(watched, label), seen.get
 
 
 def _delete(spark: SparkSession, first: int) -> int:
