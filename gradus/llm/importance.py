@@ -23,9 +23,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import positions
 from ..sources.staging import stage
 from .arrow import in_slices, over_batches
-from .ranks import positions
 
 # the functions travel to the workers with their code, so no worker has to find this module
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

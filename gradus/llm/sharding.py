@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import positions
 from ..sources.staging import stage
-from .ranks import positions
 
 BUCKET_ROWS = 256
 _HASH_BITS = 32

@@ -11,7 +11,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from gradus.llm import importance, ranks, sharding, whitening
+from gradus.llm import importance, sharding, whitening
+from gradus.operators import ranks
 
 WORDS = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 
