@@ -49,34 +49,44 @@ def shared_lines(df: DataFrame, min_sites: int = 10, id_col: str = "doc_id", tex
     return occurrences, stage(found.select(*_LINE, "_first"), "boilerplate")
 
 
-def drop_shared_lines(df: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """``df`` without the lines that at least ``min_sites`` sites share, and n_lines and n_removed appended.
+def cleaned_rows(df: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """``row`` (a struct of all columns of ``df``, the text without shared lines), n_lines and n_removed of every row.
 
-    Of each such line the first occurrence stays, in the order of ids, text hashes and places, so nothing vanishes from
-    the collection. Lines are compared without outer blanks; lines without a word are never removed. Documents that
-    lose no line keep their text byte for byte; one that loses all has an empty text. A null text stays null and has no
-    lines; a null site counts as one site; rows with equal id and text are treated alike. An empty table gives no row.
-    Columns of ``df`` named n_lines or n_removed raise.
+    The caller's columns travel in one struct, so they may have any names; see :func:`drop_shared_lines` for the rest.
     """
-    clash = {"n_lines", "n_removed", *_ROW} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
-    occurrences, boilerplate = shared_lines(df, min_sites, id_col, text_col, site_col)
+    named = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{site_col}`").alias("site"))
+    occurrences, boilerplate = shared_lines(named, min_sites, "id", "text", "site")
     removed = (occurrences.join(boilerplate, _LINE).filter(F.struct(*_ROW, "_place") != F.col("_first"))
                .groupBy(*_ROW).agg(F.sort_array(F.collect_set("_place")).alias("_removed")))
-    removed = stage(removed, "removed").withColumnsRenamed({"_id": "_rid", "_text_hash": "_rhash"})
+    removed = stage(removed, "removed")
     rows, places = removed.agg(F.count("*"), F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()
     side = F.broadcast(removed) if rows <= BROADCAST_ROWS and places <= 4 * BROADCAST_ROWS else removed
-    joined = df.withColumn("_hash", F.xxhash64(text_col)).join(
-        side, F.col(id_col).eqNullSafe(F.col("_rid")) & (F.col("_hash") == F.col("_rhash")), "left")
-    split = joined.withColumn("_all", F.split(text_col, "\n", -1))
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")).withColumn("text", F.col(f"row.`{text_col}`"))
+    joined = packed.withColumn("_hash", F.xxhash64("text")).join(
+        side, F.col(f"row.`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash")), "left")
+    split = joined.withColumn("_all", F.split("text", "\n", -1))
     # what stands between two removed lines is one slice, so the work is in proportion to the lines
     bounds = split.withColumn("_cuts", F.when(F.col("_removed").isNotNull(), F.concat(F.array(F.lit(-1)), "_removed", F.array(F.size("_all")))))
     kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_cuts") - 1), lambda i: F.slice(
         F.col("_all"), F.get("_cuts", i - 1) + 2, F.get("_cuts", i) - F.get("_cuts", i - 1) - 1)))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(F.filter("_all", lambda x: F.btrim(x, F.lit(_BLANKS)) != "")), F.lit(0)).cast("long")
     return bounds.select(
-        *(text.alias(c) if c == text_col else F.col(c) for c in df.columns),
+        F.struct(*((text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns)).alias("row"),
         F.greatest(n_lines, F.lit(0)).alias("n_lines"),
         F.greatest(F.coalesce(F.size("_removed"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def drop_shared_lines(df: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """``df`` without the lines that at least ``min_sites`` sites share, and n_lines and n_removed appended.
+
+    Of each such line the first occurrence stays, in the order of ids, text hashes and places, so nothing vanishes from
+    the collection. Lines are compared without outer blanks; lines without a word are never removed. Documents that
+    lose no line keep their text byte for byte; one that loses all has an empty text. A null text stays null and has no
+    lines; a null site counts as one site; rows with equal id and text are treated alike. An empty table gives no row.
+    Columns of ``df`` named n_lines or n_removed raise; other names are free.
+    """
+    clash = {"n_lines", "n_removed"} & {c.lower() for c in df.columns}
+    if clash:
+        raise ValueError(f"columns already there: {sorted(clash)}")
+    return cleaned_rows(df, min_sites, id_col, text_col, site_col).select("row.*", "n_lines", "n_removed")

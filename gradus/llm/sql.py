@@ -4,28 +4,38 @@ from __future__ import annotations
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-#: Fixed values of the quality rules: metric, numerator, denominator, scale, least quartile distance.
+#: Fixed values of the quality rules: metric, numerator, denominator, scale, thousandths of a group that may be rejected.
 _METRICS = [
     ("word_length", "word_chars", "n_words", 100, 100),
-    ("symbol_share", "n_symbols", "word_chars", 1000, 10),
-    ("dup_line_share", "n_dup_lines", "n_lines", 1000, 150),
-    ("repeat_share", "n_repeat_words", "n_words", 1000, 70),
+    ("symbol_share", "n_symbols", "word_chars", 1000, 100),
+    ("dup_line_share", "n_dup_lines", "n_lines", 1000, 10),
+    ("repeat_share", "n_repeat_words", "n_words", 1000, 10),
 ]
 
 
 def _quality_ctes() -> str:
     share = "\nUNION ALL ".join(
-        f"SELECT doc_id, lang, source, base_failed, '{m}' metric, {least} least, CASE WHEN {d} > 0 THEN ({scale} * {n}) // {d} ELSE 0 END v FROM base"
-        for m, n, d, scale, least in _METRICS)
+        f"SELECT doc_id, lang, source, base_failed, '{m}' metric, {part} share, CASE WHEN {d} > 0 THEN ({scale} * {n}) // {d} ELSE 0 END v FROM base"
+        for m, n, d, scale, part in _METRICS)
 
-    def fence(keys: str) -> str:
+    def fence(name: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
-        return f"""SELECT {by}metric, max(total) AS n_rows,
-              min(CASE WHEN 4 * upto >= 3 * total THEN top END) + 3 * greatest(
-                min(CASE WHEN 4 * upto >= 3 * total THEN top END) - min(CASE WHEN 4 * upto >= total THEN top END), max(least)) AS most
-            FROM (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY top) upto, sum(n) OVER (PARTITION BY {by}metric) total
-                  FROM (SELECT {by}metric, top, max(least) least, count(*) n FROM bucketed GROUP BY {by}metric, top))
-            GROUP BY {by}metric"""
+        return f"""
+    {name}_b AS (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY top) upto, sum(n) OVER (PARTITION BY {by}metric) total
+      FROM (SELECT {by}metric, top, bottom, max(share) share, count(*) n FROM bucketed GROUP BY {by}metric, top, bottom)),
+    {name}_q AS (SELECT {by}metric, max(total) n_rows, min(CASE WHEN 4 * upto >= total THEN top END) q1, min(CASE WHEN 4 * upto >= 3 * total THEN top END) q3,
+      min(CASE WHEN 1000 * upto >= (1000 - share) * total THEN top END) high, min(CASE WHEN 1000 * upto > share * total THEN bottom END) low
+      FROM {name}_b GROUP BY {by}metric),
+    {name}_f AS (SELECT {by}metric, n_rows, greatest(q3 + 3 * (q3 - q1), high) above, least(q1 - 3 * (q3 - q1), low) below FROM {name}_q),
+    {name} AS (SELECT {", ".join(f"f.{k}" for k in keys.split(", ")) + ", " if keys else ""}f.metric, max(n_rows) n_rows,
+        coalesce((max(CASE WHEN top <= above THEN top END) + min(CASE WHEN top > above THEN bottom END) - 1) // 2, max(above)) most,
+        CASE WHEN f.metric = 'word_length' THEN
+          coalesce((min(CASE WHEN bottom >= below THEN bottom END) + max(CASE WHEN bottom < below THEN top END)) // 2 + 1, max(below)) END least
+      FROM {name}_f f JOIN {name}_b b ON f.metric = b.metric{"".join(f" AND f.{k} IS NOT DISTINCT FROM b.{k}" for k in keys.split(", ") if k)}
+      GROUP BY {", ".join(f"f.{k}" for k in keys.split(", ")) + ", " if keys else ""}f.metric)"""
+
+    def limit(column: str) -> str:
+        return f"coalesce(CASE WHEN own.n_rows >= 50 THEN own.{column} END, CASE WHEN up.n_rows >= 50 THEN up.{column} END, overall.{column}, 0)"
 
     return f"""
     split AS (SELECT doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') words FROM documents),
@@ -41,12 +51,11 @@ def _quality_ctes() -> str:
       FROM split s LEFT JOIN repeated r USING (doc_id) LEFT JOIN counted c USING (doc_id)),
     valued AS ({share}),
     bucketed AS (
-      SELECT *, CASE WHEN v < 64 THEN v ELSE (((v >> (length(bin(v)) - 6)) + 1) << (length(bin(v)) - 6)) - 1 END top
-      FROM valued WHERE NOT base_failed),
-    own AS ({fence('lang, source')}), up AS ({fence('lang')}), overall AS ({fence('')}),
+      SELECT *, CASE WHEN v < 64 THEN v ELSE (v >> s) << s END bottom, CASE WHEN v < 64 THEN v ELSE (((v >> s) + 1) << s) - 1 END top
+      FROM (SELECT *, greatest(length(bin(v)) - 6, 0) s FROM valued WHERE NOT base_failed)),
+    {fence("own", "lang, source")}, {fence("up", "lang")}, {fence("overall", "")},
     verdict AS (
-      SELECT v.doc_id, NOT bool_or(v.base_failed) AND bool_and(v.v <= coalesce(
-          CASE WHEN own.n_rows >= 50 THEN own.most END, CASE WHEN up.n_rows >= 50 THEN up.most END, overall.most, 0)) kept
+      SELECT v.doc_id, NOT bool_or(v.base_failed) AND bool_and(v.v <= {limit("most")} AND (v.metric <> 'word_length' OR v.v >= {limit("least")})) kept
       FROM valued v LEFT JOIN own ON own.lang IS NOT DISTINCT FROM v.lang AND own.source IS NOT DISTINCT FROM v.source AND own.metric = v.metric
         LEFT JOIN up ON up.lang IS NOT DISTINCT FROM v.lang AND up.metric = v.metric LEFT JOIN overall ON overall.metric = v.metric
       GROUP BY v.doc_id)"""

@@ -127,6 +127,57 @@ def test_thresholds_follow_their_group(spark):
     assert {r.doc_id for r in judged.filter("not kept").collect()} == {1000}
 
 
+@pytest.mark.parametrize("metric,spoil", [
+    ("word_length", lambda words: [w + "lengthened" * 3 for w in words]), ("short words", lambda words: [w[:1] for w in words]),
+    ("symbol_share", lambda words: [w + "##" for w in words]),
+    ("dup_line_share", lambda words: words[:1] * 2 + words), ("repeat_share", lambda words: words[:60] + words[:6])])
+def test_each_metric_rejects_an_outlier_of_its_group(spark, metric, spoil):
+    """A document that passes the base rules goes when it stands out in its own group, and stays where all are like it."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 8))) for _ in range(4000)]
+
+    def text(spoilt):
+        words = list(rng.choice(vocabulary, 60, replace=False))
+        return "\n".join(spoil(words)) if spoilt else "\n".join(words)
+
+    rows = [(i, text(False), "en", "plain") for i in range(200)] + [(1000, text(True), "en", "plain")]
+    rows += [(2000 + i, text(True), "en", "other") for i in range(200)]
+    judged = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    bad = judged.filter("not kept").collect()
+    assert 1000 in {r.doc_id for r in bad} and not any(r.base_failed for r in bad), metric
+    assert sum(r.doc_id < 1000 for r in bad) < 8 and sum(r.doc_id >= 2000 for r in bad) < 16
+
+
+def test_features_and_symbols_of_plain_rows(spark):
+    df = spark.createDataFrame([(1, "a#b * $%&|<> #\nx")], "doc_id long, text string")
+    assert quality_rules.base_features(df).first().n_symbols == 9
+
+
+def test_carried_columns_of_any_name_come_back_unchanged(spark, sf):
+    """Stages that carry all columns leave every one as it is, whatever steps inside are called."""
+    import corpus_pipeline
+
+    names = ["row", "carried", "id", "site", "text_", "several", "key", "gone", "again", "kept", "n_lines", "n_removed", "n_words", "base_failed",
+             "word_chars", "_words", "_lines", "_sorted", "_windows", "_lang", "_source", "_hash", "_all", "_cuts", "_removed", "_rid", "_id",
+             "_text_hash", "_key", "_again", "most_word_length", "least_word_length", "rows", "lang_x", "_first", "_place"]
+    rows = [(i, f"own line {i} " + " ".join(f"w{i}x{k}" for k in range(30)) + "\na line that all the many sites have", "en", f"s{i % 12}") for i in range(60)]
+    df = spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows],
+                               "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names], name
+        assert out.count() > 40
+    plain = line_dedup.drop_shared_lines(df.drop("n_lines", "n_removed"))
+    assert {r["_hash"] for r in plain.collect()} == {f"_hash{i}" for i in range(60)}
+    for taken in ("kept", "N_words"):
+        with pytest.raises(ValueError, match="already there"):
+            quality_rules.quality_rules(df.select("doc_id", "text", "lang", "source", df["kept"].alias(taken)), carry=True)
+    with pytest.raises(ValueError, match="n_lines"):
+        line_dedup.drop_shared_lines(df)
+
+
 def test_line_dedup_of_odd_documents(spark, odd_documents):
     shared = "a line that many sites have"
     rows = [(i, f"own line {i}\n{shared} \n\nlast {i}", "en", f"s{i}") for i in range(12)] + [(99, shared, "en", None), (98, None, None, None)]
@@ -391,7 +442,7 @@ def test_sql_of_every_query_with_sql(spark, sf):
     from gradus.llm import queries as q
 
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     for name, sql in q.oracles.items():
         got = q.queries[name](spark, sf)
