@@ -14,15 +14,19 @@ _BLANKS = " \t\n\x0b\f\r"
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the thresholds of their language and source."""
-    return quality_rules.quality_rules(docs, carry=True).filter("kept").select(docs.columns)
+    return quality_rules.keep_good(docs)
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that ten or more sources share; one that lost all its words goes."""
-    cleaned = line_dedup.drop_shared_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(_BLANKS)) == "")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return cleaned.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars).select(docs.columns)
+    """Documents without lines that ten or more sources share; one that lost all its words goes.
+
+    A column ``n_chars``, where there is one, follows the text.
+    """
+    cleaned = line_dedup.cleaned_rows(docs)
+    text, lost = F.col("row.text"), F.col("n_removed") > 0
+    emptied = F.coalesce(lost & (F.btrim(text, F.lit(_BLANKS)) == ""), F.lit(False))
+    n_chars = F.when(lost, F.length(text)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    return cleaned.filter(~emptied).select(*((n_chars if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +35,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are named by id and text: one without id, or with an id that others have too, goes only if it is a copy itself.
     The names that go, fewer than those that stay, are broadcast up to a number of rows; beyond, the join sorts.
     """
-    groups = stage(jaccard_join.first_of_groups(docs), "groups")
+    groups = stage(jaccard_join.first_of_groups(docs.select("doc_id", "text")), "groups")
     gone = stage(groups.filter("not is_first").select(F.col("key").alias("gone")).distinct(), "gone")
     repeated = stage(groups.filter("is_first").groupBy(F.col("key").alias("again")).count().filter("count > 1").select("again"), "repeated")
     sides = [F.broadcast(side) if side.count() <= jaccard_join.BROADCAST_IDS else side for side in (gone, repeated)]
-    keyed = docs.withColumn("_key", jaccard_join.document_key("doc_id", "text"))
-    left = keyed.join(sides[0], F.col("_key") == F.col("gone"), "left_anti").join(sides[1], F.col("_key") == F.col("again"), "left")
-    marked = left.withColumn("_again", F.col("again").isNotNull()).drop("again")
-    several = marked.filter("_again").dropDuplicates(["doc_id", "text"])
-    return marked.filter("not _again").unionByName(several).select(docs.columns)
+    keyed = docs.select(jaccard_join.document_key("doc_id", "text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = keyed.join(sides[0], F.col("key") == F.col("gone"), "left_anti").join(sides[1], F.col("key") == F.col("again"), "left")
+    marked = left.select("row", F.col("again").isNotNull().alias("several"), F.col("row.doc_id").alias("id"), F.col("row.text").alias("text"))
+    once = marked.filter("several").dropDuplicates(["id", "text"])
+    return marked.filter("not several").unionByName(once).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
