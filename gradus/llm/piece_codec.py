@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +28,10 @@ _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _CROSSING = re.compile(f"[^{BLANK}]{BLANK}")
 
 
+#: Bytes of text whose new words are segmented together: fewer and longer suffix arrays than one for every batch.
+SLICE = 1 << 22
+
+
 class PieceCodec:
     """A model's pieces, and the words and neighbouring pieces met so far (both emptied when they grow past a limit)."""
 
@@ -53,7 +58,7 @@ class PieceCodec:
         self.points = np.zeros((len(plain), self.longest), np.uint32)
         for row, i in enumerate(plain):
             self.points[row, :len(text[i])] = [ord(c) for c in text[i]]
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.beside: dict[int, bool] = {}
 
     def _merge(self, text: str) -> list[str]:
@@ -77,16 +82,15 @@ class PieceCodec:
     def _stand(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each pair of neighbours holds; ``before`` is the unknown's number where nothing can merge across."""
         keys, back = np.unique(before * (self.unknown + 1) + piece, return_inverse=True)
-        holds = np.empty(len(keys), bool)
-        for k, key in enumerate(keys.tolist()):
-            known = self.beside.get(key)
-            if known is None:
+        keys = keys.tolist()
+        holds = list(map(self.beside.get, keys))
+        for k, key in enumerate(keys):
+            if holds[k] is None:
                 a, b = divmod(key, self.unknown + 1)
                 pair = [self.text[i] for i in (a, b) if i != self.unknown]
                 joined = "".join(pair)
-                known = self.beside[key] = (len(pair) < 2 or joined not in self.score) and self._merge(joined) == pair
-            holds[k] = known
-        return holds[back]
+                holds[k] = self.beside[key] = (len(pair) < 2 or joined not in self.score) and self._merge(joined) == pair
+        return np.array(holds, bool)[back]
 
     def _occurrences(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and piece of every occurrence of a piece in the text, by binary search in its suffix array."""
@@ -155,16 +159,23 @@ class PieceCodec:
             before = np.where(at_start[s] | (p == self.unknown), self.unknown, taken[s - 1])
             holds = (p == self.unknown) | self._stand(before, p)
             taken[target[a:b][holds]] = p[holds]
-        result: list[list[int]] = [[] for _ in words]
-        live, place = np.arange(len(words)), start + sizes - 1
+        found, (live, place) = [], (np.arange(len(words)), start + sizes - 1)
         while len(live):
             now = taken[place]
-            for w, p, i in zip(live.tolist(), now.tolist(), place.tolist()):
-                result[w] += [p] if p != self.unknown else [self.bytes[b] for b in reversed(joined[i].encode())]
+            found.append((live, place, now))
             place = place - self.length[now]
             more = place >= start[live]
             live, place = live[more], place[more]
-        return [r[::-1] for r in result]
+        word, place, now = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((place, word))
+        ids, ends = now[order].tolist(), np.cumsum(np.bincount(word, minlength=len(words))).tolist()
+        result = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        for w in np.unique(word[now == self.unknown]).tolist():  # characters without a piece become bytes
+            first, at = ends[w] - len(result[w]), []
+            for k, i in zip(result[w], place[order[first:ends[w]]].tolist()):
+                at += [k] if k != self.unknown else [self.bytes[b] for b in joined[i].encode()]
+            result[w] = at
+        return result
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of every text."""
@@ -173,10 +184,11 @@ class PieceCodec:
         if len(self.beside) > 5 * self.limit:
             self.beside.clear()
         split = [_WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in self.words})
+        new = list(set(chain.from_iterable(split)).difference(self.words))
         if new:
-            self.words.update(zip(new, self._segment(new), strict=True))
-        return [[i for w in words for i in self.words[w]] for words in split]
+            # tuples of numbers are not followed by the garbage collector, lists are
+            self.words.update(zip(new, map(tuple, self._segment(new)), strict=True))
+        return [list(chain.from_iterable(map(self.words.__getitem__, words))) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.said[i] for i in ids]).decode(errors="replace").removeprefix(" ")
@@ -196,7 +208,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(source) -> Iterator[dict]:
         pieces = codec(path)
         for batch in source:
-            for part in in_slices(batch, text_col, 1 << 20):
+            for part in in_slices(batch, text_col, SLICE):
                 texts = part.column(text_col).to_pylist()
                 ids = pieces.encode(texts)
                 yield {id_col: part.column(id_col), "ids": ids, "decoded": [pieces.decode(i) for i in ids], "text": [t or "" for t in texts]}
@@ -212,7 +224,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def run(source) -> Iterator[dict]:
         pieces = codec(path)
         for batch in source:
-            for part in in_slices(batch, text_col, 1 << 20):
+            for part in in_slices(batch, text_col, SLICE):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
                 ids = pieces.encode(texts)
                 back = [pieces.decode(i) for i in ids]
