@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from gradus.operators import split as splits
 from gradus.operators.quality import InvalidDataset
-from gradus.operators.ranks import running
+from gradus.operators.ranks import positions, running
 
 
 def test_running_places_and_sums(spark):
@@ -19,6 +19,16 @@ def test_running_places_and_sums(spark):
     assert {r.k: (r.place, r.before) for r in got} == expected
 
 
+def test_positions_equal_a_sort_inside_each_group(spark):
+    rows = [(g, (i * 7919) % 3000 - 1500, i) for g in "ab" for i in range(2500)] + [("c", 5, 1)]
+    got = positions(spark.createDataFrame(rows, "g string, b long, i long"), "g", "b", ["i"], "place", "total").collect()
+    expected = {}
+    for g in "abc":
+        own = sorted((b, i) for h, b, i in rows if h == g)
+        expected |= {(g, b, i): (place, len(own)) for place, (b, i) in enumerate(own)}
+    assert {(r.g, r.b, r.i): (r.place, r.total) for r in got} == expected
+
+
 def _assigned(df, split):
     folds = split.with_fold(df).collect()
     parts = {r.key: r.part for r in split.with_part(df).collect()}
