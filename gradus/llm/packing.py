@@ -42,55 +42,60 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Local search: move a document, or exchange one for one or two for one, from an emptier to a fuller underfull bin.
+    """Local search: move documents, or exchange one for one or two for one, from an emptier to a fuller underfull bin.
 
-    Each step raises the sum of squared fills, a whole number with an upper bound, so the search ends. The emptiest
-    bin gives first; a bin left empty is dropped. It stops at once where no bin can be saved: one fewer would not hold
-    the total.
+    The emptiest bin gives first. Of all its steps to all takers the one is taken that raises the sum of squared fills
+    most; a whole number with an upper bound, so the search ends. A bin left empty is dropped, one without a step is
+    set aside until others have changed. Where no bin can be saved the steps still gather what room there is in few
+    bins, so that bins of other shards can use it.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    spare = len(bins) - -(-sum(fill) // capacity)
-    givers = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (fill[k], k))
-    while spare and len(givers) > 1:
-        giver, changed = givers[0], False
-        for taker in reversed(givers[1:]):
-            while fill[giver] and fill[taker] < capacity and (step := _step(bins[giver], bins[taker], sizes, capacity - fill[taker])):
-                out, back = step
-                gain = sum(sizes[i] for i in out)
-                for i in out:
-                    bins[giver].remove(i)
-                    bins[taker].append(i)
-                if back is not None:
-                    bins[taker].remove(back)
-                    bins[giver].append(back)
-                    gain -= sizes[back]
+    size = np.asarray(sizes, np.int64)
+    home = np.full(len(size), -1, np.int64)
+    for k, items in enumerate(bins):
+        home[items] = k
+    fill = np.bincount(home[home >= 0], size[home >= 0], len(bins)).astype(np.int64)
+    changed = True
+    while changed:
+        changed, active = False, (fill > 0) & (fill < capacity)
+        while np.count_nonzero(active) > 1:
+            giver = int(np.where(active, fill, capacity + 1).argmin())
+            active[giver] = False
+            while fill[giver] and (step := _step(giver, active, size, home, fill, capacity)):
+                taker, out, back = step
+                home[out] = taker
+                home[back] = giver
+                gain = size[out].sum() - size[back].sum()
                 fill[giver] -= gain
                 fill[taker] += gain
+                active[taker] = fill[taker] < capacity
                 changed = True
-        if not fill[giver]:
-            spare -= 1
-        if not fill[giver] or not changed:
-            givers = givers[1:]
-        givers = sorted((k for k in givers if fill[k] < capacity), key=lambda k: (fill[k], k))
-    return [b for b in bins if b]
-
-
-def _step(giver: list[int], taker: list[int], sizes: list[int], room: int) -> tuple[list[int], int | None] | None:
-    """The exchange that fills the taker most. Documents of one size are alike, so each size is tried once."""
-    mine: dict[int, list[int]] = {}
-    for i in giver:
-        mine.setdefault(sizes[i], []).append(i)
-    theirs = {sizes[j]: j for j in taker}
-    keys = sorted(theirs)
-    offers = [([items[0]], size) for size, items in mine.items()]
-    moved = max((o for o in offers if o[1] <= room), key=lambda o: o[1], default=None)
-    best, most = ((moved[0], None), moved[1]) if moved else (None, 0)
-    offers += [([mine[a][0], mine[b][a == b]], a + b) for a in mine for b in mine if a < b or a == b and len(mine[a]) > 1]
-    for out, total in offers:
-        at = bisect_left(keys, total - room)  # the smallest document whose return leaves the taker within its room
-        if at < len(keys) and most < total - keys[at]:
-            best, most = (out, theirs[keys[at]]), total - keys[at]
-    return best
+    left: list[list[int]] = [[] for _ in bins]
+    for item, k in enumerate(home.tolist()):
+        if k >= 0:
+            left[k].append(item)
+    return [b for b in left if b]
+
+
+def _step(giver: int, takers: np.ndarray, size: np.ndarray, home: np.ndarray, fill: np.ndarray,
+          capacity: int) -> tuple[int, list[int], list[int]] | None:
+    """(taker, documents that go, documents that come back) of the step that raises the squared fills most."""
+    mine = np.flatnonzero(home == giver)
+    one, other = np.triu_indices(len(mine), 1)
+    alone = len(mine)
+    offers, first = np.unique(np.concatenate((size[mine], size[mine][one] + size[mine][other])), return_index=True)
+    theirs = np.flatnonzero((home >= 0) & takers[home])
+    bins = np.flatnonzero(takers)
+    taker = np.concatenate((bins, home[theirs]))  # a taker for each move, then one for each document that may come back
+    back = np.concatenate((np.zeros(len(bins), np.int64), size[theirs]))
+    fits = np.searchsorted(offers, capacity - fill[taker] + back, side="right") - 1
+    gain = np.where(fits >= 0, offers[fits] - back, 0)
+    raised = np.where(gain > 0, gain * (fill[taker] - fill[giver] + gain), 0)
+    best = int(raised.argmax()) if len(raised) else 0
+    if not len(raised) or raised[best] <= 0:
+        return None
+    at = int(first[fits[best]])
+    out = [mine[at]] if at < alone else [mine[one[at - alone]], mine[other[at - alone]]]
+    return int(taker[best]), [int(i) for i in out], [int(theirs[best - len(bins)])] if best >= len(bins) else []
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -127,55 +132,62 @@ def cut_documents(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: i
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     Ids are computed once, in a scan; from then on only a narrow row for each piece moves. Full pieces are sequences
-    of their own. The others are dealt by hash into shards of about ``SHARD_PIECES``, each packed by best fit and
-    local search in one task; what lies in bins that stayed under seven eighths is dealt again, into fewer shards,
-    until one shard holds the rest. Shards have the same size whatever the input, so no task grows with it.
+    of their own. The others are dealt by hash into shards of about ``shard_pieces``, each packed by best fit and
+    local search in one task. Every bin that is not full is then dealt again, whole, among bins of other shards, and
+    the local search goes on from there, round after round, until a round saves no bin, or none could be saved: one
+    fewer would not hold the tokens that lie in underfull bins. Shards have the same size whatever the input, so no
+    task grows with it. A sequence's id is the smallest serial of its pieces.
 
     A null text counts as empty: one piece, the end id alone. Equal ids and repeated rows are pieces of their own. An
     empty table gives no row. Other columns are not read.
     """
     pieces = stage(cut_documents(df, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     whole = pieces.filter(F.col("length") == capacity).select(
-        "*", (-1 - F.col("serial")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    loose = pieces.filter(F.col("length") < capacity)
-    done, count, round_no = [], loose.count(), 0
-    while count:
-        shards = max(1, round(count / SHARD_PIECES))
-        packed = stage(_pack_shards(loose.select("serial", "length"), shards, capacity, round_no), "packed")
-        final = packed if shards == 1 else packed.filter(F.col("fill") * 8 >= capacity * 7)
-        done.append(final.select("serial", "sequence_id", "offset"))
-        if shards == 1:
-            break
-        loose = packed.filter(F.col("fill") * 8 < capacity * 7)
-        left = loose.count()
-        count, round_no = (left if left < count else 0), round_no + 1
-        if not count and left:  # nothing came together: keep it as it lies
-            done.append(loose.select("serial", "sequence_id", "offset"))
+        "*", F.col("serial").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    packed = pack_pieces(pieces.filter(F.col("length") < capacity).select("serial", "length"), capacity, shard_pieces)
     columns = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     result = whole.select(*columns)
-    if done:
-        result = result.unionByName(pieces.join(reduce(DataFrame.unionByName, done), "serial").select(*columns))
+    if packed:
+        placed = reduce(DataFrame.unionByName, packed).select("serial", "sequence_id", "offset")
+        result = result.unionByName(pieces.join(placed, "serial").select(*columns))
     return result
 
 
-def _pack_shards(loose: DataFrame, shards: int, capacity: int, round_no: int) -> DataFrame:
-    dealt = loose.withColumn("shard", F.pmod(F.xxhash64(F.lit(round_no), "serial"), F.lit(shards)))
+def pack_pieces(loose: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> list[DataFrame]:
+    """Stored frames that together place each row (serial, length) once: serial, length, sequence_id, offset, fill."""
+    count, before, start, done = loose.count(), None, loose, []
+    while count:
+        shards = max(1, round(count / shard_pieces))
+        packed = stage(_pack_shards(start, shards, capacity, len(done)), "packed")
+        first, underfull = F.col("sequence_id") == F.col("serial"), F.col("fill") < capacity  # one row of each bin
+        bins, count, left, tokens = packed.agg(
+            F.count_if(first), F.count_if(underfull), F.count_if(first & underfull), F.sum(F.when(underfull, F.col("length")))).first()
+        if shards == 1 or bins == before or left <= -(-(tokens or 0) // capacity):
+            return [*done, packed]
+        done.append(packed.filter(~underfull))
+        start, before = packed.filter(underfull).select("serial", "length", "sequence_id"), left
+    return done
+
+
+def _pack_shards(pieces: DataFrame, shards: int, capacity: int, round_no: int) -> DataFrame:
+    """One round: loose pieces by best fit, pieces that lie in bins as they lie; then the local search."""
+    unit = "sequence_id" if "sequence_id" in pieces.columns else "serial"
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.lit(round_no), unit), F.lit(shards)))
 
     def one(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["length", "serial"], ascending=False, ignore_index=True)
-        sizes = pdf["length"].tolist()
+        sizes, serial = pdf["length"].tolist(), pdf["serial"].to_numpy()
+        bins = best_fit(sizes, capacity) if unit == "serial" else [list(b) for b in pdf.groupby(unit).indices.values()]
         number, offset, fill = (np.zeros(len(sizes), np.int64) for _ in range(3))
-        for k, items in enumerate(pack(sizes, capacity)):
+        for items in improve(bins, sizes, capacity):
             ends = np.cumsum([sizes[i] for i in items])
-            number[items], offset[items], fill[items] = k, ends - [sizes[i] for i in items], ends[-1]
-        first = (round_no << 56) + (int(pdf["shard"].iat[0]) << 20)
-        return pd.DataFrame({"serial": pdf["serial"], "length": pdf["length"], "sequence_id": first + number,
-                             "offset": offset, "fill": fill})
+            number[items], offset[items], fill[items] = serial[items].min(), ends - [sizes[i] for i in items], ends[-1]
+        return pd.DataFrame({"serial": serial, "length": pdf["length"], "sequence_id": number, "offset": offset, "fill": fill})
 
     return dealt.groupBy("shard").applyInPandas(one, "serial long, length long, sequence_id long, offset long, fill long")

@@ -217,6 +217,22 @@ def test_local_search_saves_a_bin():
         assert sorted(i for b in bins for i in b) == list(range(200)) and max(sum(sizes[i] for i in b) for b in bins) <= 60
 
 
+def test_search_goes_on_across_shards(spark):
+    """Small shards end near the bound and below what best fit alone needs in them; every piece is placed once."""
+    sizes = np.random.default_rng(3).integers(1, 2048, 3000) ** 2 // 2048 + 1
+    loose = spark.createDataFrame(list(enumerate(sizes.tolist())), "serial long, length long")
+    bound = math.ceil(sizes.sum() / 2048)
+    for pieces, excess in ((64, 0.01), (256, 0.005), (1024, 0.002)):
+        rows = [r for part in packing.pack_pieces(loose, 2048, pieces) for r in part.collect()]
+        assert Counter((r.serial, r.length) for r in rows) == Counter(enumerate(sizes.tolist()))
+        ends = {}
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == ends.get(r.sequence_id, 0)
+            ends[r.sequence_id] = r.offset + r.length
+        alone = sum(len(packing.best_fit(part.tolist(), 2048)) for part in np.array_split(sizes, round(3000 / pieces)))
+        assert max(ends.values()) <= 2048 and len(ends) <= bound * (1 + excess) + 1 and len(ends) < alone
+
+
 def test_token_files_give_every_document_back(spark, library, odd_documents):
     manifest = token_files.write_tokens(odd_documents, BYTE_BPE, length=64)
     rows = token_files.read_tokens(spark, manifest).orderBy("start").collect()
