@@ -1,10 +1,11 @@
 """Token ids in Arrow files of equal-length sequences, readable in place.
 
 Every task writes the documents of one range of ids, in ascending order, as a run of token ids cut into sequences of
-the same length. A file holds record batches with two fixed-size-list columns, ``input_ids`` and ``mask`` (false on
-the padding of the file's last sequence), so sequence ``i`` of a mapped file is a view, found by division. Beside it
-lies a small index of the documents. Only files named in the manifest, which is written by Spark's own committer,
-count: what a lost or repeated task leaves behind is never read.
+the same length. A file holds record batches with two fixed-size-list columns, ``input_ids`` and ``mask`` (a byte each;
+0 on the padding of the file's last sequence). All batches but the last hold the same number of sequences, which the
+file's metadata tells, so sequence ``i`` is found by division, one batch is read for it, and in a mapped file its ids and
+mask are views. Beside it lies a small index of the documents. Only files named in the manifest, which is written by
+Spark's own committer, count: what a lost or repeated task leaves behind is never read.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ def open_folder(uri: str):
 
 
 class SequenceWriter:
-    """Cuts appended ids into sequences and writes them batch by batch; holds one batch at most."""
+    """Cuts appended ids into sequences and writes batches of ``_ROWS`` of them; holds one batch and a document at most."""
 
     def __init__(self, sink, length: int, kind: pa.DataType):
         self.length, self.kind = length, kind
-        self.schema = pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))],
+                                metadata={"sequences_per_batch": str(_ROWS)})
         self.out = pa.ipc.new_file(sink, self.schema)
         self.held: list[np.ndarray] = []
         self.size = self.written = 0
@@ -44,13 +46,14 @@ class SequenceWriter:
         self.held.append(ids.astype(self.kind.to_pandas_dtype()))
         self.size += len(ids)
         if self.size >= self.length * _ROWS:
-            self._flush(self.size // self.length * self.length)
+            block = self.length * _ROWS
+            self._flush(self.size // block * block)
 
     def _flush(self, count: int, padding: int = 0) -> None:
         ids = np.concatenate(self.held)
         rest, ids = ids[count:], ids[:count]
-        mask = np.ones(count + padding, bool)
-        mask[count:] = False
+        mask = np.ones(count + padding, np.uint8)
+        mask[count:] = 0
         ids = np.concatenate((ids, np.zeros(padding, ids.dtype)))
         whole = pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length),
                                  pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema)
@@ -74,6 +77,7 @@ class SequenceFile:
         self.source = pa.memory_map(path) if local else folder.open_input_file(path)
         self.reader = pa.ipc.open_file(self.source)
         self.length = self.reader.schema.field("input_ids").type.list_size
+        self.rows = int(self.reader.schema.metadata[b"sequences_per_batch"])
         self._batch = (-1, None)
 
     def _at(self, k: int) -> pa.RecordBatch:
@@ -82,29 +86,19 @@ class SequenceFile:
         return self._batch[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i`` (all batches but the last of a write hold the same number of sequences)."""
-        rows = self._sizes()
-        k = int(np.searchsorted(rows, i, side="right")) - 1
-        batch, at = self._at(k), (i - int(rows[k])) * self.length
-        ids = batch.column(0).flatten()[at:at + self.length].to_numpy(zero_copy_only=True)
-        return ids, batch.column(1).flatten()[at:at + self.length].to_numpy(zero_copy_only=False)
-
-    def _sizes(self) -> np.ndarray:
-        if not hasattr(self, "_first"):
-            counts = [self.reader.get_batch(k).num_rows for k in range(self.reader.num_record_batches)]
-            self._first = np.cumsum([0, *counts])
-        return self._first
+        """Ids and mask of sequence ``i``; one batch is read."""
+        batch, at = self._at(i // self.rows), i % self.rows * self.length
+        ids, mask = (batch.column(c).flatten()[at:at + self.length].to_numpy(zero_copy_only=True) for c in (0, 1))
+        return ids, mask
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
-        """Ids ``start`` to ``stop`` of the file's run of tokens."""
-        rows, parts = self._sizes(), []
-        k = int(np.searchsorted(rows, start // self.length, side="right")) - 1
+        """Ids ``start`` to ``stop`` of the file's run of tokens; only the batches that hold them are read."""
+        block, parts = self.rows * self.length, []
         while start < stop:
-            base = int(rows[k]) * self.length
+            k, at = divmod(start, block)
             flat = self._at(k).column(0).flatten()
-            parts.append(flat[start - base:min(stop - base, len(flat))].to_numpy(zero_copy_only=True))
+            parts.append(flat[at:min(at + stop - start, len(flat))].to_numpy(zero_copy_only=True))
             start += len(parts[-1])
-            k += 1
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
     def close(self) -> None:
@@ -115,12 +109,13 @@ def write_tokens(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int
                  text_col: str = "text") -> DataFrame:
     """Encode all rows, write the files below the shared folder and return the manifest: part, file, tokens, documents.
 
-    Rows are in ascending order of ``id_col`` (nulls first; equal ids by text), which takes one range shuffle of the
-    two columns. A null text counts as empty and is the end id alone. An empty table writes no file. Other columns are
+    Rows are in ascending order of ``id_col`` (nulls first; equal ids by a hash of the text, so that rows that share an
+    id spread over ranges too), which takes one range shuffle of the two columns. A null text counts as empty and is the end id alone. An empty table writes no file. Other columns are
     not read.
     """
     target = new_path(df.sparkSession, "tokens")
-    ordered = df.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
+    order = [F.col(id_col), F.xxhash64(text_col)]
+    ordered = df.select(id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order, text_col)
 
     def run(source):
         from pyspark import TaskContext
