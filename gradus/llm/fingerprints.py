@@ -128,14 +128,16 @@ def _row(ids, pairs: list[tuple[str, str]], own: list[str], following: list[str]
 def compare_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's.
 
-    Documents follow one another in ascending id (null ids first; equal ids by text), the first after the last. One
+    Documents follow one another in ascending id (null ids first; equal ids by a hash of the text, so
+    that rows that share an id spread over ranges too), the first after the last. One
     range shuffle of the two columns; a task streams its range and knows each document's follower. Only the first and
     last document of each range meet their neighbours in a second, small step, a row for each range. A null text counts
     as empty. Repeated rows follow one another as they are. An empty table gives no row. Other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
     fields = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
-    ordered = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    order = ["id", F.xxhash64("text")]
+    ordered = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def run(source) -> Iterator[dict]:
         import pyarrow as pa
