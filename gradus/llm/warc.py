@@ -38,16 +38,27 @@ def sort_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + port + ")" + (found[3] or "/")
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
-    """One compressed record; a revisit carries the headers of the response, not its payload."""
+def _target(url: str | None) -> str:
+    return re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url or "")
+
+
+def record(page_id, url: str | None, payload: bytes, refers_to, refers_url: str | None = None) -> bytes:
+    """One compressed record; a revisit carries the headers of the response, not its payload.
+
+    Record ids are unique, also where pages share an id; a revisit therefore names its response by target URI and date.
+    ``X-Page-ID`` and ``X-Refers-To-Page`` hold the pages' own ids as JSON, so ids keep their type. All records are dated
+    1970, as pages have no date.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
     head = {
-        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": f"<urn:page:{page_id}>", "WARC-Date": _DATE,
-        "WARC-Target-URI": re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url or ""),
+        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": _DATE,
+        "X-Page-ID": json.dumps(page_id),
+        "WARC-Target-URI": _target(url),
         "WARC-Payload-Digest": f"sha256:{hashlib.sha256(payload).hexdigest()}",
-        **({"WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Profile": REVISIT} if revisit else {}),
+        **({"WARC-Refers-To-Target-URI": _target(refers_url), "WARC-Refers-To-Date": _DATE, "X-Refers-To-Page": json.dumps(refers_to),
+            "WARC-Profile": REVISIT} if revisit else {}),
         "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block)),
     }
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n"
@@ -64,18 +75,21 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:]), payload
 
 
-def find_revisits(pages: DataFrame, least_bytes: int = 100, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """id, digest and refers_to of every page whose payload of at least ``least_bytes`` an earlier page has; stored.
+def find_revisits(pages: DataFrame, least_bytes: int = 100, id_col: str = "page_id", payload_col: str = "html",
+                  url_col: str = "url") -> DataFrame:
+    """id, digest, refers_to and refers_url of every page whose payload of at least ``least_bytes`` an earlier page has; stored.
 
     Payloads meet as digests only. Counting and taking the smallest id are combined before the shuffle, so a payload
     that a third of all pages share costs no more than another.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("_id"), F.sha2(payload, 256).alias("_digest"), F.octet_length(payload).alias("_size")).filter(F.col("_size") >= least_bytes)
-    firsts = stage(rows.groupBy("_digest").agg(F.min("_id").alias("refers_to"), F.count("*").alias("_n"))
-                   .filter("_n > 1 and refers_to is not null").drop("_n"), "first-captures")
-    later = rows.join(firsts, "_digest").filter("_id is null or _id > refers_to")
-    return stage(later.select("_id", "_digest", "refers_to").distinct(), "revisits")
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.sha2(payload, 256).alias("_digest"),
+                        F.octet_length(payload).alias("_size")).filter(F.col("_size") >= least_bytes)
+    least = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_url"))).alias("_least")
+    firsts = stage(rows.groupBy("_digest").agg(least, F.count("*").alias("_n")).filter("_n > 1 and _least is not null").select(
+        "_digest", F.col("_least._id").alias("refers_to"), F.col("_least._url").alias("refers_url")), "first-captures")
+    later = rows.select("_id", "_digest").join(firsts, "_digest").filter("_id is null or _id > refers_to")
+    return stage(later.select("_id", "_digest", "refers_to", "refers_url").distinct(), "revisits")
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -85,10 +99,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     size limit. Files of lost or repeated tasks are in no capture. Null payloads are empty, null URLs have an empty key.
     """
     target = new_path(pages.sparkSession, "warc")
-    revisits = find_revisits(pages, id_col=id_col, payload_col=payload_col)
+    revisits = find_revisits(pages, id_col=id_col, payload_col=payload_col, url_col=url_col)
     digest = F.sha2(F.coalesce(F.col(payload_col), F.lit("")), 256)
     joined = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), digest.alias("digest")).join(
-        revisits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("id", "url", "payload", "refers_to")
+        revisits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("id", "url", "payload", "refers_to", "refers_url")
 
     def run(source) -> Iterator[dict]:
         folder, root = open_folder(target)
@@ -98,10 +112,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 if out is None:
                     folder.create_dir(root, recursive=True)
                     out = folder.open_output_stream(f"{root}/{name}", compression=None)
-                columns = (part.column(c).to_pylist() for c in ("id", "url", "payload", "refers_to"))
+                columns = (part.column(c).to_pylist() for c in ("id", "url", "payload", "refers_to", "refers_url"))
                 keys, offsets, sizes = [], [], []
-                for page_id, url, payload, refers_to in zip(*columns, strict=True):
-                    data = record(page_id, url, (payload or "").encode(), refers_to)
+                for page_id, url, payload, refers_to, refers_url in zip(*columns, strict=True):
+                    data = record(page_id, url, (payload or "").encode(), refers_to, refers_url)
                     out.write(data)
                     keys.append(sort_key(url)), offsets.append(offset), sizes.append(len(data))
                     offset += len(data)
@@ -110,12 +124,12 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             out.close()
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return stage(over_batches(joined, ["id", "url", "payload", "refers_to"], run, f"key string, id {kind}, file string, offset long, size long"), "captures")
+    return stage(over_batches(joined, ["id", "url", "payload", "refers_to", "refers_url"], run, f"key string, id {kind}, file string, offset long, size long"), "captures")
 
 
 def _order(key: str, page_id) -> tuple:
     """Order of captures as Spark sorts them: keys by bytes, ids ascending with null first."""
-    return key.encode(), page_id is not None, page_id or 0
+    return key.encode(), page_id is not None, page_id.encode() if isinstance(page_id, str) else page_id or 0
 
 
 def write_index(captures: DataFrame) -> DataFrame:
@@ -229,7 +243,7 @@ def look_up(spark: SparkSession, index: DataFrame, wanted: DataFrame) -> DataFra
 def _told(data: bytes) -> tuple:
     fields, http, payload = parse(data)
     if fields["WARC-Type"] == "revisit":
-        return int(http["Content-Length"]), fields["WARC-Payload-Digest"].partition(":")[2], "revisit", int(fields["WARC-Refers-To"][len("<urn:page:"):-1])
+        return int(http["Content-Length"]), fields["WARC-Payload-Digest"].partition(":")[2], "revisit", json.loads(fields["X-Refers-To-Page"])
     return len(payload), hashlib.sha256(payload).hexdigest(), "response", None
 
 
@@ -238,7 +252,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Of pages with equal payloads of at least 100 bytes, those with the smallest id are responses and the others revisit
     it (a page without id revisits; where no such page has an id, all are responses). Repeated rows have a record each.
-    An empty table gives no row. Other columns are not read.
+    Ids are whole numbers or texts. An empty table gives no row. Other columns are not read.
     """
     captures = write_archives(pages, id_col, url_col, payload_col)
     index = write_index(captures)

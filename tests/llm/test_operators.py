@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from gradus.llm import (fingerprints, jaccard_join, license_scan, line_dedup, packing, piece_codec, pretokens,
                         quality_rules, shingles, token_counts, token_files, warc)
 from gradus.llm.queries import BYTE_BPE, PIECE_BPE
@@ -247,6 +249,39 @@ def test_token_files_give_every_document_back(spark, library, odd_documents):
     assert len(ids) == 64 and mask.all() and not ids.flags.owndata
 
 
+def test_sequences_by_division(tmp_path):
+    """Batches hold 256 sequences whatever the documents' sizes; ids and masks are views of the mapped file."""
+    rng, path = np.random.default_rng(4), str(tmp_path / "x.arrow")
+    ids = rng.integers(0, 50_000, 20_003).astype(np.uint32)
+    folder, root = token_files.open_folder(f"file://{path}")
+    with folder.open_output_stream(root) as sink:
+        out = token_files.SequenceWriter(sink, 16, token_files.pa.uint16())
+        for piece in np.split(ids, np.sort(rng.integers(0, len(ids), 40))):
+            out.append(piece)
+        out.close()
+    file = token_files.SequenceFile(folder, root)
+    batches = [file.reader.get_batch(k).num_rows for k in range(file.reader.num_record_batches)]
+    assert set(batches[:-1]) == {256} and sum(batches) == math.ceil(len(ids) / 16)
+    for i in (0, 255, 256, 777, sum(batches) - 1):
+        got, mask = file.sequence(i)
+        wanted = ids[16 * i:16 * i + 16]
+        assert not got.flags.owndata and not mask.flags.owndata
+        assert got[:len(wanted)].tolist() == wanted.tolist() and mask.tolist() == [1] * len(wanted) + [0] * (16 - len(wanted))
+    assert np.array_equal(file.tokens(4090, 12_345), ids[4090:12_345])
+
+
+def test_rows_that_share_an_id_spread_over_files(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).repartition(8)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")  # so little text would end in one partition otherwise
+    try:
+        manifest = token_files.write_tokens(df, BYTE_BPE)
+    finally:
+        spark.conf.set(coalesce, before)
+    assert manifest.count() > 1 and manifest.agg(F.sum("documents")).first()[0] == 20_000
+
+
 @pytest.mark.parametrize("kind", ["documents", "odd_documents"])
 def test_token_counts(request, library, kind):
     df = request.getfixturevalue(kind)
@@ -399,6 +434,21 @@ def test_archives_of_odd_pages(spark):
     assert warc.sort_key(rows[0][1]) == "example,b:8080)/a?q=1"
 
 
+def test_archives_with_text_ids_and_unique_records(spark):
+    big = "payload " * 30
+    rows = [("p10", "http://a.example/1", big), ("p10", "http://a.example/1", big), ("p2", "http://a.example/2", big), ("ä\n", "http://a.example/3", big)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    captures = warc.write_archives(df)
+    heads = []
+    for r in captures.collect():
+        folder, path = token_files.open_folder(r.file)
+        heads.append(warc.parse(folder.open_input_file(path).read_at(r.size, r.offset))[0])
+    assert len({h["WARC-Record-ID"] for h in heads}) == 4
+    assert {h.get("WARC-Refers-To-Target-URI") for h in heads} == {None, "http://a.example/1"}
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.archive_pages(df).collect())
+    assert got == Counter({("p10", "response", None): 2, ("p2", "revisit", "p10"): 1, ("ä\n", "revisit", "p10"): 1})
+
+
 def test_index_finds_keys_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
     rows = [(i, f"http://h{i % 4}.example/p", f"page {i}") for i in range(40)]
