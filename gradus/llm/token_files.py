@@ -1,8 +1,8 @@
 """Token ids in Arrow files of equal-length sequences, readable in place.
 
 Every task writes the documents of one range of ids, in ascending order, as a run of token ids cut into sequences of
-the same length. A file holds record batches with two fixed-size-list columns, ``input_ids`` and ``mask`` (a byte each;
-0 on the padding of the file's last sequence). All batches but the last hold the same number of sequences, which the
+the same length. A file holds record batches with two fixed-size-list columns, ``input_ids`` and ``mask`` (a bit each; 0 on
+the padding of the file's last sequence). All batches but the last hold the same number of sequences, which the
 file's metadata tells, so sequence ``i`` is found by division, one batch is read for it, and in a mapped file its ids and
 mask are views. Beside it lies a small index of the documents. Only files named in the manifest, which is written by
 Spark's own committer, count: what a lost or repeated task leaves behind is never read.
@@ -35,8 +35,10 @@ class SequenceWriter:
     """Cuts appended ids into sequences and writes batches of ``_ROWS`` of them; holds one batch and a document at most."""
 
     def __init__(self, sink, length: int, kind: pa.DataType):
+        if length % 8:
+            raise ValueError("the length of sequences must be a multiple of 8, so that masks begin at whole bytes")
         self.length, self.kind = length, kind
-        self.schema = pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))],
+        self.schema = pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))],
                                 metadata={"sequences_per_batch": str(_ROWS)})
         self.out = pa.ipc.new_file(sink, self.schema)
         self.held: list[np.ndarray] = []
@@ -52,8 +54,8 @@ class SequenceWriter:
     def _flush(self, count: int, padding: int = 0) -> None:
         ids = np.concatenate(self.held)
         rest, ids = ids[count:], ids[:count]
-        mask = np.ones(count + padding, np.uint8)
-        mask[count:] = 0
+        mask = np.ones(count + padding, bool)
+        mask[count:] = False
         ids = np.concatenate((ids, np.zeros(padding, ids.dtype)))
         whole = pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length),
                                  pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema)
@@ -86,10 +88,15 @@ class SequenceFile:
         return self._batch[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``; one batch is read."""
+        """Ids of sequence ``i`` and its mask, eight tokens a byte, lowest bit first; one batch is read.
+
+        ``np.unpackbits(mask, bitorder="little")`` gives a number for each token.
+        """
         batch, at = self._at(i // self.rows), i % self.rows * self.length
-        ids, mask = (batch.column(c).flatten()[at:at + self.length].to_numpy(zero_copy_only=True) for c in (0, 1))
-        return ids, mask
+        ids, bits = batch.column(0).flatten(), batch.column(1).flatten()
+        first = (bits.offset + at) // 8
+        mask = np.frombuffer(bits.buffers()[1], np.uint8)[first:first + self.length // 8]
+        return ids[at:at + self.length].to_numpy(zero_copy_only=True), mask
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the file's run of tokens; only the batches that hold them are read."""
