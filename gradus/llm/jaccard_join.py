@@ -13,10 +13,14 @@ Notation: n is a set's size. Two sets at a similarity of at least 3/4 share at l
    of the one before; only equal and adjacent blocks can hold linked sets, all others are skipped unread. Two nodes
    are compared only if what comes after the probe's positions in both is still enough for a link.
 5. Answers from similar sets. Each list first compares its members with one leader only, the one with the fewest
-   shingles of its own. Members that come to lie in
-   one component need no answer among each other. For the rest the distance 1 - similarity is a metric: members whose
-   distances to the leader differ by more than 1/4 cannot link, so only the others are compared.
-6. Verification is exact, on whole sets. Links merge into components.
+   shingles of its own. The distance 1 - similarity is a metric: members whose distances to the leader differ by more
+   than 1/4 cannot link, so only the others are compared.
+6. Homes. A node linked with leaders has the leader of its longest such list as home. A member that lacks r of the
+   home's L shingles and has e others costs 4r + 3e; two members whose costs add up to at most L are linked, whatever
+   they are. These answers are counted from the costs alone. Only members whose costs add up to more are compared, in
+   blocks by cost; pairs of blocks whose highest costs add up to at most L are skipped.
+7. Verification is exact, on whole sets. Links merge into components. (Where only components are asked for, members
+   that lie in one component are not compared at all.)
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.staging import stage
 from .arrow import in_slices, over_batches
@@ -39,6 +44,9 @@ BATCH_NODES = 1 << 14
 BROADCAST_IDS = 2_000_000  # 8 bytes each: at most 16 MB of ids are broadcast
 PARTNERS = 256
 SIZE_STEP = 1.4
+HOME_BLOCK = 512  # members of a home compared at once, fewer of large sets
+HOME_TOKENS = 1 << 21
+COST_LEVELS = 16
 
 
 def _node(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -215,7 +223,7 @@ def _probes(blocks: DataFrame, whole: bool) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """a, b and the shingles they share, of every pair; stored.
+    """a, b, the sizes and the shingles they share, of every pair, and the group of a's partners it was in; stored.
 
     A leader's partners are dealt over as many groups of about ``PARTNERS`` as it needs; each group gets the leader's
     set once and streams the partners' sets past it.
@@ -231,7 +239,7 @@ def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
         own = np.empty(0, np.uint64)
         for batch in source:
             rows = []
-            for a, b, tokens in zip(*(batch.column(c) for c in ("a", "b", "tokens")), strict=True):
+            for a, block, b, tokens in zip(*(batch.column(c) for c in ("a", "block", "b", "tokens")), strict=True):
                 values = np.frombuffer(tokens.as_buffer(), np.uint64)
                 if not b.is_valid:
                     own = values
@@ -239,16 +247,20 @@ def _verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
                 less, more = (own, values) if len(own) < len(values) else (values, own)
                 at = np.searchsorted(more, less)
                 both = int((more[np.minimum(at, len(more) - 1)] == less).sum())
-                rows.append((a.as_py(), b.as_py(), len(own), len(values), both))
+                rows.append((a.as_py(), block.as_py(), b.as_py(), len(own), len(values), both))
             own = own.copy()  # the buffer of the batch goes with it
             if rows:
-                yield dict(zip(("a", "b", "n_a", "n_b", "both"), map(list, zip(*rows)), strict=True))
+                yield dict(zip(("a", "block", "b", "n_a", "n_b", "both"), map(list, zip(*rows)), strict=True))
 
-    return stage(over_batches(dealt, ["a", "b", "tokens"], run, "a long, b long, n_a long, n_b long, both long"), "verified")
+    return stage(over_batches(dealt, ["a", "block", "b", "tokens"], run, "a long, block long, b long, n_a long, n_b long, both long"), "verified")
+
+
+def _linked(verified: DataFrame) -> DataFrame:
+    return verified.filter("100 * both >= 75 * (n_a + n_b - both)")
 
 
 def _links(verified: DataFrame) -> DataFrame:
-    return verified.filter("100 * both >= 75 * (n_a + n_b - both)").select("a", "b")
+    return _linked(verified).select("a", "b")
 
 
 def _documents(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -284,8 +296,8 @@ def _led_lists(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> tu
     probes = _probes(_blocks(texts, "text", _buckets(near, 1.0), whole=True), whole=True)
     lists = probes.select("s1", "n", "single", F.posexplode("tokens").alias("at", "token")).withColumn("at", F.col("single") + F.col("at"))
     # the member with the fewest shingles of its own leads: an original rather than one of its edited copies
-    led = lists.groupBy("token").agg(F.min(F.struct("single", "s1")).alias("leader"), F.min("n").alias("least_n"), F.count("*").alias("_n")).filter("_n > 1").select("token", F.col("leader.s1").alias("leader"), "least_n")
-    lists = stage(lists.drop("single").join(led, "token"), "lists")
+    led = lists.groupBy("token").agg(F.min(F.struct("single", "s1")).alias("leader"), F.min("n").alias("least_n"), F.count("*").alias("_n")).filter("_n > 1").select("token", F.col("leader.s1").alias("leader"), "least_n", "_n")
+    lists = stage(lists.drop("single").join(led, "token").withColumnRenamed("_n", "length"), "lists")
     first = stage(lists.filter("s1 <> leader").select(F.col("leader").alias("a"), F.col("s1").alias("b")).distinct(), "pairs")
     arrays = _whole_sets(_documents(df, keys.join(lists.select("s1").distinct(), "s1"), id_col, text_col))
     return lists, first, _verify(first, arrays), arrays
@@ -316,28 +328,144 @@ def find_links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> Da
     return links.unionByName(_links(_verify(rest, arrays)))
 
 
-def _all_links(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every link (a < b) between nodes; stored.
+def _homes(lists: DataFrame, verified: DataFrame) -> DataFrame:
+    """s1, n, home, the home's size ``leads`` and the cost from it, of every listed node; stored.
+
+    A node without a linked leader is its own home. A leader may have another home than the nodes that it leads.
+    """
+    told = _linked(verified).select(F.col("a").alias("leader"), F.col("b").alias("s1"), F.col("n_a").alias("leads"),
+                                    (4 * (F.col("n_a") - F.col("both")) + 3 * (F.col("n_b") - F.col("both"))).alias("cost"))
+    led = lists.groupBy("leader", "s1").agg(F.max("length").alias("length"), F.first("n").alias("n")).join(told, ["leader", "s1"], "left")
+    itself = F.col("leader") == F.col("s1")
+    fits = F.when(itself | F.col("leads").isNotNull(), F.struct(
+        "length", "leader", F.when(itself, F.col("n")).otherwise(F.col("leads")).alias("leads"), F.when(itself, 0).otherwise(F.col("cost")).alias("cost")))
+    best = led.groupBy("s1").agg(F.first("n").alias("n"), F.max(fits).alias("best"))
+    return stage(best.select("s1", "n", F.coalesce("best.leader", "s1").alias("home"), F.coalesce("best.leads", "n").alias("leads"),
+                             F.coalesce("best.cost", F.lit(0)).cast("long").alias("cost")), "homes")
+
+
+def _overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many values each array of ``xs`` shares with each of ``ys``; a few thousand values at a time."""
+    both = np.intersect1d(np.unique(np.concatenate(xs)), np.unique(np.concatenate(ys)), assume_unique=True)
+    total = np.zeros((len(xs), len(ys)), np.int64)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        tokens = np.concatenate(sets)
+        at = np.searchsorted(both, tokens)
+        hit = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == tokens)
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]
+
+    def matrix(rows: int, owner: np.ndarray, at: np.ndarray, first: int) -> np.ndarray:
+        here = (at >= first) & (at < first + 4096)
+        full = np.zeros((rows, 4096), np.float32)
+        full[owner[here], at[here] - first] = 1
+        return full
+
+    if len(both):
+        left, right = places(xs), places(ys)
+        for first in range(0, len(both), 4096):  # sums of at most 4096 ones are exact
+            total += (matrix(len(xs), *left, first) @ matrix(len(ys), *right, first).T).astype(np.int64)
+    return total
+
+
+def _compare_blocks(dealt: DataFrame) -> DataFrame:
+    """s1 and how many documents of a facing block it links with, of those pairs that the costs leave open."""
+    columns = ["home", "low", "high", "upper", "s1", "cost", "leads", "copies", "tokens"]
+
+    def answer(low: int, high: int, held: list) -> dict | None:
+        x = [r for r in held if not r[0]]
+        y = x if low == high else [r for r in held if r[0]]
+        if not x or not y:
+            return None
+        sets_x, sets_y = ([np.frombuffer(r[5], np.uint64) for r in rows] for rows in (x, y))
+        both = _overlaps(sets_x, sets_y)
+        (n_x, cost_x, copies_x), (n_y, cost_y, copies_y) = (
+            (np.array([len(s) for s in sets]), np.array([r[2] for r in rows]), np.array([r[4] for r in rows])) for rows, sets in ((x, sets_x), (y, sets_y)))
+        linked = (cost_x[:, None] + cost_y > x[0][3]) & (100 * both >= 75 * (n_x[:, None] + n_y - both))
+        if low == high:
+            np.fill_diagonal(linked, False)
+            return {"s1": [r[1] for r in x], "others": linked @ copies_x}
+        return {"s1": [r[1] for r in x + y], "others": np.concatenate([linked @ copies_y, copies_x @ linked])}
+
+    def run(source) -> Iterator[dict]:
+        group, held = None, []
+        for batch in source:
+            for home, low, high, *rest in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if (home, low, high) != group:
+                    told = answer(*group[1:], held) if held else None
+                    if told:
+                        yield told
+                    group, held = (home, low, high), []
+                held.append(rest)
+        told = answer(*group[1:], held) if held else None
+        if told:
+            yield told
+
+    sorted_groups = dealt.repartition("home", "low", "high").sortWithinPartitions("home", "low", "high")
+    return over_batches(sorted_groups, columns, run, "s1 long, others long")
+
+
+def _inside_homes(homes: DataFrame, copies: DataFrame, arrays: DataFrame) -> DataFrame:
+    """s1 and ``others``, numbers that add up to the documents of linked other sets of the same home.
+
+    A home's costs are at most its size, so tables by home and cost stay narrow however many members there are.
+    """
+    members = homes.join(copies, "s1")
+    whole = Window.partitionBy("home")
+    fit = F.greatest(F.lit(8), F.least(F.lit(HOME_BLOCK), F.floor(HOME_TOKENS / F.col("leads"))))
+    level = F.when(F.col("size") <= fit, 0).otherwise(F.floor(COST_LEVELS * F.col("cost") / F.col("leads"))).cast("long")
+    costs = members.groupBy("home", "leads", "cost").agg(F.sum("copies").alias("weight"), F.count("*").alias("m")).withColumn(
+        "size", F.sum("m").over(whole)).filter("size > 1").withColumn("level", level)
+    costs = stage(costs, "costs")
+    events = costs.select("home", F.col("cost").alias("at"), F.lit(0).alias("asks"), "weight", "cost").unionByName(
+        costs.select("home", (F.col("leads") - F.col("cost")).alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("weight"), "cost"))
+    upto = F.sum("weight").over(whole.orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sure = events.withColumn("sure", upto).filter("asks = 1").select("home", "cost", "sure")
+    shelf = F.struct("level", F.ceil(F.col("m") / fit).alias("parts"), "top")
+    shelves = costs.groupBy("home", "leads", "level").agg(F.sum("m").alias("m"), F.max("cost").alias("top")).groupBy("home").agg(
+        F.collect_list(shelf).alias("shelves"))
+    plan = stage(costs.select("home", "cost", "level").join(sure, ["home", "cost"]).join(shelves, "home"), "plan")
+
+    placed = members.join(plan, ["home", "cost"])
+    certain = placed.select("s1", (F.col("sure") - F.when(2 * F.col("cost") <= F.col("leads"), F.col("copies")).otherwise(0)).alias("others"))
+    facing = F.filter("shelves", lambda s: s["top"] + F.col("cost") > F.col("leads"))
+    parts = F.get(F.filter("shelves", lambda s: s["level"] == F.col("level")), F.lit(0))["parts"]
+    block = F.col("level") * (1 << 32) + F.pmod(F.xxhash64("s1"), parts)
+    others = F.flatten(F.transform(facing, lambda s: F.transform(
+        F.sequence(F.lit(0).cast("long"), s["parts"] - 1), lambda k: s["level"] * (1 << 32) + k)))
+    asking = placed.filter(F.size(facing) > 0).select("s1", "home", "cost", "leads", "copies", block.alias("block"), others.alias("facing"))
+    dealt = asking.join(arrays, "s1").withColumn("other", F.explode("facing")).select(
+        "home", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("upper"),
+        "s1", "cost", "leads", "copies", "tokens")
+    return certain.unionByName(_compare_blocks(dealt))
+
+
+def _links_across(lists: DataFrame, homes: DataFrame, first: DataFrame, verified: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Every link (a < b) between nodes of different ``homes`` (s1, home); stored.
 
     Two members of a list share at least what both share with its leader beyond the leader's size. Where that is enough
     the link is told by the leader's answers; the other pairs that bounds do not rule out are verified.
     """
-    lists, first, verified, arrays = _led_lists(df, sets, id_col, text_col)
     known = verified.select(F.col("a").alias("leader"), F.col("b").alias("s1"), F.col("n_a").alias("leads"), "both")
-    placed = lists.filter("7 * (n - at) >= 3 * (n + greatest(least_n, ceil(0.75 * n)))").join(known, ["leader", "s1"], "left").select(
-        "token", "s1", "n", "at", F.coalesce("leads", "n").alias("leads"), F.coalesce("both", "n").alias("both"),
+    # (a member from whose position on not even the list's smallest set could link stays out)
+    placed = lists.filter("7 * (n - at) >= 3 * (n + greatest(least_n, ceil(0.75 * n)))").join(homes, "s1").join(known, ["leader", "s1"], "left").select(
+        "token", "s1", "n", "at", "home", F.coalesce("leads", "n").alias("leads"), F.coalesce("both", "n").alias("both"),
         F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)).alias("block"))
-    placed = stage(placed.withColumn("far", 1 - F.col("both") / (F.col("leads") + F.col("n") - F.col("both"))), "placed")
-    x = placed.select("token", "leads", *(F.col(c).alias(f"x_{c}") for c in ("s1", "n", "at", "both", "far")), F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"))
-    y = placed.select("token", "block", *(F.col(c).alias(f"y_{c}") for c in ("s1", "n", "at", "both", "far")))
+    mixed = placed.groupBy("token").agg(F.min("home").alias("_low"), F.max("home").alias("_high")).filter("_low < _high").select("token")
+    placed = stage(placed.withColumn("far", 1 - F.col("both") / (F.col("leads") + F.col("n") - F.col("both"))).join(mixed, "token"), "placed")
+    x = placed.select("token", "leads", *(F.col(c).alias(f"x_{c}") for c in ("s1", "n", "at", "home", "both", "far")), F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"))
+    y = placed.select("token", "block", *(F.col(c).alias(f"y_{c}") for c in ("s1", "n", "at", "home", "both", "far")))
     pairs = x.join(y, ["token", "block"]).filter(
-        "x_s1 < y_s1 and 4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n) and abs(x_far - y_far) <= 0.250001 "
+        "x_s1 < y_s1 and x_home <> y_home and 4 * least(x_n, y_n) >= 3 * greatest(x_n, y_n) and abs(x_far - y_far) <= 0.250001 "
         "and 7 * least(x_n - x_at, y_n - y_at) >= 3 * (x_n + y_n)").select(
         F.col("x_s1").alias("a"), F.col("y_s1").alias("b"), (F.col("x_n") + F.col("y_n")).alias("_sum"), (F.col("x_both") + F.col("y_both") - F.col("leads")).alias("_least"))
     pairs = pairs.groupBy("a", "b").agg(F.max(F.expr("100 * _least >= 75 * (_sum - _least)")).alias("sure"))
-    led = verified.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    led = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stage(pairs.join(led, ["a", "b"], "left_anti"), "pairs")
-    told = _links(verified).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a leader's home comes once for each group of its partners
+    leaders = verified.select("a", "block").distinct().join(homes.select(F.col("s1").alias("a"), F.col("home").alias("_x")), "a")
+    told = _linked(verified).join(leaders, ["a", "block"]).join(homes.select(F.col("s1").alias("b"), F.col("home").alias("_y")), "b").filter("_x <> _y").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return stage(told.unionByName(pairs.filter("sure").select("a", "b")).unionByName(_links(_verify(pairs.filter("not sure").select("a", "b"), arrays))), "links")
 
 
@@ -348,33 +476,60 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     sets = membership(df, id_col, text_col)
     least = stage(sets.filter("n > 0").groupBy("s1").agg(F.min("id").alias("id")), "least")
-    links = _all_links(df, sets, id_col, text_col)
+    lists, *rest = _led_lists(df, sets, id_col, text_col)
+    links = _links_across(lists, lists.select("s1", F.col("s1").alias("home")).distinct(), *rest)
     named = links.join(least.select(F.col("s1").alias("a"), F.col("id").alias("_x")), "a").join(least.select(F.col("s1").alias("b"), F.col("id").alias("_y")), "b")
     return named.select(F.least("_x", "_y").alias("a"), F.when(F.col("_x").isNull() | F.col("_y").isNull(), F.lit(None)).otherwise(F.greatest("_x", "_y")).alias("b"))
 
 
-def count_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and n_links, the number of other documents at a similarity of at least 3/4 (equal texts too), of every row."""
-    sets = membership(df, id_col, text_col)
-    links = _all_links(df, sets, id_col, text_col)
+def _answers(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Links that connect all that is connected, and s1 and n_links of every node with a shingle; both stored."""
+    lists, first, verified, arrays = _led_lists(df, sets, id_col, text_col)
+    homes = _homes(lists, verified)
+    across = _links_across(lists, homes.select("s1", "home"), first, verified, arrays)
     copies = stage(sets.filter("n > 0").groupBy("s1").agg(F.count("*").alias("copies")), "copies")
-    ends = links.union(links.select("b", "a")).join(copies.withColumnRenamed("s1", "b"), "b").groupBy(F.col("a").alias("s1")).agg(F.sum("copies").alias("others"))
-    counted = stage(copies.join(ends, "s1", "left").select("s1", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counted")
-    told = sets.filter("n > 0").join(counted, "s1").select(F.col("id").alias(id_col), "n_links")
-    return told.unionByName(sets.filter("n = 0").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links")))
+    ends = across.union(across.select("b", "a")).join(copies.withColumnRenamed("s1", "b"), "b").select(F.col("a").alias("s1"), F.col("copies").alias("others"))
+    others = ends.unionByName(_inside_homes(homes, copies, arrays)).groupBy("s1").agg(F.sum("others").alias("others"))
+    counted = copies.join(others, "s1", "left").select("s1", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return across.unionByName(_links(verified)), stage(counted, "counted")
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key and set size of every row, and the first document (smallest id, then key; nulls last) of its component."""
+def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id and n_links of every document: :func:`jaccard_components` and the number of links.
+
+    ``n_links`` counts the other documents at a similarity of at least 3/4, equal texts and repeated rows among them; 0
+    for null and blank texts. Links inside a home are counted, never listed; comparisons inside it grow with the square
+    of the members far from the home only.
+    """
     sets = membership(df, id_col, text_col)
-    labels = components(find_links(df, sets, id_col, text_col))
+    links, counted = _answers(df, sets, id_col, text_col)
+    named = _named(sets, links).join(counted, "s1", "left")
+    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def count_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and n_links, the number of other documents at a similarity of at least 3/4 (equal texts too), of every row."""
+    return jaccard_join(df, id_col, text_col).select(id_col, "n_links")
+
+
+def _named(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """id, key, set size and node (null without words) of every row, and the first document of its component.
+
+    The first is that with the smallest id, then key, nulls last.
+    """
+    labels = components(links)
     own = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     classes = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min(own).alias("least"))
     labelled = classes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
     smallest = labelled.groupBy("label").agg(F.min("least").alias("first"))
     named = stage(labelled.join(smallest, "label").select("s1", "s2", "first"), "components")
-    empty = sets.filter("n = 0").select("id", "key", "n", own.alias("first"))
-    return sets.filter("n > 0").join(named, ["s1", "s2"]).select("id", "key", "n", "first").unionByName(empty)
+    empty = sets.filter("n = 0").select("id", "key", "n", F.lit(None).cast("long").alias("s1"), own.alias("first"))
+    return sets.filter("n > 0").join(named, ["s1", "s2"]).select("id", "key", "n", "s1", "first").unionByName(empty)
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    sets = membership(df, id_col, text_col)
+    return _named(sets, find_links(df, sets, id_col, text_col))
 
 
 def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

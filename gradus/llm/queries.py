@@ -40,7 +40,7 @@ def op5_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
+    return jaccard_join.jaccard_join(_table(spark, folder, "documents"))
 
 
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:

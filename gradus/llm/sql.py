@@ -95,8 +95,8 @@ JACCARD = """WITH RECURSIVE
     links AS (SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * pairs.n >= 75 * (s.n + t.n - pairs.n)),
     edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
     reach AS (SELECT doc_id, doc_id r FROM documents UNION SELECT reach.doc_id, edges.y FROM reach JOIN edges ON edges.x = reach.r)
-    SELECT d.doc_id, coalesce(s.n, 0)::BIGINT n_shingles, c.component_id
-    FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(r) component_id FROM reach GROUP BY doc_id) c USING (doc_id)"""
+    SELECT d.doc_id, coalesce(s.n, 0)::BIGINT n_shingles, c.component_id, coalesce(e.n, 0)::BIGINT n_links
+    FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT x doc_id, count(*) n FROM edges GROUP BY x) e USING (doc_id) JOIN (SELECT doc_id, min(r) component_id FROM reach GROUP BY doc_id) c USING (doc_id)"""
 
 
 def _crc32(text: str) -> str:

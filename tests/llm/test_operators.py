@@ -366,13 +366,45 @@ def test_every_link_inside_a_component(spark):
                 edited[rng.integers(60)] = f"e{group}x{copy}y{k}"
             rows.append((10 * group + copy, " ".join(edited)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {i: slow_sets(t) for i, t in rows}
+    assert_links(df, jaccard_join.count_links(df), distinct=True)
+
+
+def assert_links(df, counted, distinct=False):
+    """n_links of every row, and all links between distinct sets, against all pairs."""
+    sets = {i: slow_sets(t) for i, t in texts_of(df)}
     linked = {(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     degree = Counter(x for pair in linked for x in pair)
     least = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
-    distinct = {tuple(sorted((least[sets[i]], least[sets[j]]))) for i, j in linked if sets[i] != sets[j]}
-    assert sorted(map(tuple, jaccard_join.jaccard_links(df).collect())) == sorted(distinct)
-    assert {r.doc_id: r.n_links for r in jaccard_join.count_links(df).collect()} == {i: degree[i] for i in sets}
+    assert {r.doc_id: r.n_links for r in counted.collect()} == {i: degree[i] for i in sets}
+    if distinct:
+        expected = {tuple(sorted((least[sets[i]], least[sets[j]]))) for i, j in linked if sets[i] != sets[j]}
+        assert sorted(map(tuple, jaccard_join.jaccard_links(df).collect())) == sorted(expected)
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_links_counted_inside_large_homes(spark, monkeypatch, block):
+    """Near and far members of one passage: some links follow from costs, some from blocks, some cross homes."""
+    monkeypatch.setattr(jaccard_join, "HOME_BLOCK", block)
+    rng, rows = np.random.default_rng(11), []
+    for group, length in enumerate((80, 200)):
+        words = [f"g{group}w{k}" for k in range(length)]
+        for copy in range(70):
+            edited = list(words)
+            for k in rng.choice(length, rng.integers(0, length // 22), replace=False):
+                edited[k] = f"e{rng.integers(3)}k{k}" if copy % 2 else f"e{group}c{copy}k{k}"
+            rows += [(len(rows) + k, " ".join(edited)) for k in range(1 + copy % 5 // 4)]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = jaccard_join.jaccard_join(df).cache()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == slow_components(texts_of(df))
+    assert_links(df, got)
+    assert 2 * len(rows) < got.agg(F.sum("n_links")).first()[0] < len(rows) * (len(rows) // 2 - 1)
+
+
+def test_join_of_odd_rows(odd_documents):
+    got = jaccard_join.jaccard_join(odd_documents)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == slow_components(texts_of(odd_documents))
+    assert sorted((r.doc_id or 0, r.n_links) for r in got.collect()) == [
+        (0, 0), (1, 2), (2, 2), (2, 2), (3, 0), (4, 0), (5, 1), (6, 0), (7, 0), (8, 0), (9, 0), (10, 1)]
 
 
 def test_near_copies_without_id(spark):
@@ -465,7 +497,7 @@ def test_empty_tables(spark, odd_documents):
     none = odd_documents.limit(0)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for result in (fingerprints.compare_documents(none), quality_rules.quality_rules(none), packing.pack_documents(none, BYTE_BPE),
-                   token_files.token_files(none, BYTE_BPE), piece_codec.digests(none, PIECE_BPE), jaccard_join.jaccard_components(none),
+                   token_files.token_files(none, BYTE_BPE), piece_codec.digests(none, PIECE_BPE), jaccard_join.jaccard_components(none), jaccard_join.jaccard_join(none),
                    license_scan.scan_licenses(none), line_dedup.drop_shared_lines(none), token_counts.count_tokens(none, BYTE_BPE), warc.archive_pages(pages)):
         assert result.count() == 0
 
