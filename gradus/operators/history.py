@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.staging import stage
+from . import gnb
 from .quality import InvalidDataset
 
 
@@ -63,33 +62,46 @@ def score_with_stored(df: DataFrame, features: PipelineModel, classifier) -> Dat
 
 
 def smoothing_search(
-    df: DataFrame, features_col: str, label_col: str, fold_col: str, folds: int,
-    grid: Sequence[float] = (0.1, 0.5, 1.0), parallelism: int = 4,
+    df: DataFrame, features_col: str, label_col: str, fold_col: str, folds: int, grid: Sequence[float] = (0.1, 0.5, 1.0),
 ) -> DataFrame:
-    """``(smoothing, accuracy)``: mean accuracy over user-given folds for every grid value."""
-    bayes = NaiveBayes(modelType="gaussian", featuresCol=features_col, labelCol=label_col)
-    params = ParamGridBuilder().addGrid(bayes.smoothing, list(grid)).build()
-    search = CrossValidator(
-        estimator=bayes, estimatorParamMaps=params, numFolds=folds, foldCol=fold_col, parallelism=parallelism,
-        evaluator=MulticlassClassificationEvaluator(labelCol=label_col, metricName="accuracy"),
-    ).fit(df)
-    return df.sparkSession.createDataFrame(
-        [(float(g), float(a)) for g, a in zip(grid, search.avgMetrics)], "smoothing double, accuracy double")
+    """``(smoothing, accuracy)``: mean accuracy over user-given folds for every grid value.
+
+    Smoothing adds to counts, and a Gaussian model has none but the class sizes, which Spark's estimator leaves as they
+    are: every value of the grid stands for the same model. So a fold is fitted once, from the merged moments of the
+    others, and one pass over the stored vectors scores all folds. Folds that are empty or out of range are refused.
+    """
+    width = df.select(F.size(vector_to_array(features_col)).alias("n")).first()
+    if width is None:
+        raise InvalidDataset("no rows to search on")
+    names = [f"feature_{i}" for i in range(width["n"])]
+    rows = df.select(F.col(label_col).alias("label"), F.col(fold_col).cast("int").alias("fold"), vector_to_array(features_col).alias("values")).select(
+        "label", "fold", *(F.get("values", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    stats = gnb.moments(rows, names, ["fold", "label"])
+    present = {f for f, _ in stats}
+    if present != set(range(folds)):
+        raise InvalidDataset(f"folds 0 to {folds - 1} expected")
+    models = gnb.fit_folds(stats, range(folds), names)
+    scored = gnb.with_scores(rows, models, "fold")
+    right = scored.groupBy("fold").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+    smoothing = F.explode(F.lit([float(g) for g in grid]).cast("array<double>")).alias("smoothing")
+    return right.agg(F.avg("accuracy").alias("accuracy")).select(smoothing, "accuracy")
 
 
 # ------------------------------------------------------------------------------------------- ROC
 
-def roc_points(scored: DataFrame, score: str, positive: Column, buckets: int = 256) -> DataFrame:
+def roc_points(scored: DataFrame, score: str, positive: Column, buckets: int | None = None) -> DataFrame:
     """``(threshold, tp, fp, n_pos, n_neg)`` for every distinct score, highest first.
 
     Counts per distinct score are cumulated in two levels: buckets of similar size, cut at sketched
     quantiles of the scores, have their totals summed up; inside a bucket the running sum starts from
-    the total above it. No step orders the whole data in one task.
+    the total above it. No step orders the whole data in one task. By default a bucket has about 65,536 scores; there
+    are at most 4096 buckets, so beyond some 268 million distinct scores they grow.
     """
     per_score = stage(scored.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")), "roc")
+    buckets = buckets or min(4096, -(-per_score.count() // 65536))
     quantiles = [i / buckets for i in range(1, buckets)]
-    bounds = per_score.agg(F.percentile_approx("threshold", quantiles, 10000).alias("b")).first()["b"] or []
+    bounds = per_score.agg(F.percentile_approx("threshold", quantiles, 10000).alias("b")).first()["b"] or [] if quantiles else []
     bounds = sorted(set(bounds))
     bucket = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b < F.col("threshold"))) if bounds else F.lit(0)
     placed = per_score.withColumn("bucket", bucket)

@@ -275,3 +275,36 @@ def test_prediction_columns(spark, sf):
     low = out.agg(F.min("probability")).first()[0]
     assert 0.5 <= low <= 1.0 and not math.isnan(low)
     assert ON_TIME in model.labels
+
+
+def test_smoothing_search_agrees_with_spark(spark):
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    rng = np.random.default_rng(4)
+    label = rng.integers(0, 3, 240)
+    pdf = pd.DataFrame({"a": rng.normal(label, 1.0), "b": rng.normal(-label, 2.0), "y": label.astype(float), "part": np.arange(240) % 4})
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(spark.createDataFrame(pdf)).cache()
+    bayes = NaiveBayes(modelType="gaussian", featuresCol="x", labelCol="y")
+    grid = [0.5, 2.0]
+    theirs = CrossValidator(
+        estimator=bayes, estimatorParamMaps=ParamGridBuilder().addGrid(bayes.smoothing, grid).build(), numFolds=4, foldCol="part",
+        evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")).fit(data).avgMetrics
+    ours = history.smoothing_search(data, "x", "y", "part", 4, grid).collect()
+    assert [(r["smoothing"], pytest.approx(r["accuracy"])) for r in ours] == list(zip(grid, theirs))
+    assert 0.4 < theirs[0] < 1.0
+    for folds in (3, 5):
+        with pytest.raises(InvalidDataset):
+            history.smoothing_search(data, "x", "y", "part", folds)
+    with pytest.raises(InvalidDataset):
+        history.smoothing_search(data.limit(0), "x", "y", "part", 4)
+
+
+def test_roc_points_in_any_number_of_buckets(spark):
+    rows = spark.range(3000).selectExpr("cast(id % 997 as double) AS s", "id % 7 = 0 AS y").cache()
+    order = ["threshold"]
+    default = history.roc_points(rows, "s", F.col("y")).orderBy(order).collect()
+    assert default == history.roc_points(rows, "s", F.col("y"), 50).orderBy(order).collect() and len(default) == 997
+    assert history.roc_points(rows.limit(0), "s", F.col("y")).count() == 0
