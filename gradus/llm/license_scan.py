@@ -91,14 +91,18 @@ def dice(a: frozenset, b: frozenset) -> float:
 
 
 def _natural(text: str) -> Iterator[tuple[int, int, str]]:
-    """Number of the first line, place and text of every line, and of every paragraph of more than one line."""
+    """Number of the first line, place and text of every line, and of every paragraph of more than one line.
+
+    Blank lines around a paragraph belong to none, so a single line with a line break after it is no paragraph.
+    """
     line = 0
     at = 0
     for gap in [*_GAP.finditer(text), None]:
         paragraph = text[at:gap.start() if gap else len(text)]
         lines = paragraph.split("\n")
-        if len(lines) > 1:
-            yield line, at, paragraph
+        filled = [k for k, one in enumerate(lines) if one.strip()]
+        if len(filled) > 1:
+            yield line + filled[0], at, paragraph
         for k, one in enumerate(lines):
             yield line + k, at, one
             at += len(one) + 1

@@ -437,6 +437,80 @@ def test_licenses(request, kind):
     assert Counter(map(tuple, license_scan.scan_licenses(df).collect())) == expected
 
 
+def slow_words(text):
+    """Words in lower case with their places: letters and digits, joined by single dots and hyphens."""
+    words, at, n = [], 0, len(text)
+    while at < n:
+        end = at
+        while end < n and (text[end].isalnum() or end > at and text[end] in ".-" and text[end - 1].isalnum() and end + 1 < n and text[end + 1].isalnum()):
+            end += 1
+        if end > at:
+            words.append((text[at:end].lower(), at, end))
+        at = end + 1
+    return words
+
+
+def slow_dice(words, template):
+    own = {(a, b) for (a, *_), (b, *_) in zip(words, words[1:])}
+    return 2 * len(own & template) / (len(own) + len(template)) if own or template else 0.0
+
+
+def slow_licenses(text):
+    """Every line, paragraph and window against every template, without bounds or index."""
+    templates = [(name, {(a, b) for (a, *_), (b, *_) in zip(w, w[1:])}) for name, ts in license_scan.TEMPLATES.items() for t in ts for w in [slow_words(t)]]
+    least, lines, place, natural, block = license_scan.LEAST, [], 0, [], []
+    for number, line in enumerate([*text.split("\n"), ""]):
+        if line.strip():
+            block.append((number, place, place + len(line)))
+        else:
+            natural += [(block[0][0], block[0][1], block[-1][2])] if len(block) > 1 else []
+            block = []
+        lines.append((number, place, place + len(line)))
+        place += len(line) + 1
+    matches, taken = [], []
+    for number, a, b in natural + lines[:-1]:
+        hits = [(-score, number, name) for name, t in templates for score in [slow_dice(slow_words(text[a:b]), t)] if score >= least]
+        if hits:
+            matches.append(min(hits))
+            taken.append((a, b, {h[2] for h in hits}))
+    words, found = slow_words(text), []
+    pairs = [(a, b) for (a, *_), (b, *_) in zip(words, words[1:])]
+    for name, t in templates:
+        at = [p for p, pair in enumerate(pairs) if pair in t]
+        for first in at:
+            best = max(((slow_dice(words[first:last + 2], t), -last) for last in at if last >= first))
+            if best[0] >= least:
+                found.append((-best[0], -len(t), first, -best[1], name))
+    chosen = []
+    for window in sorted(found):
+        if all(window[3] + 1 < c[2] or c[3] + 1 < window[2] for c in chosen):
+            chosen.append(window)
+    for _, _, first, last, name in chosen:
+        a, b = words[first][1], words[last + 1][2]
+        if not any(x <= a and b <= y or x < b and a < y and name in names for x, y, names in taken):
+            matches.append(min((-score, text.count("\n", 0, a), other) for other, t in templates for score in [slow_dice(slow_words(text[a:b]), t)] if score >= least))
+    best = min(matches, default=None)
+    return (len(matches), best[2], -best[0], best[1]) if best else (0, None, None, None)
+
+
+def test_licenses_against_every_window(spark):
+    rng, texts = np.random.default_rng(8), ["", "\n\n\nAll rights reserved.\n", "\nx\nAll rights reserved.\n\n\n \ny", "All rights\nreserved.\n"]
+    parts = [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    for _ in range(60):
+        pieces = []
+        for _ in range(rng.integers(1, 5)):
+            words = parts[rng.integers(len(parts))].split(" ")
+            if rng.random() < 0.7:  # words lost, changed or broken off
+                words = [w if rng.random() > 0.06 else f"q{rng.integers(9)}" for w in words if rng.random() > 0.04][:rng.integers(2, 70)]
+            words = [w + ("\n" if rng.random() < 0.08 else " ") for w in words]
+            pieces.append("".join(words) + " ".join(f"f{rng.integers(40)}" for _ in range(rng.integers(0, 6))))
+        texts.append(["\n", " ", "\n\n", "\n \n\n"][rng.integers(4)].join(pieces))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in license_scan.scan_licenses(df).collect()}
+    assert got == {k: slow_licenses(t) for k, t in enumerate(texts)}
+    assert sum(g[0] > 0 for g in got.values()) > 40 and any(g[0] == 0 for g in got.values())
+
+
 def test_license_text_over_several_lines(spark):
     mit = license_scan.TEMPLATES["MIT"][2].replace(", ", ",\n")
     df = spark.createDataFrame([(1, f"title\n\n{mit}\n\nend"), (2, "no licence at all")], "doc_id long, text string")
