@@ -15,18 +15,29 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def over_batches(df: DataFrame, columns: list[str], run: Callable[[Iterator], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` over ``columns`` only; ``run`` yields dicts of column values, typed by ``schema``."""
+    """``mapInArrow`` over ``columns`` only; ``run`` yields dicts of column values, typed by ``schema``.
+
+    Arrow's allocator would keep what batches have left; it is told after each to give that back, since a worker
+    process stays with its executor while stages of other kinds run.
+    """
     fields = StructType.fromDDL(schema)
 
+    def released(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(fields)
-        for block in run(source):
+        for block in run(released(source)):
             arrays = [block[f.name] if isinstance(block[f.name], (pa.Array, pa.ChunkedArray))
                       else pa.array(block[f.name], f.type) for f in target]
             arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, target, strict=True)]
             yield from pa.table(arrays, schema=target).to_batches()
+        pa.default_memory_pool().release_unused()
 
     return df.select(*columns).mapInArrow(batches, schema)
 

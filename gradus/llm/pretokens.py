@@ -25,8 +25,9 @@ OTHER, LETTER, NUMBER, SPACE, EDGE, SPECIAL = range(6)
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BASE = 0x9E3779B97F4A7C15
 _SPECIAL_HASH = np.uint64(1)
-BLOCK_CHARS = 1 << 20
-PIECE_CHARS = 1 << 19
+_CLASS_STEP = 1 << 12
+BLOCK_CHARS = 1 << 18
+PIECE_CHARS = 1 << 17
 
 
 @lru_cache(1)
@@ -35,16 +36,18 @@ def _classes() -> np.ndarray:
     from tokenizers.pre_tokenizers import ByteLevel
 
     split = ByteLevel(add_prefix_space=False).pre_tokenize_str
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    order, text = np.array(points), "".join(map(chr, points))
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.full(0x110000, OTHER, np.uint8)
-    table[order] = np.fromiter((kinds.get(unicodedata.category(c)[0], OTHER) for c in text), np.uint8, len(order))
-    for pattern, kind, beside in ((r"\p{L}+", LETTER, "a"), (r"\p{N}+", NUMBER, "1")):
-        for found in regex.finditer(pattern, text):
-            for c in order[found.start():found.end()][table[order[found.start():found.end()]] != kind].tolist():
-                if len(split(beside + chr(c))) == 1:
-                    table[c] = kind
+    for low in range(0, 0x110000, _CLASS_STEP):  # a few code points at a time, so that few objects live at once
+        order = np.arange(low, low + _CLASS_STEP)
+        order = order[(order < 0xD800) | (order >= 0xE000)]
+        text = order.astype("<u4").tobytes().decode("utf-32-le")
+        table[order] = np.fromiter((kinds.get(unicodedata.category(c)[0], OTHER) for c in text), np.uint8, len(order))
+        for pattern, kind, beside in ((r"\p{L}+", LETTER, "a"), (r"\p{N}+", NUMBER, "1")):
+            for found in regex.finditer(pattern, text):
+                for c in order[found.start():found.end()][table[order[found.start():found.end()]] != kind].tolist():
+                    if len(split(beside + chr(c))) == 1:
+                        table[c] = kind
     table[WHITE] = SPACE
     return table
 
@@ -123,7 +126,10 @@ class Split:
         self.doc = np.fromiter((d for d, _ in block), np.int64, len(block))[np.searchsorted(edges, self.start)]
         up, down = _Powers.of(len(cp) + 1)
         sums = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        weighted = cp.astype(np.uint64)
+        weighted += np.uint64(1)
+        weighted *= up[:-1]
+        np.cumsum(weighted, out=sums[1:])
         h = (sums[self.end] - sums[self.start]) * down[self.start]
         h ^= h >> np.uint64(29)
         h += (self.end - self.start).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
@@ -149,28 +155,41 @@ class Split:
 
 
 class Memo:
-    """Values of distinct pre-tokens by hash; emptied when it holds ``limit`` of them, which costs time only."""
+    """Values of distinct pre-tokens by hash; emptied when it holds ``limit`` of them, which costs time only.
+
+    Hashes lie sorted beside their rows, 16 bytes for each, and not as objects in a dict.
+    """
 
     def __init__(self, limit: int = 500_000):
-        self.limit, self.known = limit, {}
+        self.limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def rows(self, split: Split) -> np.ndarray:
         """Row of each pre-token of the block; missing ones are worked out first."""
-        if len(self.known) > self.limit:
-            self.known.clear()
+        if len(self.hashes) > self.limit:
+            self._forget()
             self.clear()
         codes, distinct = pd.factorize(split.hash)
-        keys = distinct.tolist()
-        found = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
+        place = np.searchsorted(self.hashes, distinct)
+        found = np.full(len(distinct), -1, np.int64)
+        held = np.flatnonzero(place < len(self.hashes))
+        held = held[self.hashes[place[held]] == distinct[held]]
+        found[held] = self.numbers[place[held]]
         missing = np.flatnonzero(found < 0)
         if missing.size:
-            first = np.empty(len(keys), np.int64)
+            first = np.empty(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            words = [None if keys[m] == int(_SPECIAL_HASH) else split.string(first[m]) for m in missing]
-            base = len(self.known)
+            words = [None if h == int(_SPECIAL_HASH) else split.string(at)
+                     for h, at in zip(distinct[missing].tolist(), first[missing].tolist(), strict=True)]
+            base = len(self.hashes)
             self.add(words)
             found[missing] = np.arange(base, base + len(words))
-            self.known.update(zip((keys[m] for m in missing), range(base, base + len(words)), strict=True))
+            order = missing[np.argsort(distinct[missing])]
+            self.hashes = np.insert(self.hashes, place[order], distinct[order])
+            self.numbers = np.insert(self.numbers, place[order], found[order])
         return found[codes]
 
 

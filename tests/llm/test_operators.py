@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -304,6 +305,32 @@ def test_pretokens_of_odd_texts(library, monkeypatch):
         assert counts.tokens([text]).tolist() == [len(ids_of(library, text))]
 
 
+def test_memory_of_the_split_and_its_memo():
+    class Numbered(pretokens.Memo):
+        def clear(self):
+            self.words = 0
+
+        def add(self, words):
+            self.words += len(words)
+
+    memo, texts = Numbered(), [" ".join(f"w{k}" for k in range(first, first + 50_000)) for first in range(0, 200_000, 50_000)]
+    memo.clear()
+    tracemalloc.start()
+    try:
+        pretokens._classes.__wrapped__()
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20  # the table itself takes one MB
+        pretokens._classes()
+        start = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        rows = [memo.rows(pretokens.Split(block)) for block in pretokens.blocks(texts, None)]
+        assert tracemalloc.get_traced_memory()[1] - start < 40 << 20
+    finally:
+        tracemalloc.stop()
+    assert memo.words > 199_000 and len(np.unique(np.concatenate(rows))) == memo.words
+    again = [memo.rows(pretokens.Split(block)) for block in pretokens.blocks(texts, None)]
+    assert all(map(np.array_equal, rows, again))
+
+
 @pytest.mark.parametrize("kind", ["documents", "odd_documents"])
 def test_pieces_agree_with_the_library(request, kind):
     import sentencepiece
